@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import table
 from quarryline.llm.linedup import dedup_lines
 from quarryline.llm.repetition import repetition_rules
+from quarryline.llm.tokenfile import token_file
+from quarryline.llm.viterbi import sp_decode, sp_encode
+
+
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the public tokenizers; QUARRYLINE_TOKENIZERS names another folder."""
+    if folder := os.environ.get("QUARRYLINE_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +32,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = tokenizer_path("piece_bpe_32k.model")
+    return sp_decode(sp_encode(docs, model), model).drop("text")
+
+
+def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
 OP5_SQL = r"""
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -38,8 +61,11 @@ FROM keyed LEFT JOIN bad ON keyed.k = bad.k GROUP BY doc_id
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op5_line_dedup": op5_line_dedup,
+    "op8_streaming_viterbi": op8_streaming_viterbi,
+    "op10_token_blocks": op10_token_blocks,
 }
 
+#: Decoding gives every text back, so the digest of the decoded text is that of the original.
 SQL = {
     "op5_line_dedup": OP5_SQL,
 }
