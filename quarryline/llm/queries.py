@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.llm import toxicity
 from quarryline.llm.common import table
 from quarryline.llm.linedup import dedup_lines
 from quarryline.llm.repetition import repetition_rules
@@ -27,6 +28,23 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a document is kept from learning: crc32 of its id as text leaves no remainder by 5."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.filter(~held_out())))
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").cast("long").alias("n_passages"),
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -60,6 +78,7 @@ FROM keyed LEFT JOIN bad ON keyed.k = bad.k GROUP BY doc_id
 
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
+    "op3_toxic_segments": op3_toxic_segments,
     "op5_line_dedup": op5_line_dedup,
     "op8_streaming_viterbi": op8_streaming_viterbi,
     "op10_token_blocks": op10_token_blocks,
