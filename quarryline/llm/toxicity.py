@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import stored, text_slices, words_of
+from quarryline.llm.shingles import minhashes, shingles
 
 #: Labelled rows that the model is fitted on at most, by a hash of their ids. Counts and scores of documents cover all rows.
 MAX_TRAIN = 40_000
 #: Lengths of word beginnings that are features besides the whole word.
 PREFIXES = (4, 5)
-#: Weight of the prior against the labelled texts, and standard errors that a feature's log-odds must be from 0.
-PRIOR, MIN_Z = 0.05, 3.5
+#: Weight of the prior against the labelled texts; log-odds that a feature has at least, and their standard errors from 0.
+PRIOR, MIN_LOG_ODDS, MIN_Z = 0.05, 2.5, 3.5
 #: Share of passages in clean text that may look as toxic as a significant one, for each text.
 SIGNIFICANCE = 0.05
 
@@ -155,13 +156,20 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> ToxicityModel:
     """A model from ``labels`` (doc_id, toxic) and the texts of ``docs``.
 
-    Rows whose toxic is null, or whose id is null or unknown, are left out. A text counts once, however many copies it
-    has. Without rows of both classes every text gets the share of toxic rows.
+    Rows whose toxic is null, or whose id is null or unknown, are left out. Of texts with the same least shingle, which
+    are mostly copies with small changes, one of each class counts, so a family's own words aren't evidence. Without rows of both classes every text gets the share of toxic rows.
     """
     rows = labels.filter("doc_id is not null and toxic is not null").selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic")
     chosen = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = stored(texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "toxic")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            least = minhashes(*shingles(batch.column("text")), 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string()), batch.column("toxic"), pa.array(least, pa.int64())], ["text", "toxic", "family"])
+
+    families = texts.select("text", "toxic").mapInArrow(sketch, "text string, toxic int, family long")
+    sample = stored(families.groupBy("family", "toxic").agg(F.min("text").alias("text")), "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -186,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
     for feature, (toxic, other) in table.items():
         prior = PRIOR * (toxic + other)
         value, error = log_odds(toxic, n[0], other, n[1], prior, PRIOR * sum(n))
-        if value / error >= MIN_Z:
+        if value >= MIN_LOG_ODDS and value / error >= MIN_Z:
             weights[feature] = value
             null.append(((other + prior) / max(words[1], 1), value))
     in_toxic = sum(table[f][0] for f in weights if f[0] == "=") / max(words[0], 1)
