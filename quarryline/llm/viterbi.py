@@ -152,6 +152,13 @@ def load(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+@lru_cache(maxsize=2)
+def load_encoder(path: str) -> UnitEncoder:
+    """The encoder of a model, which a Python worker keeps with its pool from task to task."""
+    model = load(path)
+    return UnitEncoder(lambda units: [encode_unit(model, u) for u in units], SPACE, SPACE)
+
+
 def decode(model: PieceModel, ids: list[int]) -> str:
     """The text of ids; the space before the first word isn't part of it."""
     return b"".join(map(model.values.__getitem__, ids))[1:].decode("utf-8", "replace")
@@ -165,8 +172,7 @@ def sp_encode(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
-        encoder = UnitEncoder(lambda units: [encode_unit(model, u) for u in units], SPACE, SPACE)
+        encoder = load_encoder(model_path)
         for batch in text_slices(batches):
             ids, offsets = encoder(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
