@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import toxicity
 from quarryline.llm.common import table
+from quarryline.llm.decontamination import leaks
+from quarryline.llm.jaccard import near_duplicates
 from quarryline.llm.linedup import dedup_lines
+from quarryline.llm.pii import digest, personal_data
 from quarryline.llm.repetition import repetition_rules
 from quarryline.llm.tokenfile import token_file
 from quarryline.llm.viterbi import sp_decode, sp_encode
@@ -28,6 +31,10 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept from learning: crc32 of its id as text leaves no remainder by 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
@@ -45,6 +52,10 @@ def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -56,6 +67,10 @@ def op8_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_decode(sp_encode(docs, model), model).drop("text")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
@@ -78,13 +93,41 @@ FROM keyed LEFT JOIN bad ON keyed.k = bad.k GROUP BY doc_id
 
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
+    "op2_spaced_seeds": op2_spaced_seeds,
     "op3_toxic_segments": op3_toxic_segments,
+    "op4_chosen_path": op4_chosen_path,
     "op5_line_dedup": op5_line_dedup,
     "op8_streaming_viterbi": op8_streaming_viterbi,
+    "op9_personal_data": op9_personal_data,
     "op10_token_blocks": op10_token_blocks,
 }
 
+OP4_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), i -> list_slice(w, i, i + 4)))) AS s
+  FROM split WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), wordless AS (
+  SELECT doc_id FROM split WHERE len(w) = 0
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * shared.n >= 8 * (x.n + y.n - shared.n)
+  UNION ALL SELECT a.doc_id, b.doc_id FROM wordless a JOIN wordless b ON a.doc_id <> b.doc_id
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+)
+SELECT d.doc_id, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS class_id,
+       (SELECT count(*) FROM links WHERE links.a = d.doc_id) AS n_links
+FROM documents d
+"""
+
 #: Decoding gives every text back, so the digest of the decoded text is that of the original.
 SQL = {
+    "op4_chosen_path": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
 }
