@@ -16,6 +16,7 @@ from quarryline.llm.pii import digest, personal_data
 from quarryline.llm.repetition import repetition_rules
 from quarryline.llm.tokenfile import token_file
 from quarryline.llm.viterbi import sp_decode, sp_encode
+from quarryline.llm.warc import warc_round_trip
 
 
 def tokenizer_path(name: str) -> str:
@@ -61,6 +62,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
+
+
 def op8_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = tokenizer_path("piece_bpe_32k.model")
@@ -91,12 +96,32 @@ SELECT doc_id, count(*) AS n_lines, count(bad.k) AS n_dropped,
 FROM keyed LEFT JOIN bad ON keyed.k = bad.k GROUP BY doc_id
 """
 
+#: Bits 5 i to 5 i + 4 of a SHA-1 make its base32 digit number i.
+OP6_SQL = r"""
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), coded AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, h,
+         list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + (((16 * (instr('0123456789abcdef', substr(h, 1 + (5 * i) // 4, 1)) - 1)
+                 + greatest(instr('0123456789abcdef', substr(h, 2 + (5 * i) // 4, 1)) - 1, 0))
+                 >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest
+  FROM hashed
+), ruled AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM coded
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM ruled
+"""
+
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_spaced_seeds": op2_spaced_seeds,
     "op3_toxic_segments": op3_toxic_segments,
     "op4_chosen_path": op4_chosen_path,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc_shards": op6_warc_shards,
     "op8_streaming_viterbi": op8_streaming_viterbi,
     "op9_personal_data": op9_personal_data,
     "op10_token_blocks": op10_token_blocks,
@@ -104,9 +129,9 @@ QUERIES = {
 
 OP4_SQL = r"""
 WITH RECURSIVE split AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
 ), sets AS (
-  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), i -> list_slice(w, i, i + 4)))) AS s
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: list_slice(w, i, i + 4)))) AS s
   FROM split WHERE len(w) > 0
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
@@ -130,4 +155,5 @@ FROM documents d
 SQL = {
     "op4_chosen_path": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op6_warc_shards": OP6_SQL,
 }
