@@ -1,13 +1,80 @@
-"""Cleaning of a training corpus, stage by stage."""
+"""Cleaning of a training corpus: toxic documents go, repeated lines go, one of each group of near copies stays, documents
+with benchmark text go, and what is left becomes token ids. Each stage works on what the one before has kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from quarryline.llm import toxicity
+from quarryline.llm.common import ship, small_enough, stored, table
+from quarryline.llm.decontamination import leaks
+from quarryline.llm.jaccard import near_duplicates
+from quarryline.llm.linedup import dedup_lines
+from quarryline.llm.queries import tokenizer_path
+from quarryline.llm.viterbi import sp_encode
 
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is in ``ids``, null being an id like others."""
+    gone = stored(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    if small_enough(gone.count(), 16):
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; the model learns from the labels of ``docs``. Rows of one id go together."""
+    ship(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return without(docs, toxicity.score(docs, model).filter("score >= 0.5"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them have; n_chars follows the text. A null text becomes empty."""
+    ship(spark)
+    return dedup_lines(docs).drop("n_lines", "n_dropped").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group that links connect, once; all others go. Of a group without any id one
+    row stays."""
+    ship(spark)
+    found = stored(near_duplicates(docs), "near")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    rows, ids = kept.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    chosen = without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    # Ids that occur once name rows; if some occur again, equal rows must go too.
+    return chosen if rows == ids else chosen.dropDuplicates(["doc_id", "text"])
+
+
+def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    ship(spark)
+    return without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every document."""
+    ship(spark)
+    return sp_encode(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_benchmark_text),
+    ("sentencepiece", encode),
+]
+
+#: A learnt score and a tokenizer's search aren't SQL; tests hold the stages against plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents table, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

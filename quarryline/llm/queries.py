@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import toxicity
+from quarryline.llm.chat import link_calls
 from quarryline.llm.common import table
 from quarryline.llm.decontamination import leaks
 from quarryline.llm.jaccard import near_duplicates
@@ -66,6 +67,39 @@ def op6_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
 
+def op7_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as calls: a user turn calls ``respond``, the turn after it is the result if an assistant has it, and a
+    call depends on the one two turns before."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    name = F.concat(F.lit("call-"), F.col("turn").cast("string"))
+    arguments = F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt")))
+    before = F.array(F.concat(F.lit("call-"), (F.col("turn") - 2).cast("string")))
+    calls = turns.filter("role = 'user'").select("conv_id", "turn", name.alias("call_id"), F.lit("respond").alias("name"), arguments.alias("arguments"), before.alias("depends_on"))
+    results = turns.filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
+    functions = spark.range(1).select(
+        F.lit("respond").alias("name"),
+        F.expr("array(named_struct('name', 'prompt', 'type', 'string', 'required', true), named_struct('name', 'turn', 'type', 'integer', 'required', true))").alias("parameters"),
+    )
+    return link_calls(calls, results, functions)
+
+
+OP7_SQL = r"""
+WITH calls AS (
+  SELECT conv_id, turn, 'call-' || turn AS call_id, min(text) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
+), results AS (
+  SELECT conv_id, turn, 'call-' || (turn - 1) AS call_id, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS call_turn, r.turn AS result_turn,
+       c.turn AS rank,
+       CASE WHEN c.turn IS NULL THEN 'orphan' WHEN c.prompt IS NULL THEN 'invalid' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+       CASE WHEN c.turn IS NOT NULL AND c.prompt IS NULL THEN 'missing:prompt' ELSE '' END AS problems,
+       '{"arguments":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '{"prompt":' || to_json(c.prompt)::VARCHAR || ',"turn":' || c.turn || '}' END
+         || ',"content":' || coalesce(to_json(r.content)::VARCHAR, 'null') || ',"id":"' || coalesce(c.call_id, r.call_id)
+         || '","name":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '"respond"' END || '}' AS record
+FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+"""
+
+
 def op8_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = tokenizer_path("piece_bpe_32k.model")
@@ -122,6 +156,7 @@ QUERIES = {
     "op4_chosen_path": op4_chosen_path,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc_shards": op6_warc_shards,
+    "op7_tool_links": op7_tool_links,
     "op8_streaming_viterbi": op8_streaming_viterbi,
     "op9_personal_data": op9_personal_data,
     "op10_token_blocks": op10_token_blocks,
@@ -156,4 +191,5 @@ SQL = {
     "op4_chosen_path": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_warc_shards": OP6_SQL,
+    "op7_tool_links": OP7_SQL,
 }
