@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "pricing_summary"
+from quarryline.plans import analysis, relational  # noqa: F401
+from quarryline.plans.registry import QUERIES, SQL  # noqa: F401
+
+FLAGSHIP = "mwu_cluster_proportions"
