@@ -2,48 +2,21 @@
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from quarryline.session import ship, table  # noqa: F401
+
 #: Bytes that a table may have at most before the operators stop broadcasting it.
 BROADCAST_BYTES = 32 << 20
 
 
-#: Applications whose Python workers have been given the package.
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever they run: its sources go along with the application, once."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as archive:
-        for path in sorted(root.rglob("*.py")):
-            archive.write(path, path.relative_to(root.parent))
-    target = os.path.join(tempfile.mkdtemp(prefix="quarryline-"), f"{root.name}.zip")
-    Path(target).write_bytes(data.getvalue())
-    context.addPyFile(target)
-    _shipped.add(context.applicationId)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh one in local runs without it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
