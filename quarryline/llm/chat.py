@@ -40,11 +40,32 @@ def ranked(calls: DataFrame) -> DataFrame:
         changed = moved.count()
         rounds = rounds + 1 if changed == before else 0
         if rounds > changed:
-            # A chain among the moved calls has no more links than there are calls: these run in a circle.
-            loop = late.select("conv_id", "call_id").withColumn("loop", F.lit(True))
+            # A chain among the moved calls has no more links than there are calls: some run in a circle.
+            loop = circular(edges, moved).withColumn("loop", F.lit(True))
             return ranks.join(loop, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(F.col("loop").isNull(), F.col("rank")).alias("rank"))
 
 
+def circular(edges: DataFrame, moved: DataFrame) -> DataFrame:
+    """(conv_id, call_id) of calls that depend on themselves, and of all that depend on these; ``moved`` has all circles."""
+    rest = moved.select("conv_id", "call_id")
+    n = rest.count()
+    while True:
+        # Calls leave that depend on none of the rest.
+        on = edges.join(rest.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi").select("conv_id", "call_id").distinct()
+        rest = stored(rest.join(on, ["conv_id", "call_id"], "left_semi"), "circle")
+        m = rest.count()
+        if m == n:
+            break
+        n = m
+    while True:
+        on = edges.join(rest.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi").select("conv_id", "call_id")
+        rest = stored(rest.union(on).distinct(), "circle")
+        m = rest.count()
+        if m == n:
+            return rest
+        n = m
+
+
 def problems(parameters: str, arguments: str) -> Column:
     """What is wrong with the column of parsed ``arguments`` under the array of (name, type, required) ``parameters``."""
     given = F.expr(f"try_variant_get({arguments}, '$', 'map<string,variant>')")
