@@ -236,3 +236,37 @@ def test_import_direction():
 
     root = Path(IO.__file__).resolve().parents[1]
     assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "quarryline.llm" in p.read_text()]
+
+
+def test_gates_and_counts(spark):
+    from quarryline.operators import workflow as V
+
+    rows_in = spark.createDataFrame([(1, 200, 10), (2, 50, 10), (3, 200, None)], "k int, commits int, files int")
+    gate = V.gated(rows_in, {"commits": 100, "files": 5})
+    assert [r.skip_reason for r in gate.orderBy("k").collect()] == [None, "low_commits", "low_files"]
+    assert rows(V.reason_counts(gate, ["passed", "low_loc"]), "place", "reason") == [("passed", 1, 0), ("low_loc", 0, 1), ("low_commits", 1, 2), ("low_files", 1, 2)]
+    pure = V.purity(spark.createDataFrame([("x", 3, 0), ("x", 0, 2), (" ", None, None)], "b string, a int, r int"), "a", "r", "b")
+    assert rows(pure) == [("(not set)", 1, 0, 0, 0, 0, None), ("x", 2, 3, 2, 1, 1, 40.0)]
+
+
+def test_discovery_expands_until_enough_survive(spark):
+    from quarryline.operators import workflow as V
+
+    looked = []
+
+    def check(df):
+        looked.append(df.count())
+        return df.filter("id % 10 = 9")
+
+    got = V.expanded(spark.range(1000), [F.col("id")], check, 5, 4, rounds=5)
+    assert [r.id for r in got.orderBy("id").collect()] == [9, 19, 29, 39, 49]
+    assert looked[:2] == [4, 8] and looked[-1] <= 200
+
+
+def test_nested_tables(spark):
+    from quarryline.operators import workflow as V
+
+    nested = spark.createDataFrame([(1, [(5,), (6,)]), (2, []), (3, None)], "k int, xs array<struct<v:int>>")
+    parents, children = V.nested_to_tables(nested, "k", "xs")
+    assert rows(parents) == [(1, 2), (2, 0), (3, 0)]
+    assert rows(children) == [(1, 0, 5), (1, 1, 6)]
