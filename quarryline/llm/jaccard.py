@@ -1,10 +1,11 @@
 """N-gram Jaccard join by chosen paths.
 
-Texts with equal shingle sets are one class. Classes are split recursively: in each node of a run two sampled minhash
-positions, each a sampled token of the set, send a class to the children named by its tokens there, so two sets follow the
-same path as long as they share the sampled tokens. Buckets of at most ``SMALL`` classes are compared by brute force on
-minhash sketches. In a larger bucket every class is compared with the bucket's pivot; what is similar to it hangs on the
-pivot, and the rest is split again. Runs repeat until a pair at the threshold is found with the target probability.
+Texts with equal shingle sets are one class. Classes are split recursively: in each node of a run several sampled sets of
+minhash positions, each position a sampled token of the set, send a class to the children named by its tokens there, so two
+sets follow the same path as long as they share the sampled tokens. Buckets of at most ``SMALL`` classes are compared by
+brute force on minhash sketches. In a larger bucket every class is compared with the bucket's pivot; what is similar to it
+hangs on the pivot, and the rest is split again. What is large after the last level goes whole to the exact comparison.
+Runs repeat until a pair at the threshold is found with the target probability.
 
 What these candidates connect is compared exactly: each task takes a block of a component's sets and streams the others
 past it, counting links in an inverted list. A link is never emitted as a pair; each class gets its number of links and the
@@ -26,24 +27,27 @@ from quarryline.llm.common import small_enough, stored, text_slices
 from quarryline.llm.components import connected_components
 from quarryline.llm.shingles import WIDTH, minhashes, shingles
 
-#: Minhashes of a sketch; sampled positions of a node; classes of a bucket that is compared by brute force.
-SKETCH, BRANCHES, SMALL = 64, 2, 128
+#: Minhashes of a sketch; classes of a bucket that is compared by brute force.
+SKETCH, SMALL = 64, 128
+#: Of each level: children of a class, and sampled tokens that name each. Pairs at 0.8 go on more often than they end, those
+#: below 0.6 end more often.
+LEVELS = ((3, 2), (5, 4), (5, 4), (5, 4))
 #: Probability that a pair at the threshold is found, and what a sketch's estimate may be below a similarity.
 RECALL, SLACK = 0.9999, 0.2
 #: Sets of a component that a task holds at once.
 BLOCK = 1024
 
 
-def survival(similarity: float, depth: int) -> float:
-    """Probability that two sets share a path of a run down to ``depth``."""
+def survival(similarity: float) -> float:
+    """Probability that two sets share a path of a run down to the last level."""
     alive = 1.0
-    for _ in range(depth):
-        alive = 1 - (1 - similarity * alive) ** BRANCHES
+    for branches, tokens in reversed(LEVELS):
+        alive = 1 - (1 - similarity**tokens * alive) ** branches
     return alive
 
 
-def runs_needed(similarity: float, recall: float = RECALL, depth: int = 3) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth))))
+def runs_needed(similarity: float, recall: float = RECALL) -> int:
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity))))
 
 
 def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -61,14 +65,14 @@ def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, key binary, sketch array<int>")
 
 
-def children(rows: DataFrame, sketch: str = "sketch") -> DataFrame:
+def children(rows: DataFrame, level: int) -> DataFrame:
     """The rows (node, key, sketch) with the buckets of the node's children: (node, key)."""
-    branches = []
-    for k in range(BRANCHES):
-        # The second position differs from the first.
-        at = F.pmod(F.xxhash64("node", F.lit(0)) + (F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SKETCH - 1)) + 1 if k else F.lit(0)), F.lit(SKETCH)).cast("int")
-        branches.append(F.xxhash64("node", at, F.element_at(sketch, at + 1)))
-    return rows.select(F.explode(F.array(*branches)).alias("node"), "key")
+    branches, tokens = LEVELS[level]
+    names = []
+    for k in range(branches):
+        at = [F.pmod(F.xxhash64("node", F.lit(k), F.lit(j)), F.lit(SKETCH)).cast("int") + 1 for j in range(tokens)]
+        names.append(F.xxhash64("node", F.lit(k), *(F.element_at("sketch", a) for a in at)))
+    return rows.select(F.explode(F.array(*names)).alias("node"), "key")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -136,9 +140,9 @@ def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) ->
     """Edges (a, b) between keys of ``classes`` (key, sketch) that connect all pairs at the threshold, but for 1 - recall."""
     least = threshold - SLACK
     runs = F.array(*[F.lit(r).cast("long") for r in range(runs_needed(threshold, recall))])
-    now = children(classes.select(F.explode(runs).alias("node"), "key", "sketch"))
+    now = children(classes.select(F.explode(runs).alias("node"), "key", "sketch"), 0)
     edges, buckets = [], []
-    while True:
+    for level in range(len(LEVELS)):
         counts = stored(now.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
         pairs = now.join(counts, "node")
         few = pairs.filter(F.col("n") <= SMALL).groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
@@ -150,9 +154,11 @@ def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) ->
         pivots = many.groupBy("node").agg(F.min(F.struct("key", "sketch")).alias("p"))
         compared = many.join(pivots, "node").select("node", "key", "sketch", F.col("p.key").alias("pivot"), similarity("sketch", "p.sketch").alias("s"))
         compared = stored(compared, "pivots")
-        edges.append(compared.filter((F.col("s") >= least - SLACK) & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        now = children(compared.filter(F.col("s") < threshold))
-        now = stored(now, "nodes")
+        last = level == len(LEVELS) - 1
+        hung = compared.filter(F.col("key") != F.col("pivot"))
+        edges.append((hung if last else hung.filter(F.col("s") >= least - SLACK)).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        if not last:
+            now = stored(children(compared.filter(F.col("s") < threshold), level + 1), "nodes")
     small = buckets[0]
     for b in buckets[1:]:
         small = small.unionByName(b)
@@ -197,9 +203,10 @@ class Posted:
 
 
 def verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """(key, copies, links, root) of each class of each block of ``rows`` (component, block, other, key, copies, set).
+    """(key, copies, links, root) of each class of each block of ``rows`` (component, block, other, key, copies, set, blocks).
 
     Rows of a block with other = 0 are its classes; those with other = 1 are all classes of a component of several blocks.
+    The classes of a component of one block are compared among themselves.
     links counts rows of other classes that are linked; root connects a class, of either kind, with a linked one.
     """
 
@@ -207,7 +214,9 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
         held: list | None = None
 
         def finish() -> pa.RecordBatch:
-            _, keys, copies, _, links, _, edges = held
+            if held[7] == 1:
+                compare(held, held[1], held[2], held[3], threshold)
+            _, keys, copies, _, links, _, edges, _ = held
             rows = [(k, c, n, k) for k, c, n in zip(keys, copies, links.tolist(), strict=True)] + [(a, 0, 0, b) for a, b in edges]
             a, b, c, d = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["key", "copies", "links", "root"])
@@ -220,7 +229,7 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
                 if held is None or held[0] != (component, block):
                     if held is not None:
                         yield finish()
-                    held = [(component, block), [], [], [], np.zeros(0, np.int64), None, []]
+                    held = [(component, block), [], [], [], np.zeros(0, np.int64), None, [], group.column("blocks")[0].as_py()]
                 if not other:
                     # A block's own classes may come in two batches, but are a block's worth together.
                     held[1] += keys
@@ -297,8 +306,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH,
     members = stored(members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "members")
     sets = stored(shingle_sets(docs, members, width).dropDuplicates(["key"]), "sets")
     own = sets.withColumn("other", F.lit(0))
-    others = sets.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("other", F.lit(1))
-    checked = stored(verified(own.unionByName(others).drop("blocks"), threshold), "verified")
+    others = sets.filter("blocks > 1").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("other", F.lit(1))
+    checked = stored(verified(own.unionByName(others), threshold), "verified")
     linked = connected_components(checked.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = checked.filter("copies > 0").groupBy("key").agg(F.sum("links").alias("links"))
     every = classes.select("key", "copies", "first_id").join(links, "key", "left").join(linked.withColumnRenamed("node", "key"), "key", "left")
