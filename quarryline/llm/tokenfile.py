@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -186,7 +187,7 @@ class ByteLevelTokens:
         self.by_unit = self.by_unit and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in kind["added_tokens"])
         added = [t["content"] for t in kind["added_tokens"]]
         self.whole = "|".join([f" [{SPACES}]", f"[{SPACES}] $", *(rf"\Q{t}\E" for t in added)])
-        self.units = UnitEncoder(self._encode, "", " ")
+        self.units = UnitEncoder(self._encode, "", " ", most=1_400_000)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -204,6 +205,12 @@ class ByteLevelTokens:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+@lru_cache(maxsize=1)
+def load(path: str) -> ByteLevelTokens:
+    """The encoder of a file, which a Python worker keeps with its pool from task to task."""
+    return ByteLevelTokens(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> list[dict]:
     """Encodes ``docs`` (doc_id, text), ends each with ``end_id``, and writes shards below ``folder``; returns the manifest.
 
@@ -212,7 +219,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ByteLevelTokens(tokenizer)
+        encode = load(tokenizer)
         store, root = fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         temporary, final = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}", f"{root}/part-{part:06d}.pfor"
