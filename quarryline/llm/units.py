@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ class UnitEncoder:
     Units that were seen before come from a pool, which is emptied when it holds ``most`` units, so memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], first: str, prefix: str, most: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], first: str, prefix: str, most: int = 800_000) -> None:
         self.encode, self.first, self.prefix, self.most = encode, first, prefix, most
         self.clear()
 
@@ -29,7 +30,7 @@ class UnitEncoder:
     def _add(self, units: list[str]) -> None:
         encoded = self.encode(units)
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        new = np.fromiter((i for x in encoded for i in x), np.int32, int(counts.sum()))
+        new = np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))
         n = len(self.places)
         for name, need in (("ids", self.used + len(new)), ("starts", n + len(units) + 1)):
             while need > len(getattr(self, name)):
@@ -56,7 +57,7 @@ class UnitEncoder:
         if missing := list(dict.fromkeys(u for u in units if u not in places)):
             self._add(missing)
         place_of = np.zeros(len(used), np.int64)
-        place_of[distinct] = np.fromiter((places[u] for u in units), np.int64, len(units))
+        place_of[distinct] = np.fromiter(map(places.__getitem__, units), np.int64, len(units))
         at = place_of[codes]
         starts = self.starts[at]
         counts = self.starts[at + 1] - starts
