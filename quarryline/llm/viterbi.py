@@ -49,7 +49,8 @@ class PieceModel:
         ranks = all(scores[i] <= 0 and scores[i] == int(scores[i]) for i in normal)
         total = math.log(sum(1 / (ZIPF_SHIFT - scores[i]) for i in normal)) if ranks else 0.0
         self.pieces = {names[i]: (i, -math.log(ZIPF_SHIFT - scores[i]) - total if ranks else scores[i]) for i in normal if SPACE not in names[i][1:]}
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        # Every beginning of a piece is a key, with None unless it's a piece itself.
+        self.trie: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.longest = max(map(len, self.pieces))
         self.bytes = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.fallback = min(s for _, s in self.pieces.values()) - BYTE_PENALTY
@@ -68,33 +69,34 @@ class StreamingViterbi:
     Of paths with equal scores the one whose last piece is longest wins, at every boundary.
     """
 
-    def __init__(self, model: PieceModel, literal_first: bool = False) -> None:
-        self.model, self.literal = model, literal_first
+    def __init__(self, model: PieceModel) -> None:
+        self.model = model
         self.text, self.next = "", 0  # characters from the last certain boundary on; the next start to be extended
         self.best: list[float] = [0.0]
         self.back: list[tuple[int, int]] = [(0, -1)]
 
     def _extend(self, stop: int) -> None:
         """Tries all pieces from each start before ``stop``."""
-        pieces, prefixes, text, best, back = self.model.pieces, self.model.prefixes, self.text, self.best, self.back
-        n, longest = len(text), self.model.longest
+        trie, fallback, longest, text, best, back = self.model.trie, self.model.fallback, self.model.longest, self.text, self.best, self.back
+        n = len(text)
+        for _ in range(min(stop - 1 + longest, n) + 1 - len(best)):
+            best.append(-math.inf)
+            back.append((0, -1))
         for start in range(self.next, stop):
             base = best[start]
-            while len(best) <= min(start + longest, n):
-                best.append(-math.inf)
-                back.append((0, -1))
             single = False
             for end in range(start + 1, min(start + longest, n) + 1):
-                piece = text[start:end]
-                if piece not in prefixes:
+                found = trie.get(text[start:end], 0)
+                if found:
+                    if end == start + 1:
+                        single = True
+                    total = base + found[1]
+                    if total > best[end]:
+                        best[end], back[end] = total, (start, found[0])
+                elif found == 0:
                     break
-                found = pieces.get(piece)
-                if found is not None:
-                    single |= end == start + 1
-                    if base + found[1] > best[end]:
-                        best[end], back[end] = base + found[1], (start, found[0])
-            if not single and base + self.model.fallback > best[start + 1]:
-                best[start + 1], back[start + 1] = base + self.model.fallback, (start, -1)
+            if not single and base + fallback > best[start + 1]:
+                best[start + 1], back[start + 1] = base + fallback, (start, -1)
         self.next = max(self.next, stop)
 
     def _commit(self, boundary: int) -> list[int]:
@@ -134,6 +136,9 @@ class StreamingViterbi:
 
 def encode_unit(model: PieceModel, unit: str, chunk: int = 4096) -> list[int]:
     """Ids of a stretch that begins with the space mark; later space marks are literal characters of the text."""
+    if len(unit) <= chunk and SPACE not in unit[1:]:
+        search = StreamingViterbi(model)
+        return search.feed(unit) + search.close()
     search, out = StreamingViterbi(model), []
     parts = unit.split(SPACE) if unit.count(SPACE) > 1 else ["", unit[1:]]
     for k, part in enumerate(parts[1:]):
