@@ -28,7 +28,7 @@ from quarryline.llm.components import connected_components
 from quarryline.llm.shingles import WIDTH, minhashes, shingles
 
 #: Minhashes of a sketch; classes of a bucket that is compared by brute force.
-SKETCH, SMALL = 64, 128
+SKETCH, SMALL = 64, 512
 #: Of each level: children of a class, and sampled tokens that name each. Pairs at 0.8 go on more often than they end, those
 #: below 0.6 end more often.
 LEVELS = ((3, 2), (5, 4), (5, 4), (5, 4))
@@ -136,6 +136,12 @@ def small_buckets(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node", "key").mapInArrow(run, "a binary, b binary")
 
 
+def with_sketches(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` (key, ...), a stored table, with the sketches of ``classes``: only where it is small is it sent to all tasks."""
+    small = small_enough(rows.count(), 64)
+    return classes.select("key", "sketch").join(F.broadcast(rows) if small else rows, "key")
+
+
 def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) between keys of ``classes`` (key, sketch) that connect all pairs at the threshold, but for 1 - recall."""
     least = threshold - SLACK
@@ -150,7 +156,8 @@ def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) ->
         buckets.append(stored(few.groupBy("keys").agg(F.min("node").alias("node")), "buckets"))
         if counts.filter(F.col("n") > SMALL).isEmpty():
             break
-        many = stored(pairs.filter(F.col("n") > SMALL).select("node", "key").join(classes, "key"), "many")
+        many = stored(pairs.filter(F.col("n") > SMALL).select("node", "key"), "many")
+        many = stored(with_sketches(many, classes), "many")
         pivots = many.groupBy("node").agg(F.min(F.struct("key", "sketch")).alias("p"))
         compared = many.join(pivots, "node").select("node", "key", "sketch", F.col("p.key").alias("pivot"), similarity("sketch", "p.sketch").alias("s"))
         compared = stored(compared, "pivots")
@@ -162,8 +169,8 @@ def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) ->
     small = buckets[0]
     for b in buckets[1:]:
         small = small.unionByName(b)
-    members = small.groupBy("keys").agg(F.min("node").alias("node")).select("node", F.explode("keys").alias("key"))
-    found = small_buckets(members.join(classes, "key").select("node", "key", "sketch"), least)
+    members = stored(small.groupBy("keys").agg(F.min("node").alias("node")).select("node", F.explode("keys").alias("key")), "members")
+    found = small_buckets(with_sketches(members, classes).select("node", "key", "sketch"), least)
     for e in edges:
         found = found.unionByName(e)
     return found

@@ -222,10 +222,10 @@ def near_rows():
     return [*rows, rows[0], (None, rows[1][1]), (None, "lonely words without an id")]
 
 
-@pytest.mark.parametrize("small", [128, 4])
+@pytest.mark.parametrize("small", [512, 4])
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "BLOCK", 1024 if small == 128 else 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 1024 if small == 512 else 8)
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("node", F.lit(1))
     assert sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=str) == linked(rows)
