@@ -85,9 +85,9 @@ def occurrences(c: ColumnOrName, patterns: Sequence[str]) -> Column:
 
 
 def bounded(word: str) -> str:
-    """A pattern for a word or phrase that letters, digits and underscores end."""
-    left = r"(?<!\w)" if re.match(r"\w", word) else ""
-    right = r"(?!\w)" if re.search(r"\w$", word) else ""
+    """A pattern for a word or phrase that letters and digits of any script and underscores end."""
+    left = r"(?<![\p{L}\p{N}_])" if re.match(r"\w", word) else ""
+    right = r"(?![\p{L}\p{N}_])" if re.search(r"\w$", word) else ""
     return f"{left}{re.escape(word)}{right}"
 
 

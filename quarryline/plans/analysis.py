@@ -231,7 +231,17 @@ SELECT conv_id, turn, CASE WHEN role = 'system' THEN NULL WHEN regexp_matches(te
 FROM conversations WHERE NOT regexp_matches(text, '(?i)(co-authored-by|assisted-by|generated-by):') AND text SIMILAR TO '[\\x00-\\x7f]*'
 """)
 def priority_classifier(spark: SparkSession, d: str) -> DataFrame:
-    rows = T(spark, d, "conversations").filter(~F.col("text").rlike("(?i)(co-authored-by|assisted-by|generated-by):") & F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    """The ASCII rows of priority_classifier_all_rows, where DuckDB's word boundaries are the same."""
+    return _classified(T(spark, d, "conversations").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")))
+
+
+@query()
+def priority_classifier_all_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(T(spark, d, "conversations"))
+
+
+def _classified(turns: DataFrame) -> DataFrame:
+    rows = turns.filter(~F.col("text").rlike("(?i)(co-authored-by|assisted-by|generated-by):"))
     agent = S.agent_of("role", F.lit(""), "text", [], ["system"], [])
     body = S.first_rule("text", [(name, "(?i)" + "|".join(S.bounded(w) for w in words)) for name, words in (("english", ["the", "that"]), ("german", ["der", "die"]))])
     return rows.select("conv_id", "turn", F.when(F.col("role") == "system", agent).otherwise(body).alias("agent"))

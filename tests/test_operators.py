@@ -4,6 +4,7 @@ import gzip
 import itertools
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -270,3 +271,18 @@ def test_nested_tables(spark):
     parents, children = V.nested_to_tables(nested, "k", "xs")
     assert rows(parents) == [(1, 2), (2, 0), (3, 0)]
     assert rows(children) == [(1, 0, 5), (1, 1, 6)]
+
+
+def test_priority_classifier_reads_every_row(spark, tmp_path):
+    """Text with letters beyond ASCII is classified, and such letters are part of a word."""
+    from quarryline.plans.catalogue import QUERIES
+
+    texts = ["Räder für alle", "die Straße", "Wörter und das", "that's naïve", "é the", "Bäder, der Fluß", "thé", "le café", "Generated-By: ü der", "die"]
+    data = [(k, 0, "user", t) for k, t in enumerate(texts)] + [(50, 1, "system", "die Größe")]
+    spark.createDataFrame(data, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = []
+    for k, turn, role, t in data:
+        if not re.search("(?i)(co-authored-by|assisted-by|generated-by):", t):
+            name = next((n for n, p in (("english", r"\b(the|that)\b"), ("german", r"\b(der|die)\b")) if re.search(p, t, re.I)), None)
+            want.append((k, turn, None if role == "system" else name))
+    assert rows(QUERIES["priority_classifier_all_rows"](spark, str(tmp_path))) == want
