@@ -5,7 +5,7 @@ minhash positions, each position a sampled token of the set, send a class to the
 sets follow the same path as long as they share the sampled tokens. Buckets of at most ``SMALL`` classes are compared by
 brute force on minhash sketches. In a larger bucket every class is compared with the bucket's pivot; what is similar to it
 hangs on the pivot, and the rest is split again. What is large after the last level goes whole to the exact comparison.
-Runs repeat until a pair at the threshold is found with the target probability.
+Runs repeat, each on minhashes of its own, until a pair at the threshold is found with the target probability.
 
 What these candidates connect is compared exactly: each task takes a block of a component's sets and streams the others
 past it, counting links in an inverted list. A link is never emitted as a pair; each class gets its number of links and the
@@ -27,8 +27,8 @@ from quarryline.llm.common import small_enough, stored, text_slices
 from quarryline.llm.components import connected_components
 from quarryline.llm.shingles import WIDTH, minhashes, shingles
 
-#: Minhashes of a sketch; classes of a bucket that is compared by brute force.
-SKETCH, SMALL = 64, 512
+#: Minhashes of each run; those that brute force compares; classes of a bucket that is compared by brute force.
+SKETCH, GATE, SMALL = 64, 128, 512
 #: Of each level: children of a class, and sampled tokens that name each. Pairs at 0.8 go on more often than they end, those
 #: below 0.6 end more often.
 LEVELS = ((3, 2), (5, 4), (5, 4), (5, 4))
@@ -39,40 +39,62 @@ BLOCK = 1024
 
 
 def survival(similarity: float) -> float:
-    """Probability that two sets share a path of a run down to the last level."""
+    """Probability that two sets share a path of a run down to the last level, if their minhashes agree that often."""
     alive = 1.0
     for branches, tokens in reversed(LEVELS):
         alive = 1 - (1 - similarity**tokens * alive) ** branches
     return alive
 
 
+def agreement(similarity: float, size: int) -> list[float]:
+    """Probabilities that two sets agree on 0, 1, ... of ``size`` minhashes."""
+    return [math.comb(size, k) * similarity**k * (1 - similarity) ** (size - k) for k in range(size + 1)]
+
+
+def missed(similarity: float, runs: int, slack: float = SLACK) -> float:
+    """Bound of the probability that a pair at the threshold is not found by ``runs`` runs.
+
+    A run's paths and pivots draw on the same minhashes, so they are taken together; runs share none, and the gate of brute
+    force is one for all runs.
+    """
+    gate = similarity - slack
+    found = sum(p * survival(k / SKETCH) for k, p in enumerate(agreement(similarity, SKETCH)) if k >= gate * SKETCH)
+    return (1 - found) ** runs + sum(p for k, p in enumerate(agreement(similarity, GATE)) if k < gate * GATE)
+
+
 def runs_needed(similarity: float, recall: float = RECALL) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity))))
+    """The least runs that reach the recall, counted for pairs at ``similarity``; two at least, whose minhashes the gate takes."""
+    runs = GATE // SKETCH
+    while missed(similarity, runs) > 1 - recall and missed(similarity, runs + 1) < missed(similarity, runs):
+        runs += 1
+    return runs
 
 
-def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, key, sketch) of each row; key is a digest of the set of shingles, null where there is no word."""
+def sketched(docs: DataFrame, width: int = WIDTH, runs: int = 2) -> DataFrame:
+    """(doc_id, key, sketch) of each row; key is a digest of the set of shingles, and the sketch has the low 16 bits of each
+    minhash of all runs."""
+    size = runs * SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             hashes, offsets = shingles(batch.column("text"), width)
-            found = minhashes(hashes, offsets, SKETCH).view(np.int32)
+            found = minhashes(hashes, offsets, size).astype(np.uint16).view(np.int16)
             ends = offsets.tolist()
             keys = [hashlib.blake2b(np.unique(hashes[a:b]).tobytes(), digest_size=16).digest() for a, b in zip(ends, ends[1:], strict=False)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * SKETCH, pa.int32()), pa.array(found.ravel(), pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * size, pa.int32()), pa.array(found.ravel(), pa.int16()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), lists], ["doc_id", "key", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, key binary, sketch array<int>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, key binary, sketch array<short>")
 
 
 def children(rows: DataFrame, level: int) -> DataFrame:
-    """The rows (node, key, sketch) with the buckets of the node's children: (node, key)."""
+    """The rows (run, node, key, sketch) with the buckets of the node's children: (run, node, key)."""
     branches, tokens = LEVELS[level]
     names = []
     for k in range(branches):
         at = [F.pmod(F.xxhash64("node", F.lit(k), F.lit(j)), F.lit(SKETCH)).cast("int") + 1 for j in range(tokens)]
         names.append(F.xxhash64("node", F.lit(k), *(F.element_at("sketch", a) for a in at)))
-    return rows.select(F.explode(F.array(*names)).alias("node"), "key")
+    return rows.select("run", F.explode(F.array(*names)).alias("node"), "key")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -123,10 +145,10 @@ def small_buckets(rows: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in grouped_batches(batches, ["node"]):
             keys = bucket.column("key").to_pylist()
-            sketches = bucket.column("sketch").combine_chunks().values.to_numpy().reshape(len(keys), SKETCH)
+            sketches = bucket.column("sketch").combine_chunks().values.to_numpy().reshape(len(keys), GATE)
             links = []
             for i in range(len(keys) - 1):
-                near = np.flatnonzero((sketches[i + 1 :] == sketches[i]).sum(axis=1) >= least * SKETCH)
+                near = np.flatnonzero((sketches[i + 1 :] == sketches[i]).sum(axis=1) >= least * GATE)
                 links += [(i, i + 1 + j) for j in near.tolist()]
             if links:
                 roots = roots_of(len(keys), iter(links))
@@ -136,17 +158,23 @@ def small_buckets(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node", "key").mapInArrow(run, "a binary, b binary")
 
 
-def with_sketches(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """``rows`` (key, ...), a stored table, with the sketches of ``classes``: only where it is small is it sent to all tasks."""
+def part(run: Column) -> Column:
+    """A run's own minhashes of a sketch."""
+    return F.slice("sketch", run * SKETCH + 1, SKETCH).alias("sketch")
+
+
+def with_sketches(rows: DataFrame, classes: DataFrame, sketch: Column) -> DataFrame:
+    """``rows`` (key, ...), a stored table, with ``sketch`` of ``classes``: only where it is small is it sent to all tasks."""
     small = small_enough(rows.count(), 64)
-    return classes.select("key", "sketch").join(F.broadcast(rows) if small else rows, "key")
+    return classes.select("key", "sketch").join(F.broadcast(rows) if small else rows, "key").select(*rows.columns, sketch)
 
 
 def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) between keys of ``classes`` (key, sketch) that connect all pairs at the threshold, but for 1 - recall."""
     least = threshold - SLACK
-    runs = F.array(*[F.lit(r).cast("long") for r in range(runs_needed(threshold, recall))])
-    now = children(classes.select(F.explode(runs).alias("node"), "key", "sketch"), 0)
+    runs = F.array(*[F.lit(r) for r in range(runs_needed(threshold, recall))])
+    begun = classes.select(F.explode(runs).alias("run"), "key", "sketch").select("run", F.col("run").cast("long").alias("node"), "key", part(F.col("run")))
+    now = children(begun, 0)
     edges, buckets = [], []
     for level in range(len(LEVELS)):
         counts = stored(now.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
@@ -156,10 +184,10 @@ def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) ->
         buckets.append(stored(few.groupBy("keys").agg(F.min("node").alias("node")), "buckets"))
         if counts.filter(F.col("n") > SMALL).isEmpty():
             break
-        many = stored(pairs.filter(F.col("n") > SMALL).select("node", "key"), "many")
-        many = stored(with_sketches(many, classes), "many")
+        many = stored(pairs.filter(F.col("n") > SMALL).select("run", "node", "key"), "many")
+        many = stored(with_sketches(many, classes, part(F.col("run"))), "many")
         pivots = many.groupBy("node").agg(F.min(F.struct("key", "sketch")).alias("p"))
-        compared = many.join(pivots, "node").select("node", "key", "sketch", F.col("p.key").alias("pivot"), similarity("sketch", "p.sketch").alias("s"))
+        compared = many.join(pivots, "node").select("run", "node", "key", "sketch", F.col("p.key").alias("pivot"), similarity("sketch", "p.sketch").alias("s"))
         compared = stored(compared, "pivots")
         last = level == len(LEVELS) - 1
         hung = compared.filter(F.col("key") != F.col("pivot"))
@@ -170,7 +198,7 @@ def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) ->
     for b in buckets[1:]:
         small = small.unionByName(b)
     members = stored(small.groupBy("keys").agg(F.min("node").alias("node")).select("node", F.explode("keys").alias("key")), "members")
-    found = small_buckets(with_sketches(members, classes).select("node", "key", "sketch"), least)
+    found = small_buckets(with_sketches(members, classes, F.slice("sketch", 1, GATE).alias("sketch")), least)
     for e in edges:
         found = found.unionByName(e)
     return found
@@ -304,7 +332,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH,
     all rows that links connect with this one; n_links is the number of rows it is linked to itself. Rows of a class that has
     no id at all get null. Repeated rows count one by one; other columns are not read; an empty table gives an empty result.
     """
-    rows = stored(sketched(docs, width), "sketches")
+    rows = stored(sketched(docs, width, runs_needed(threshold, recall)), "sketches")
     classes = stored(rows.groupBy("key").agg(F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "classes")
     found = connected_components(candidates(classes.select("key", "sketch"), threshold, recall))
     members = found.withColumnRenamed("node", "key").join(classes.select("key", "copies", "first_id"), "key")

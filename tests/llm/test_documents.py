@@ -241,6 +241,38 @@ def test_recall_by_runs():
     assert (1 - jaccard.survival(0.8)) ** jaccard.runs_needed(0.8) <= 1 - jaccard.RECALL
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.82])
+def test_recall_where_paths_and_gate_share_minhashes(similarity):
+    """Runs are drawn: a pair's minhashes, the positions of its paths through all levels, and the gate."""
+    rng = np.random.default_rng(4)
+    n, runs = 40_000, jaccard.runs_needed(0.8)
+    same = rng.random((n, runs * jaccard.SKETCH)) < similarity
+    found = np.zeros(n, bool)
+    for r in range(runs):
+        own = same[:, r * jaccard.SKETCH : (r + 1) * jaccard.SKETCH]
+        share = own.mean(axis=1)
+        alive = np.ones(n, int)
+        for branches, tokens in jaccard.LEVELS:
+            alive = rng.binomial(alive * branches, share**tokens)
+        found |= (alive > 0) & (share >= 0.6)
+    found &= same[:, : jaccard.GATE].sum(axis=1) >= 0.6 * jaccard.GATE
+    assert (~found).sum() <= 4
+    assert jaccard.missed(0.8, runs) <= 1 - jaccard.RECALL
+
+
+def test_runs_have_minhashes_of_their_own(spark, monkeypatch):
+    """A pair that one run's minhashes tell apart is found by the others, in small buckets and in large ones."""
+    rng = np.random.default_rng(5)
+    runs = jaccard.runs_needed(0.8)
+    a = rng.integers(-30000, 30000, runs * jaccard.SKETCH)
+    b = np.where(rng.random(len(a)) < 0.82, a, a + 1)
+    b[: jaccard.SKETCH] = np.where(np.arange(jaccard.SKETCH) < 35, a[: jaccard.SKETCH], a[: jaccard.SKETCH] + 1)
+    classes = spark.createDataFrame([(b"a", a.tolist()), (b"b", b.tolist())], "key binary, sketch array<short>")
+    for small in (512, 1):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        assert {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in jaccard.candidates(classes, 0.8).collect()} == {(b"a", b"b")}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7), (200, 200), (None, 1)]
