@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -154,63 +155,69 @@ def false_discovery(tests: DataFrame, family: Sequence[str], key: Sequence[str],
     return done.unionByName(skipped.withColumn("p_adjusted", F.lit(None).cast("double")).withColumn("significant", F.lit(None).cast("boolean")))
 
 
-def dip(values: np.ndarray) -> float:
+def _gap(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """How far ``high`` rises above the largest convex curve that stays under ``low``."""
+    xs, ys = x.tolist(), low.tolist()
+    hull: list[int] = []
+    for i in range(len(xs)):
+        while len(hull) > 1 and (ys[hull[-1]] - ys[hull[-2]]) * (xs[i] - xs[hull[-2]]) >= (ys[i] - ys[hull[-2]]) * (xs[hull[-1]] - xs[hull[-2]]):
+            hull.pop()
+        hull.append(i)
+    return float((high - np.interp(x, x[hull], low[hull])).max()) if hull else 0.0
+
+
+def dip(values: np.ndarray, weights: np.ndarray | None = None) -> float:
     """The largest distance of an empirical distribution from the nearest one with a single mode.
 
-    Bisection over the distance: one that suffices has a convex curve up to some point and a concave one from there inside
-    the band around the empirical distribution.
+    That has a convex curve up to some point and a concave one from there. Half the larger of both sides' gaps suffices; the
+    left one grows with the point and the right one shrinks, so the best point is found by bisection. ``weights`` counts how
+    often each value occurs.
     """
-    x, counts = np.unique(np.asarray(values, float), return_counts=True)
+    x, at = np.unique(np.asarray(values, float), return_inverse=True)
     if len(x) < 2:
         return 0.0
+    counts = np.bincount(at, weights)
     high = np.cumsum(counts) / counts.sum()
     low = high - counts / counts.sum()
 
-    def reach(x: np.ndarray, under: np.ndarray, over: np.ndarray) -> int:
-        """How many points from the left a convex curve passes that stays at or above ``under`` and at or below ``over``."""
-        hull: list[int] = []
-        for i in range(len(x)):
-            while len(hull) > 1 and (over[hull[-1]] - over[hull[-2]]) * (x[i] - x[hull[-2]]) >= (over[i] - over[hull[-2]]) * (x[hull[-1]] - x[hull[-2]]):
-                hull.pop()
-            hull.append(i)
-            if (np.interp(x[: i + 1], x[hull], over[hull]) < under[: i + 1] - 1e-12).any():
-                return i
-        return len(x)
-
-    def fits(d: float) -> bool:
-        left = reach(x, high - d, low + d)
-        right = reach(-x[::-1], 1 - low[::-1] - d, 1 - high[::-1] + d)
-        return left + right >= len(x)
-
-    lo, hi = 0.0, 0.5
-    for _ in range(20):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if fits(mid) else (mid, hi)
-    return hi
-
-
-def dip_tests(rows: DataFrame, value: str, by: Sequence[str], draws: int = 50, grid: int = 128, seed: int = 7) -> DataFrame:
+    def sides(i: int) -> tuple[float, float]:
+        return _gap(x[:i], low[:i], high[:i]), _gap(-x[i:][::-1], 1 - high[i:][::-1], 1 - low[i:][::-1])
+
+    first, last = 0, len(x)
+    while last - first > 1:
+        i = (first + last) // 2
+        left, right = sides(i)
+        first, last = (first, i) if left >= right else (i, last)
+    return min(max(sides(first)), max(sides(last))) / 2
+
+
+@functools.lru_cache(maxsize=64)
+def _null_dips(size: int, draws: int, seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    return np.array([dip(rng.random(size)) for _ in range(draws)])
+
+
+def dip_tests(rows: DataFrame, value: str, by: Sequence[str], draws: int = 500, largest: int = 1024, seed: int = 7) -> DataFrame:
     """The dip of each group with a p from uniform samples of the same size; null for groups of three values or fewer.
 
-    A group's values reach the test as ``grid`` quantiles, made natively, so no group is gathered in a task.
+    The dip is that of all values, counted by distinct value first; one task holds a group's distinct values. Beyond
+    ``largest`` values samples have that size, and their dips are scaled by the root of the sizes, as the dip of uniform
+    samples shrinks.
     """
-    points = F.array(*[F.lit((k + 0.5) / grid) for k in range(grid)])
-    groups = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, points).alias("q"))
-
-    @F.pandas_udf("dip double, p double")
-    def test(q: pd.Series, n: pd.Series) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        null: dict[int, np.ndarray] = {}
-        out = []
-        for points, size in zip(q, n, strict=True):
-            if size <= 3:
-                out.append((None, None))
-                continue
-            m = min(int(size), grid)
-            if m not in null:
-                null[m] = np.array([dip(rng.random(m)) for _ in range(draws)])
-            found = dip(np.quantile(points, (np.arange(m) + 0.5) / m))
-            out.append((found, float((null[m] >= found).mean())))
-        return pd.DataFrame(out, columns=["dip", "p"])
-
-    return groups.select(*by, "n", test("q", "n").alias("t")).select(*by, "n", "t.dip", "t.p")
+    names = [f"k{i}" for i in range(len(by))]
+    used = rows.filter(F.col(value).isNotNull()).select(*(F.col(b).alias(k) for b, k in zip(by, names, strict=True)), F.col(value).cast("double").alias("v"))
+    counts = used.groupBy(*names, "v").agg(F.count("*").alias("c"))
+
+    def test(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        n = int(group["c"].sum())
+        found = p = None
+        if n > 3:
+            m = min(n, largest)
+            found = dip(group["v"].to_numpy(), group["c"].to_numpy())
+            p = float((_null_dips(m, draws, seed) * math.sqrt(m / n) >= found - 1e-12).mean())
+        return pd.DataFrame({**{k: [x] for k, x in zip(names, key, strict=True)}, "n": [n], "dip": pd.array([found], "Float64"), "p": pd.array([p], "Float64")})
+
+    keys = counts.select(*names).schema.fields
+    out = T.StructType([*keys, T.StructField("n", T.LongType()), T.StructField("dip", T.DoubleType()), T.StructField("p", T.DoubleType())])
+    tested = counts.groupBy(*names).applyInPandas(test, out)
+    return tested.select(*(F.col(k).alias(b) for b, k in zip(by, names, strict=True)), "n", "dip", "p")

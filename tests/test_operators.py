@@ -78,6 +78,27 @@ def test_dip_tells_one_mode_from_two(spark):
     assert stats.dip(np.array([1.0, 1.0])) == 0.0
 
 
+def test_dip_is_that_of_all_values(spark):
+    """Two modes too close for a hundred points are told apart by thousands; the dip is the exact one."""
+    rng = np.random.default_rng(2)
+    close = np.round(np.r_[rng.normal(0, 1, 3000), rng.normal(2.8, 1, 3000)], 2)
+    data = [("close", float(x)) for x in close] + [("one", float(x)) for x in rng.normal(size=3000)]
+    got = {r.g: r for r in stats.dip_tests(spark.createDataFrame(data, "g string, x double"), "x", ["g"]).collect()}
+    assert got["close"].p <= 0.01 and got["one"].p > 0.05
+    assert got["close"].dip == pytest.approx(stats.dip(close), abs=1e-9)
+    # The best split by trying all, each side's curve from every line through two of its points.
+    for n in (2, 5, 9):
+        x = np.sort(rng.random(n))
+        low, high = np.arange(n) / n, np.arange(1, n + 1) / n
+
+        def gap(x, low, high):
+            curve = [min([low[j], *(low[a] + (low[b] - low[a]) * (x[j] - x[a]) / (x[b] - x[a]) for a in range(j) for b in range(j + 1, len(x)))]) for j in range(len(x))]
+            return max((h - c for h, c in zip(high, curve, strict=True)), default=0.0)
+
+        best = min(max(gap(x[:i], low[:i], high[:i]), gap(-x[i:][::-1], 1 - high[i:][::-1], 1 - low[i:][::-1])) for i in range(n + 1)) / 2
+        assert stats.dip(x) == pytest.approx(best, abs=1e-9)
+
+
 def test_running_sums_in_ranges(spark):
     rng = random.Random(2)
     data = [(i, rng.randint(0, 50), rng.choice("ab")) for i in range(500)]
