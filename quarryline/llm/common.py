@@ -11,16 +11,35 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.session import ship, table  # noqa: F401
+from quarryline import session
 
 #: Bytes that a table may have at most before the operators stop broadcasting it.
 BROADCAST_BYTES = 32 << 20
+#: Rows that go to a Python worker at once at most; texts are cut further by their bytes.
+BATCH_ROWS = 1000
+
+
+def ship(spark: SparkSession) -> None:
+    """The package on the workers, and batches that bound what a worker holds."""
+    session.ship(spark)
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return session.table(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh one in local runs without it."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh one in local runs without it.
+
+    On a cluster a session without that setting raises an error: a folder of one machine is not shared.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,20 +57,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of text, or of one row; a null text becomes an empty one."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        text = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-        batch = batch.set_column(at, pa.field(column, pa.large_string()), text)
-        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         begin = 0
         while begin < batch.num_rows:
             before = ends[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
-            yield batch.slice(begin, end - begin)
+            part = batch.slice(begin, end - begin)
+            text = pc.fill_null(part.column(at).cast(pa.large_string()), "")
+            yield part.set_column(at, pa.field(column, pa.large_string()), text)
             begin = end
 
 

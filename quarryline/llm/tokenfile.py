@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import fresh_path, text_slices
-from quarryline.llm.units import UnitEncoder
+from quarryline.llm.units import UnitEncoder, spread
 
 MAGIC = b"QLPFOR01"
 BLOCK = 128
@@ -171,8 +171,8 @@ SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 class ByteLevelTokens:
     """Ids of a tokenizer file of the tokenizers library, the same as its encode() of each whole text.
 
-    The pattern of byte-level tokenizers always starts a new word at a space that something other than white space
-    follows, so the library encodes each distinct stretch between such spaces once. Texts with other spaces or with an
+    The pattern of byte-level tokenizers always starts a new word at a space or a line feed that something other than white
+    space follows, so the library encodes each distinct stretch between such places once. Texts with other spaces or with an
     added token's string go to the library whole, and so does everything if the file isn't of this kind.
     """
 
@@ -187,21 +187,51 @@ class ByteLevelTokens:
         self.by_unit = self.by_unit and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in kind["added_tokens"])
         added = [t["content"] for t in kind["added_tokens"]]
         self.whole = "|".join([f" [{SPACES}]", f"[{SPACES}] $", *(rf"\Q{t}\E" for t in added)])
-        self.units = UnitEncoder(self._encode, "", " ", most=1_400_000)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tab = self._one("\t")
+        self.units = UnitEncoder(self._units, "", " ", slots=1 << 20, most_ids=6 << 20)
+
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _units(self, units: list[str], most: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in sequence, and the number of each.
+
+        The pattern makes a tab between two units a word of its own, so units without white space are encoded in one string
+        and told apart by the tab's id, which no other text has.
+        """
+        units = [u[1:] if u.startswith(" \n") else u for u in units]
+        plain = pc.match_substring_regex(pa.array(units, pa.large_string()), f"^[ \n]?[^{SPACES}]+$").to_numpy(zero_copy_only=False).astype(bool)
+        if len(self.tab) != 1:
+            plain[:] = False
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        parts, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k in range(0, n, most):
+            ids = np.array(self._one("\t".join([units[i] for i in order[k : min(k + most, n)].tolist()])), np.int32)
+            tabs = np.flatnonzero(ids == self.tab[0])
+            lengths.append(np.diff(np.concatenate([[-1], tabs, [len(ids)]])) - 1)
+            parts.append(np.delete(ids, tabs))
+        for i in order[n:].tolist():
+            parts.append(np.array(self._one(units[i]), np.int32))
+            lengths.append(np.array([len(parts[-1])]))
+        counts, starts, every = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), np.concatenate(lengths)
+        counts[order], starts[order] = every, np.cumsum(every) - every
+        return np.concatenate(parts)[spread(starts, counts)], counts
+
+    def _cut(self, text: pa.Array) -> pa.Array:
+        """A space before each line feed that something other than white space follows: the pattern starts a word there too."""
+        return pc.replace_substring_regex(text, f"\n([^{SPACES}])", " \n\\1")
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(text, self.whole).to_numpy(zero_copy_only=False) if self.by_unit else np.ones(len(text), bool)
         if not odd.any():
-            return self.units(text)
-        ids, offsets = self.units(text.filter(pa.array(~odd)))
+            return self.units(self._cut(text))
+        ids, offsets = self.units(self._cut(text.filter(pa.array(~odd))))
         parts: list[np.ndarray] = [None] * len(text)  # type: ignore[list-item]
         for k, i in enumerate(np.flatnonzero(~odd).tolist()):
             parts[i] = ids[offsets[k] : offsets[k + 1]]
         for i in np.flatnonzero(odd).tolist():
-            parts[i] = np.array(self._encode([text[i].as_py()])[0], np.int32)
+            parts[i] = np.array(self._one(text[i].as_py()), np.int32)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
@@ -226,10 +256,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
         store.create_dir(root)
         with store.open_output_stream(temporary) as sink:
             writer = ShardWriter(sink)
-            for batch in text_slices(batches):
+            for batch in text_slices(batches, most=4 << 20):
                 ids, offsets = encode(batch.column("text"))
-                ids = np.insert(ids, offsets[1:], end_id)
-                writer.add(batch.column("doc_id").to_pylist(), np.diff(offsets) + 1, ids)
+                ended = np.full(len(ids) + batch.num_rows, end_id, np.int32)
+                ended[np.arange(len(ids)) + np.repeat(np.arange(batch.num_rows), np.diff(offsets))] = ids
+                writer.add(batch.column("doc_id").to_pylist(), np.diff(offsets) + 1, ended)
             writer.close()
         if writer.n_docs:
             store.move(temporary, final)

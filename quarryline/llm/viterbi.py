@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search keeps only boundaries that a piece may still start from: a window bounded by the longest piece. Whenever the
-paths to all surviving boundaries meet in one earlier boundary, the ids up to there are final and leave the window, so a
-text of any length needs memory for what is undecided alone. No piece with a score has the space mark behind another
-character, so every path meets at each space, and what lies between spaces is searched once for each distinct stretch.
+Texts are fed to one search. An automaton of all pieces runs along and names, at each character, the pieces that end there,
+so a boundary's best path is known as soon as its character is read. Boundaries that no later piece can start from are
+dropped: the window has the longest piece's characters at most, besides what is not yet committed. Whenever the paths to
+all surviving boundaries meet in one boundary, the ids up to it are committed and leave the window. No piece has the space
+mark behind another character, so at a space the paths always meet; in stretches without spaces they are looked at once a
+window's length. What the search has committed for a stretch between two spaces is kept in a pool of bounded size, and is
+not searched for again while it is there.
 
 Scores are those of the model file. A BPE model's scores are merge ranks; they become log-probabilities by Zipf's law.
 Characters without a piece become byte pieces. The space mark itself, as a character of a text, also becomes bytes, which
@@ -18,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +30,8 @@ from quarryline.llm.common import text_slices
 from quarryline.llm.units import UnitEncoder
 
 SPACE = "▁"
+#: Stands for the space mark as a character of a text; no text in UTF-8 has it.
+HIDDEN = "\udc00"
 #: Added to a merge rank before the logarithm.
 ZIPF_SHIFT = 3.0
 #: What a character in bytes costs beyond the worst piece.
@@ -49,8 +55,11 @@ class PieceModel:
         ranks = all(scores[i] <= 0 and scores[i] == int(scores[i]) for i in normal)
         total = math.log(sum(1 / (ZIPF_SHIFT - scores[i]) for i in normal)) if ranks else 0.0
         self.pieces = {names[i]: (i, -math.log(ZIPF_SHIFT - scores[i]) - total if ranks else scores[i]) for i in normal if SPACE not in names[i][1:]}
-        # Every beginning of a piece is a key, with None unless it's a piece itself.
-        self.trie: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
+        self.mark = self.pieces[SPACE][0]
+        self.automaton = ahocorasick.Automaton()
+        for piece, (number, score) in self.pieces.items():
+            self.automaton.add_word(piece, (len(piece), score, number))
+        self.automaton.make_automaton()
         self.longest = max(map(len, self.pieces))
         self.bytes = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.fallback = min(s for _, s in self.pieces.values()) - BYTE_PENALTY
@@ -60,96 +69,123 @@ class PieceModel:
 
     def spelt(self, char: str) -> list[int]:
         """Ids of a character that no piece has."""
-        return [self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass")]
+        return [self.bytes.get(b, self.unknown) for b in (SPACE if char == HIDDEN else char).encode("utf-8", "surrogatepass")]
 
 
 class StreamingViterbi:
-    """Feed characters with ``feed``; it returns ids as soon as they are certain, ``close`` the rest.
+    """A search over a stream of characters: ``feed`` returns the ids that have become certain, ``close`` the rest.
 
     Of paths with equal scores the one whose last piece is longest wins, at every boundary.
     """
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
-        self.text, self.next = "", 0  # characters from the last certain boundary on; the next start to be extended
+        #: The last characters that were read, where a later piece may begin, and how many were read.
+        self.tail, self.read = "", 0
+        #: Characters that may still be asked for and their place in the stream; the last certain boundary's place.
+        self.text, self.origin, self.begin = "", 0, 0
+        #: Of each boundary from there on: its best path's score, the boundary before it there, and the piece between.
         self.best: list[float] = [0.0]
         self.back: list[tuple[int, int]] = [(0, -1)]
-
-    def _extend(self, stop: int) -> None:
-        """Tries all pieces from each start before ``stop``."""
-        trie, fallback, longest, text, best, back = self.model.trie, self.model.fallback, self.model.longest, self.text, self.best, self.back
-        n = len(text)
-        for _ in range(min(stop - 1 + longest, n) + 1 - len(best)):
-            best.append(-math.inf)
-            back.append((0, -1))
-        for start in range(self.next, stop):
-            base = best[start]
-            single = False
-            for end in range(start + 1, min(start + longest, n) + 1):
-                found = trie.get(text[start:end], 0)
-                if found:
-                    if end == start + 1:
-                        single = True
-                    total = base + found[1]
-                    if total > best[end]:
-                        best[end], back[end] = total, (start, found[0])
-                elif found == 0:
-                    break
-            if not single and base + fallback > best[start + 1]:
-                best[start + 1], back[start + 1] = base + fallback, (start, -1)
-        self.next = max(self.next, stop)
+        #: Number of ids committed, and what it was before each space mark.
+        self.committed = 0
+        self.ids_before: list[int] = []
+
+    def _reach(self, boundary: int) -> None:
+        """Opens boundaries up to ``boundary``, each reached from the one before it by a character in bytes."""
+        best, back, fallback = self.best, self.back, self.model.fallback
+        for b in range(len(best), boundary + 1):
+            best.append(best[-1] + fallback)
+            back.append((b - 1, -1))
+
+    def _meeting(self, first: int) -> int:
+        """The last boundary that the best paths to all boundaries from ``first`` on share."""
+        back = self.back
+        alive = set(range(first, len(back)))
+        while len(alive) > 1:
+            last = max(alive)
+            alive.discard(last)
+            alive.add(back[last][0])
+        return alive.pop()
 
     def _commit(self, boundary: int) -> list[int]:
         """Ids of the best path to ``boundary``, which becomes the window's begin."""
-        path, at = [], boundary
+        path, at, back, shift = [], boundary, self.back, self.begin - self.origin
         while at:
-            start, found = self.back[at]
-            path.append([found] if found >= 0 else self.model.spelt(self.text[start:at]))
+            start, found = back[at]
+            if found >= 0:
+                path.append(found)
+            else:
+                path += reversed(self.model.spelt(self.text[shift + start : shift + at]))
             at = start
-        self.text, self.next = self.text[boundary:], self.next - boundary
+        path.reverse()
+        self.begin += boundary
         self.best = self.best[boundary:]
-        self.back = [(a - boundary, b) for a, b in self.back[boundary:]]
-        return [i for ids in reversed(path) for i in ids]
-
-    def _meeting(self) -> int:
-        """The last boundary that the paths to all reached boundaries from ``next`` on share."""
-        alive = {b for b in range(self.next, len(self.best)) if self.best[b] > -math.inf}
-        while len(alive) > 1:
-            last = max(alive)
-            alive.discard(last)
-            alive.add(self.back[last][0])
-        return alive.pop()
+        self.back = [(0, -1)] + [(a - boundary, b) for a, b in back[boundary + 1 :]]
+        self.committed += len(path)
+        return path
 
     def feed(self, text: str) -> list[int]:
-        self.text += text
+        self.text = self.text[self.begin - self.origin :] + text
+        self.origin = self.begin
         out: list[int] = []
-        # The last characters wait, since a longer piece may start there.
-        while len(self.text) - self.next >= 3 * self.model.longest:
-            self._extend(self.next + 2 * self.model.longest)
-            out += self._commit(self._meeting())
+        known, text = len(self.tail), self.tail + text
+        offset = self.read - known + 1
+        self.tail, self.read = text[max(len(text) - self.model.longest + 1, 0) :], self.read + len(text) - known
+        mark, longest, fallback = self.model.mark, self.model.longest, self.model.fallback
+        best, back, look, top = self.best, self.back, 4 * longest, len(self.best)
+        shift = offset - self.begin
+        for end, (length, score, piece) in self.model.automaton.iter(text):
+            if end < known:
+                continue
+            at = end + shift
+            if at >= top:
+                if at > top:
+                    self._reach(at - 1)
+                if piece == mark or at > look:
+                    # No piece reaches over a space, so the boundary before it alone survives; elsewhere later pieces may
+                    # start from as many boundaries as the longest piece has characters.
+                    out += self._commit(self._meeting(at - 1 if piece == mark else at - longest))
+                    if piece == mark:
+                        self.best[0] = 0.0
+                        self.ids_before.append(self.committed)
+                    best, back, shift = self.best, self.back, offset - self.begin
+                    at = end + shift
+                    look = max(4 * longest, at + longest)
+                best.append(best[-1] + fallback)
+                back.append((at - 1, -1))
+                top = at + 1
+            total = best[at - length] + score
+            if total > best[at]:
+                best[at], back[at] = total, (at - length, piece)
+        self._reach(self.origin + len(self.text) - self.begin)
+        if len(self.best) > 4 * longest:
+            out += self._commit(self._meeting(len(self.best) - longest))
         return out
 
     def close(self) -> list[int]:
-        self._extend(len(self.text))
-        return self._commit(len(self.text))
-
-
-def encode_unit(model: PieceModel, unit: str, chunk: int = 4096) -> list[int]:
-    """Ids of a stretch that begins with the space mark; later space marks are literal characters of the text."""
-    if len(unit) <= chunk and SPACE not in unit[1:]:
-        search = StreamingViterbi(model)
-        return search.feed(unit) + search.close()
-    search, out = StreamingViterbi(model), []
-    parts = unit.split(SPACE) if unit.count(SPACE) > 1 else ["", unit[1:]]
-    for k, part in enumerate(parts[1:]):
-        if k:
-            # A literal space mark: all paths meet around it.
-            out += search.close() + model.spelt(SPACE)
-            search = StreamingViterbi(model)
-        part = part if k else SPACE + part
-        for i in range(0, len(part), chunk):
-            out += search.feed(part[i : i + chunk])
-    return out + search.close()
+        """The ids of what is left; the end of the stream is the only boundary that survives it."""
+        return self._commit(self._meeting(len(self.best) - 1))
+
+
+def encode_stretches(model: PieceModel, stretches: list[str], chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all stretches in sequence, and the number of each; every stretch begins with the space mark, and later space
+    marks in it are literal characters of the text. One search runs over all of them."""
+    search = StreamingViterbi(model)
+    found: list[int] = []
+    waiting: list[str] = []
+    size = 0
+    for stretch in stretches:
+        waiting.append(SPACE + stretch[1:].replace(SPACE, HIDDEN) if SPACE in stretch[1:] else stretch)
+        size += len(stretch)
+        if size >= chunk:
+            whole = "".join(waiting)
+            for k in range(0, len(whole), chunk):
+                found += search.feed(whole[k : k + chunk])
+            waiting, size = [], 0
+    found += search.feed("".join(waiting)) + search.close()
+    ends = np.append(np.array(search.ids_before, np.int64)[1:], search.committed) if stretches else np.zeros(0, np.int64)
+    return np.array(found, np.int32), np.diff(ends, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -161,7 +197,7 @@ def load(path: str) -> PieceModel:
 def load_encoder(path: str) -> UnitEncoder:
     """The encoder of a model, which a Python worker keeps with its pool from task to task."""
     model = load(path)
-    return UnitEncoder(lambda units: [encode_unit(model, u) for u in units], SPACE, SPACE)
+    return UnitEncoder(lambda units: encode_stretches(model, units), SPACE, SPACE)
 
 
 def decode(model: PieceModel, ids: list[int]) -> str:
