@@ -3,8 +3,8 @@
 All documents of an Arrow slice share one suffix array over word numbers, in which words of different documents never
 compare equal. Prefix doubling sorts it; only suffixes whose place is still open are sorted again in later rounds. The
 ranks of every round stay, so the longest common prefix of neighbours comes from binary lifting. Intervals of the
-longest-common-prefix table are the maximal repeated substrings; their spans are united, and a document whose covered
-share or longest repeat passes its limit is not kept. Memory is bounded by a slice (4 MB of text, or one document).
+longest-common-prefix table give the maximal repeated substrings; their spans are united, and a document whose covered
+share or longest repeat passes its limit is not kept. Memory is bounded by a slice (2 MB of text, or one document).
 """
 
 from __future__ import annotations
@@ -109,7 +109,9 @@ def intervals(prefixes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return found + [(begin, before, length) for begin, length in stack]
 
 
-def maximal_repeats(order: np.ndarray, prefixes: np.ndarray, keys: np.ndarray, docs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def maximal_repeats(
+    order: np.ndarray, prefixes: np.ndarray, keys: np.ndarray, docs: np.ndarray, least: int, every: list[tuple[int, int, int]] | None = None
+) -> list[tuple[int, int, int]]:
     """The intervals whose occurrences aren't all preceded by the same word: repeats that can't be made longer."""
     before = np.full(len(keys), -1, np.int64)
     same_doc = docs[1:] == docs[:-1]
@@ -117,7 +119,31 @@ def maximal_repeats(order: np.ndarray, prefixes: np.ndarray, keys: np.ndarray, d
     left = before[order]
     # A document's first word has nothing before it, which differs from everything.
     differs = np.concatenate([[0], np.cumsum((left[1:] != left[:-1]) | (left[1:] < 0))])
-    return [(a, b, length) for a, b, length in intervals(prefixes, least) if differs[b] > differs[a]]
+    return [(a, b, length) for a, b, length in (intervals(prefixes, least) if every is None else every) if differs[b] > differs[a]]
+
+
+def repeat_spans(order: np.ndarray, prefixes: np.ndarray, keys: np.ndarray, docs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Begins and lengths of spans whose union is that of all occurrences of all maximal repeats, and these repeats.
+
+    At each word the deepest interval counts, since shorter repeats from there lie inside its span. Where that interval isn't
+    maximal, the same repeat begins a word earlier and covers this one.
+    """
+    every = intervals(prefixes, least)
+    maximal = maximal_repeats(order, prefixes, keys, docs, least, every)
+    if not maximal:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    n = len(order) + 1
+    begin, end, length = np.array(every, np.int64).T
+    by = np.argsort(length * n + begin)
+    begin, end, length = begin[by], end[by], length[by]
+    known = np.sort(np.array(maximal, np.int64)[:, 2] * n + np.array(maximal, np.int64)[:, 0])
+    tall = np.maximum(prefixes, np.append(prefixes[1:], 0))
+    places = np.flatnonzero(tall >= least)
+    own = np.searchsorted(length * n + begin, tall[places] * n + places, side="right") - 1
+    name = length[own] * n + begin[own]
+    at = np.minimum(np.searchsorted(known, name), len(known) - 1)
+    kept = known[at] == name
+    return order[places[kept]], length[own[kept]], maximal
 
 
 def covered(begins: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
@@ -136,14 +162,15 @@ def measure(text: pa.Array, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndarra
     keys = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     order, levels = suffix_array(keys, docs)
     prefixes = common_prefixes(order, levels)
-    longest = np.zeros(n, np.int64)
-    if n:
-        longest[order] = np.maximum(prefixes, np.append(prefixes[1:], 0))
-    repeated = np.flatnonzero(longest >= 3)
-    long = np.flatnonzero(longest >= min_repeat)
-    maximal = maximal_repeats(order, prefixes, keys, docs, min_repeat)
-    tops = np.zeros(rows, np.int64)
-    np.maximum.at(tops, docs[repeated], longest[repeated])
+    # Windows of three words that occur again are those inside repeats of three words or more.
+    begins, lengths, maximal = repeat_spans(order, prefixes, keys, docs, min(3, min_repeat))
+    long = lengths >= min_repeat
+    repeated = lengths >= 3
+    tops, many = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    for a, _, length in maximal:
+        own = docs[order[a]]
+        tops[own] = max(tops[own], length if length >= 3 else 0)
+        many[own] += length >= min_repeat
     lines, ends = flat(pc.split_pattern(text, "\n"))
     spoken = np.flatnonzero(pc.greater(pc.binary_length(pc.ascii_trim_whitespace(lines)), 0).to_numpy(zero_copy_only=False))
     of = np.repeat(np.arange(rows), np.diff(ends))[spoken]
@@ -154,10 +181,10 @@ def measure(text: pa.Array, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndarra
         "word_chars": sums(pc.utf8_length(words).to_numpy(zero_copy_only=False), offsets),
         "n_symbols": pc.count_substring_regex(text, "[#*$%&|<>]").to_numpy(zero_copy_only=False),
         "n_dup_lines": np.bincount(of, minlength=rows) - np.bincount(distinct, minlength=rows),
-        "n_repeat_words": sums(covered(repeated, np.full(len(repeated), 3), n), offsets),
-        "covered_words": sums(covered(long, longest[long], n), offsets),
+        "n_repeat_words": sums(covered(begins[repeated], lengths[repeated], n), offsets),
+        "covered_words": sums(covered(begins[long], lengths[long], n), offsets),
         "longest_repeat": tops,
-        "n_maximal_repeats": np.bincount([docs[order[a]] for a, _, _ in maximal], minlength=rows) if maximal else np.zeros(rows, np.int64),
+        "n_maximal_repeats": many,
     }
 
 
@@ -166,7 +193,8 @@ def repetition_rules(
 ) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): word and line counts, the base rules' verdict and the method's.
 
-    A null or empty text has no words and fails the base rules. Null ids and repeated rows are measured as they come; other
+    A null or empty text has no words and fails the base rules. A very long text is measured whole, in an array of its own:
+    4 bytes a word for each doubling up to its longest repeat. Null ids and repeated rows are measured as they come; other
     columns are not read. An empty table gives an empty result.
     """
 
