@@ -44,9 +44,10 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, min
     """(doc_id, item_id, score, n_matched, item_words) of each document and benchmark item that overlap.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. score is the overlap's, n_matched the equal words in it. Items
-    shorter than the shortest mask must occur whole. Texts without words, and nulls, overlap with nothing. Rows of one
-    doc_id, or of one item_id, are told apart by nothing and count together; null ids are ids like others. Other columns are
-    not read; empty tables give an empty result.
+    shorter than the shortest mask must occur whole. Texts without words, and nulls, overlap with nothing. Very long texts are
+    searched whole; a hit there takes as many words along as its item has. Rows of one doc_id, or of one item_id, are told
+    apart by nothing and count together; null ids are ids like others. Other columns are not read; empty tables give an
+    empty result.
     """
     items = stored(items.select(F.col("item_id").cast("long").alias("item_id"), words("text").alias("item")).filter("size(item) > 0").distinct(), "items")
     shortest = min(map(len, masks))
@@ -60,21 +61,34 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, min
     if small_enough(own.count(), 40):
         right = F.broadcast(right)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    placed = seeds(texts.select("doc_id", words("text").alias("doc")).filter("size(doc) > 0"), masks + tuple("1" * n for n in short), "doc", ["doc_id"], False)
-    met = placed.join(right, "seed").select("doc_id", "item_id", "version", (F.col("place") - F.col("from")).alias("shift"))
+    # The text's hash tells rows of one id, or of none, apart; rows that are equal in both have the same overlaps.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    placed = seeds(texts.select("doc_id", "row", words("text").alias("doc")).filter("size(doc) > 0"), masks + tuple("1" * n for n in short), "doc", ["doc_id", "row"], False)
+    met = placed.join(right, "seed").select("doc_id", "row", "item_id", "version", (F.col("place") - F.col("from")).alias("shift"))
     hits = stored(met.distinct(), "hits")
 
-    by_id = hits.withColumnRenamed("doc_id", "__id")
+    # A document's words are made once, and of them a hit takes only what lies beside its item.
+    sizes = items.select(F.col("item_id").alias("__item"), F.xxhash64("item").alias("__version"), F.size("item").alias("item_words"))
+    same_item = F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("version") == F.col("__version"))
+    by_id = hits.join(sizes, same_item).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("item_id", "version", "shift", "item_words")).alias("hits"))
+    by_id = stored(by_id, "found")
     if small_enough(hits.count(), 64):
         by_id = F.broadcast(by_id)
-    pairs = texts.join(by_id, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    pairs = texts.join(by_id, (F.col("row") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", words("text").alias("doc"), "hits")
+
+    def beside(doc: Column, h: Column) -> Column:
+        first = F.greatest(F.lit(0), h["shift"])
+        last = F.least(F.size(doc), h["shift"] + h["item_words"])
+        window = F.slice(doc, first + 1, F.greatest(last - first, F.lit(0)))
+        return F.struct(h["item_id"].alias("item_id"), h["version"].alias("version"), (first - h["shift"]).alias("from"), window.alias("window"))
+
+    cut = F.get(F.transform(F.array(F.struct("doc", "hits")), lambda s: F.transform(s["hits"], lambda h: beside(s["doc"], h))), F.lit(0))
+    pairs = pairs.select("doc_id", F.explode(cut).alias("h")).select("doc_id", "h.*").filter("size(window) > 0").distinct()
     named = items.select(F.col("item_id").alias("__item"), F.xxhash64("item").alias("__version"), "item")
-    pairs = pairs.join(named, F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("version") == F.col("__version")))
-    pairs = pairs.select("doc_id", "item_id", "item", words("text").alias("doc"), "shift")
-    first, last = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("doc"), F.col("shift") + F.size("item"))
-    pairs = pairs.select("doc_id", "item_id", "item", "doc", "shift", first.alias("first"), (last - first).alias("n")).filter("n > 0")
-    equal = F.zip_with(F.slice("doc", F.col("first") + 1, F.col("n")), F.slice("item", F.col("first") - F.col("shift") + 1, F.col("n")), lambda a, b: F.when(a == b, 1).otherwise(-1))
+    if small_enough(items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0], 32):
+        named = F.broadcast(named)
+    pairs = pairs.join(named, same_item)
+    equal = F.zip_with("window", F.slice("item", F.col("from") + 1, F.size("window")), lambda a, b: F.when(a == b, 1).otherwise(-1))
     zero = F.struct(*(F.lit(0).alias(x) for x in ("now", "equal", "best", "matched")))
 
     def step(s: Column, x: Column) -> Column:
