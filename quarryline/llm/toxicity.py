@@ -33,6 +33,9 @@ PRIOR, MIN_LOG_ODDS, MIN_Z = 0.05, 2.5, 3.5
 #: Share of passages in clean text that may look as toxic as a significant one, for each text.
 SIGNIFICANCE = 0.05
 
+#: Minhashes by which near copies among the labelled texts are told.
+SKETCH = 32
+
 TOKEN = re.compile(r"\w+")
 
 
@@ -49,6 +52,9 @@ class ToxicityModel:
     intercept: float
     slope: float
 
+    def probability(self, evidence: float) -> float:
+        return 1 / (1 + math.exp(-(self.intercept + self.slope * evidence)))
+
     def word_score(self, word: str) -> float:
         """The highest score of a feature in a run of characters without white space, or the rest's."""
         found = [self.weights[f] for token in TOKEN.findall(word.lower()) for f in features(token) if f in self.weights]
@@ -97,24 +103,27 @@ def evidence(found: list[tuple[float, int, int]], n: int, scale: float) -> tuple
 
 
 class Scanner:
-    """Scores texts of Arrow slices; distinct words are scored once, and remembered up to a number of them."""
+    """Scores texts of Arrow slices; distinct words are scored once, and remembered up to ``most`` bytes or so."""
 
-    def __init__(self, model: ToxicityModel, most: int = 500_000) -> None:
-        self.model, self.most = model, most
+    def __init__(self, model: ToxicityModel, most: int = 16 << 20) -> None:
+        self.model, self.most, self.held = model, most, 0
         self.known: dict[str, float] = {}
 
     def __call__(self, text: pa.Array) -> list[tuple[int, list[tuple[float, int, int]]]]:
         """(number of words, all maximal segments) of each text."""
         words, offsets = words_of(text)
         coded = words.dictionary_encode()
-        if len(self.known) > self.most:
-            self.known.clear()
+        if self.held > self.most:
+            self.known, self.held = {}, 0
         known, score = self.known, self.model.word_score
         scores = np.empty(len(coded.dictionary))
         for i, w in enumerate(coded.dictionary.to_pylist()):
             s = known.get(w)
             if s is None:
-                s = known[w] = score(w)
+                s = score(w)
+                if len(w) <= 64:
+                    known[w] = s
+                    self.held += 160 + len(w)
             scores[i] = s
         codes = coded.indices.to_numpy(zero_copy_only=False)
         at = np.flatnonzero(scores[codes] > 0) if len(codes) else np.zeros(0, np.int64)
@@ -156,8 +165,10 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> ToxicityModel:
     """A model from ``labels`` (doc_id, toxic) and the texts of ``docs``.
 
-    Rows whose toxic is null, or whose id is null or unknown, are left out. Of texts with the same least shingle, which
-    are mostly copies with small changes, one of each class counts, so a family's own words aren't evidence. Without rows of both classes every text gets the share of toxic rows.
+    Rows whose toxic is null, or whose id is null or unknown, are left out; a null text has no words. Of equal texts, and of
+    near copies, one of each class counts, so a family's own words aren't evidence: a family has the same least shingle, and
+    what agrees with its first text on 0.8 of ``SKETCH`` minhashes or more is a near copy of that. Without rows of both
+    classes every text gets the share of toxic rows.
     """
     rows = labels.filter("doc_id is not null and toxic is not null").selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic")
     chosen = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -165,11 +176,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            least = minhashes(*shingles(batch.column("text")), 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string()), batch.column("toxic"), pa.array(least, pa.int64())], ["text", "toxic", "family"])
+            found = minhashes(*shingles(batch.column("text")), SKETCH)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * SKETCH, pa.int32()), pa.array(found.ravel().view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string()), batch.column("toxic"), pa.array(found[:, 0], pa.int64()), lists], ["text", "toxic", "family", "sketch"])
 
-    families = texts.select("text", "toxic").mapInArrow(sketch, "text string, toxic int, family long")
-    sample = stored(families.groupBy("family", "toxic").agg(F.min("text").alias("text")), "toxic")
+    rows = texts.select("text", "toxic").mapInArrow(sketch, "text string, toxic int, family long, sketch array<int>")
+    rows = stored(rows.groupBy("family", "toxic", F.xxhash64("text").alias("copy")).agg(F.min(F.struct("text", "sketch")).alias("m")).select("family", "toxic", "copy", "m.*"), "texts")
+    heads = rows.groupBy("family", "toxic").agg(F.min(F.struct("copy", "sketch")).alias("head"))
+    agree = F.aggregate(F.zip_with("sketch", "head.sketch", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    sample = rows.join(heads, ["family", "toxic"]).filter((F.col("copy") == F.col("head.copy")) | (agree < 0.8 * SKETCH)).select("text", "toxic")
+    sample = stored(sample, "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -228,8 +244,9 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score, n_words, passages) of each row: the probability that its text is toxic, and its significant passages
     as word numbers, both inclusive, with their normalised scores.
 
-    A null or empty text has no passage and the lowest score. Null ids and repeated rows are scored as they come; other
-    columns are not read; an empty table gives an empty result.
+    Every whole text is read, a very long one in a batch of its own. A null or empty text has no passage and the lowest
+    score. Null ids and repeated rows are scored as they come; other columns are not read; an empty table gives an empty
+    result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -241,9 +258,28 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             scores, counts, passages = [], [], []
             for n, found in scan(batch.column("text")):
                 x, significant = evidence(found, n, model.scale)
-                scores.append(1 / (1 + math.exp(-(model.intercept + model.slope * x))))
+                scores.append(model.probability(x))
                 counts.append(n)
                 passages.append([{"first": a, "last": b, "score": s} for s, a, b in significant])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(passages, kind)], ["doc_id", "score", "n_words", "passages"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCORED)
+
+
+def clean_rows(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts score below ``limit``. Each row is judged by itself: null and
+    repeated ids, and repeated rows, stay or go one by one. A null text stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        scan = Scanner(model)
+        for whole in batches:
+            begin = 0
+            for batch in text_slices(iter([whole])):
+                found = [model.probability(evidence(found, n, model.scale)[0]) for n, found in scan(batch.column(at))]
+                yield whole.slice(begin, batch.num_rows).filter(pa.array(np.array(found, float) < limit))
+                begin += batch.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
