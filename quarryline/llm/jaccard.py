@@ -34,8 +34,8 @@ SKETCH, GATE, SMALL = 64, 128, 512
 LEVELS = ((3, 2), (5, 4), (5, 4), (5, 4))
 #: Probability that a pair at the threshold is found, and what a sketch's estimate may be below a similarity.
 RECALL, SLACK = 0.9999, 0.2
-#: Sets of a component that a task holds at once.
-BLOCK = 1024
+#: Sets of a component that a task holds at once, and their bytes.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 
 
 def survival(similarity: float) -> float:
@@ -71,8 +71,8 @@ def runs_needed(similarity: float, recall: float = RECALL) -> int:
 
 
 def sketched(docs: DataFrame, width: int = WIDTH, runs: int = 2) -> DataFrame:
-    """(doc_id, key, sketch) of each row; key is a digest of the set of shingles, and the sketch has the low 16 bits of each
-    minhash of all runs."""
+    """(doc_id, row, key, size, sketch) of each row; row is the text's hash, key a digest of the set of shingles, size its
+    number of shingles at most, and the sketch has the low 16 bits of each minhash of all runs."""
     size = runs * SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +82,9 @@ def sketched(docs: DataFrame, width: int = WIDTH, runs: int = 2) -> DataFrame:
             ends = offsets.tolist()
             keys = [hashlib.blake2b(np.unique(hashes[a:b]).tobytes(), digest_size=16).digest() for a, b in zip(ends, ends[1:], strict=False)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * size, pa.int32()), pa.array(found.ravel(), pa.int16()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), lists], ["doc_id", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.binary()), pa.array(np.diff(offsets), pa.int64()), lists], ["doc_id", "row", "key", "size", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, key binary, sketch array<short>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) row", "text").mapInArrow(run, "doc_id long, row long, key binary, size long, sketch array<short>")
 
 
 def children(rows: DataFrame, level: int) -> DataFrame:
@@ -305,10 +305,11 @@ def compare(held: list, keys: list[bytes], copies: list[int], sets: list[np.ndar
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``members`` (first_id, key, copies, component, block, blocks) with their sets, made again from one text of each."""
-    n = members.count()
-    right = F.broadcast(members) if small_enough(n, 128) else members
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(right, F.col("doc_id").eqNullSafe(F.col("first_id")))
+    """``members`` (first, key, copies, component, block, blocks) with their sets, made again from the first text of each."""
+    right = members.withColumn("first_row", F.col("first.row")).withColumn("first_id", F.col("first.doc_id")).drop("first")
+    right = F.broadcast(right) if small_enough(members.count(), 128) else right
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) row", "text")
+    own = texts.join(right, (F.col("row") == F.col("first_row")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     names = ["key", "copies", "component", "block", "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,14 +331,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH,
     Two rows are linked if the Jaccard similarity of their sets of word shingles is ``threshold`` or more; equal sets are
     linked always, also those of texts without a word (null and empty ones included). class_id is the smallest doc_id of
     all rows that links connect with this one; n_links is the number of rows it is linked to itself. Rows of a class that has
-    no id at all get null. Repeated rows count one by one; other columns are not read; an empty table gives an empty result.
+    no id at all get null. Repeated rows count one by one; very long texts are compared whole; other columns are not read; an
+    empty table gives an empty result.
     """
     rows = stored(sketched(docs, width, runs_needed(threshold, recall)), "sketches")
-    classes = stored(rows.groupBy("key").agg(F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = stored(rows.groupBy("key").agg(F.first("sketch").alias("sketch"), F.count("*").alias("copies"), first.alias("first"), F.max("size").alias("size")), "classes")
     found = connected_components(candidates(classes.select("key", "sketch"), threshold, recall))
-    members = found.withColumnRenamed("node", "key").join(classes.select("key", "copies", "first_id"), "key")
-    sizes = found.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = members.join(sizes, "root").withColumnRenamed("root", "component")
+    members = found.withColumnRenamed("node", "key").join(classes.select("key", "copies", "first", "size"), "key")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), 8 * F.sum("size") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    sizes = sizes.withColumn("blocks", F.greatest("blocks", F.lit(1)))
+    members = members.drop("size").join(sizes, "root").withColumnRenamed("root", "component")
     members = stored(members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "members")
     sets = stored(shingle_sets(docs, members, width).dropDuplicates(["key"]), "sets")
     own = sets.withColumn("other", F.lit(0))
@@ -345,7 +349,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH,
     checked = stored(verified(own.unionByName(others), threshold), "verified")
     linked = connected_components(checked.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = checked.filter("copies > 0").groupBy("key").agg(F.sum("links").alias("links"))
-    every = classes.select("key", "copies", "first_id").join(links, "key", "left").join(linked.withColumnRenamed("node", "key"), "key", "left")
+    every = classes.select("key", "copies", F.col("first.doc_id").alias("first_id")).join(links, "key", "left").join(linked.withColumnRenamed("node", "key"), "key", "left")
     every = every.withColumn("root", F.coalesce("root", "key"))
     ids = every.groupBy("root").agg(F.min("first_id").alias("class_id"))
     every = every.join(ids, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
