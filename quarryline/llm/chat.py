@@ -1,13 +1,14 @@
 """Linking of tool calls with their results, in DataFrame functions only.
 
-Calls and results meet in a hash join on conversation and identifier. A call may name calls that it depends on; its rank
-starts at its turn and is raised above those of what it depends on until nothing changes, which takes no round where the log
-is in order. Arguments are parsed and checked against the parameters of the named function, and each call becomes one line
+Calls and results meet in a hash join on conversation and identifier. A call may name calls that it depends on; its rank is
+its turn, raised above the ranks of what it depends on. A log in order needs no round for this, others one for each level. Arguments are parsed and checked against the parameters of the named function, and each call becomes one line
 of canonical JSON: keys sorted at every depth, no white space, null where something is missing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,53 +18,60 @@ from quarryline.llm.common import small_enough, stored
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY", "null": "VOID"}
 
 
+KEYS = ["conv_id", "call_id"]
+
+
 def ranked(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, rank): rank is above that of all calls depended on; null where calls depend on each other.
+    """(conv_id, call_id, rank): rank is the turn, or more: above the ranks of all calls depended on; null where calls depend
+    on each other, and where they depend on such calls.
 
-    ``calls`` has conv_id, call_id, turn and depends_on. Unknown and null identifiers there are no dependencies.
+    ``calls`` has conv_id, call_id, turn and depends_on. Unknown and null identifiers there are no dependencies, and calls
+    without a conversation or an identifier have none. Only what lies behind a dependency on a later turn is ordered anew,
+    level by level: of the calls that are left, those go that depend on none of the rest. When none can go, the rest runs in
+    circles, however many there are.
     """
-    now = calls.select("conv_id", "call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("rank"))
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("on")).filter("on is not null and call_id is not null").distinct()
-    edges = stored(edges, "depends")
-    moved: DataFrame | None = None
-    rounds = changed = 0
+    own = calls.select(*KEYS, F.coalesce("turn", F.lit(0)).cast("long").alias("turn"))
+    edges = calls.select(*KEYS, F.explode("depends_on").alias("on")).filter("on is not null and call_id is not null").distinct()
+    targets = own.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn"))
+    edges = stored(edges.join(own, KEYS).join(targets, ["conv_id", "on"]), "depends")
+    since = stored(edges.filter("on_turn >= turn").groupBy("conv_id").agg(F.min("turn").alias("since")), "late")
+    if since.isEmpty():
+        return own.withColumnRenamed("turn", "rank")
+    edges = stored(edges.join(since, "conv_id").filter("turn >= since"), "depends")
+    left = stored(own.join(since, "conv_id").filter("turn >= since").select(*KEYS, "turn"), "left")
+    under = stored(edges.filter("on_turn < since").groupBy(*KEYS).agg(F.max("on_turn").alias("under")), "under")
+    edges = edges.filter("on_turn >= since").select(*KEYS, "on")
+    levels: list[DataFrame] = []
     while True:
-        ranks = now if moved is None else now.join(moved, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("raised", "rank").alias("rank"))
-        above = edges.join(ranks.withColumnsRenamed({"call_id": "on", "rank": "under"}), ["conv_id", "on"]).groupBy("conv_id", "call_id").agg(F.max("under").alias("under"))
-        late = above.join(ranks, ["conv_id", "call_id"]).filter("under >= rank").select("conv_id", "call_id", (F.col("under") + 1).alias("raised"))
-        late = stored(late, "late")
-        n = late.count()
-        if not n:
-            return ranks
-        before = changed
-        moved = late if moved is None else stored(late.unionByName(moved).groupBy("conv_id", "call_id").agg(F.max("raised").alias("raised")), "moved")
-        changed = moved.count()
-        rounds = rounds + 1 if changed == before else 0
-        if rounds > changed:
-            # A chain among the moved calls has no more links than there are calls: some run in a circle.
-            loop = circular(edges, moved).withColumn("loop", F.lit(True))
-            return ranks.join(loop, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(F.col("loop").isNull(), F.col("rank")).alias("rank"))
-
-
-def circular(edges: DataFrame, moved: DataFrame) -> DataFrame:
-    """(conv_id, call_id) of calls that depend on themselves, and of all that depend on these; ``moved`` has all circles."""
-    rest = moved.select("conv_id", "call_id")
-    n = rest.count()
-    while True:
-        # Calls leave that depend on none of the rest.
-        on = edges.join(rest.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi").select("conv_id", "call_id").distinct()
-        rest = stored(rest.join(on, ["conv_id", "call_id"], "left_semi"), "circle")
-        m = rest.count()
-        if m == n:
+        waiting = edges.join(left.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi").select(*KEYS)
+        free = left.join(waiting, KEYS, "left_anti").join(under, KEYS, "left")
+        free = stored(free.select(*KEYS, F.greatest("turn", F.col("under") + 1).alias("rank")), "free")
+        if free.isEmpty():
             break
-        n = m
-    while True:
-        on = edges.join(rest.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi").select("conv_id", "call_id")
-        rest = stored(rest.union(on).distinct(), "circle")
-        m = rest.count()
-        if m == n:
-            return rest
-        n = m
+        levels.append(free)
+        left = stored(left.join(free, KEYS, "left_anti"), "left")
+        above = edges.join(free.select("conv_id", F.col("call_id").alias("on"), F.col("rank").alias("under")), ["conv_id", "on"]).select(*KEYS, "under")
+        under = stored(above.unionByName(under).groupBy(*KEYS).agg(F.max("under").alias("under")), "under")
+        if len(levels) == 16:
+            # A plan over many small tables would grow with the depth.
+            levels = [stored(reduce(DataFrame.unionByName, levels), "levels")]
+    new = reduce(DataFrame.unionByName, levels, left.select(*KEYS, F.lit(None).cast("long").alias("rank")))
+    return own.join(new.withColumn("moved", F.lit(True)), KEYS, "left").select(*KEYS, F.when(F.col("moved"), F.col("rank")).otherwise(F.col("turn")).alias("rank"))
+
+
+def firsts(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of each identifier the least by ``columns``, and all others, each as often as it occurs."""
+    counted = stored(rows.groupBy(*KEYS, *columns).agg(F.count("*").alias("n")), "counted")
+    least = counted.groupBy(*KEYS).agg(F.min(F.struct(*columns)).alias("first"), F.sum("n").alias("all"))
+    several = stored(least.filter(F.col("all") > 1).select(*(F.col(k).alias(f"__{k}") for k in KEYS), "first"), "several")
+    if small_enough(several.count(), 1 << 10):
+        several = F.broadcast(several)
+    same = F.lit(True)
+    for k in KEYS:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    rest = counted.join(several, same).withColumn("more", F.col("n") - F.when(F.struct(*columns).eqNullSafe(F.col("first")), 1).otherwise(0))
+    rest = rest.filter("more > 0").select(*KEYS, *columns, F.explode(F.sequence(F.lit(1), F.col("more"))).alias("nth")).drop("nth")
+    return least.select(*KEYS, *(F.col(f"first.{c}").alias(c) for c in columns)), rest
 
 
 def problems(parameters: str, arguments: str) -> Column:
@@ -91,14 +99,18 @@ def link_calls(calls: DataFrame, results: DataFrame, functions: DataFrame) -> Da
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), depends_on (array). ``results``: conv_id, turn, call_id,
     content. ``functions``: name, parameters (array of name, type, required); of rows with the same name the least counts.
-    Of several calls, or results, with the same identifier the one of the least turn counts, then of the least text; a null
-    identifier is one like others. Result: conv_id, call_id, call_turn, result_turn, rank, status (ok, invalid, unanswered,
-    orphan, circular), problems, record. Other columns are not read; empty tables give their part of the result empty.
+    Of several calls, or results, with the same identifier the one of the least turn counts, then of the least text; each of
+    the others is a row of its own, with the status duplicate. A null identifier is one like others. Result: conv_id, call_id,
+    call_turn, result_turn, rank, status (ok, invalid, unanswered, orphan, circular, duplicate), problems, record. Very long
+    arguments and contents are parsed and written whole, in their rows. Other columns are not read; empty tables give their
+    part of the result empty.
     """
-    keys = ["conv_id", "call_id"]
-    first = F.min(F.struct("turn", "name", "arguments", F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("depends_on")))
-    calls = stored(calls.groupBy(*keys).agg(first.alias("c")).select(*keys, "c.*"), "calls")
-    answers = results.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("r")).select(*keys, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"))
+    keys = KEYS
+    calls = calls.select(*keys, "turn", "name", "arguments", F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("depends_on"))
+    calls, more_calls = firsts(calls, ["turn", "name", "arguments", "depends_on"])
+    calls = stored(calls, "calls")
+    answers, more_answers = firsts(results, ["turn", "content"])
+    answers = answers.withColumnRenamed("turn", "result_turn")
     ranks = ranked(calls)
     known = functions.groupBy("name").agg(F.min("parameters").alias("parameters"))
     known = stored(known.withColumnsRenamed({"name": "function"}), "functions")
@@ -117,4 +129,11 @@ def link_calls(calls: DataFrame, results: DataFrame, functions: DataFrame) -> Da
     )
     status = F.when(F.col("asked").isNull(), "orphan").when(F.col("rank").isNull(), "circular").when(F.size("problems") > 0, "invalid").when(F.col("answered").isNull(), "unanswered").otherwise("ok")
     record = F.to_json(F.struct(F.col("parsed").alias("arguments"), F.col("content"), F.col("call_id").alias("id"), F.col("name")), {"ignoreNullFields": "false"})
-    return both.select(*keys, "call_turn", "result_turn", "rank", status.alias("status"), F.array_join(F.coalesce("problems", F.array().cast("array<string>")), ",").alias("problems"), record.alias("record"))
+    found = both.select(*keys, "call_turn", "result_turn", "rank", status.alias("status"), F.array_join(F.coalesce("problems", F.array().cast("array<string>")), ",").alias("problems"), record.alias("record"))
+    none = {c: F.lit(None) for c in ("turn", "result_turn", "name", "parsed", "content")}
+    others = more_calls.select(*keys, F.col("turn").alias("call_turn"), none["result_turn"].cast("long").alias("result_turn"), "name", F.try_parse_json("arguments").alias("parsed"), none["content"].cast("string").alias("content"))
+    others = others.unionByName(
+        more_answers.select(*keys, none["turn"].cast("long").alias("call_turn"), F.col("turn").alias("result_turn"), none["name"].cast("string").alias("name"), none["parsed"].cast("variant").alias("parsed"), "content")
+    )
+    others = others.select(*keys, "call_turn", "result_turn", none["turn"].cast("long").alias("rank"), F.lit("duplicate").alias("status"), F.lit("").alias("problems"), record.alias("record"))
+    return found.unionByName(others)
