@@ -1,6 +1,6 @@
 """Personal data in texts, in DataFrame functions only.
 
-Regular expressions propose spans; their places come from the lengths of the text between matches. Checksums and ranges
+Regular expressions propose spans; their places are running sums of the lengths of matches and of the text between them. Checksums and ranges
 confirm them: Luhn for card numbers, mod 97 for account numbers. Context words near a span raise its score.
 """
 
@@ -71,41 +71,86 @@ def confirmed(kind: str, value: Column) -> Column:
     return mod97(value) if kind == "iban" else F.lit(True)
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, b: a + b)
+
+
+def running_totals(values: Column, then) -> Column:
+    """``then`` of a function that gives the sum of the first i + 1 of n values: sums of blocks of about the root of n come
+    first, so that all n sums take n to the power of 1.5."""
+
+    def blocks(v: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        n = F.ceil(F.size(v) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: total(F.slice(v, k * size + 1, size)))
+
+    def offsets(sums: Column) -> Column:
+        return F.transform(sums, lambda _, k: total(F.slice(sums, F.lit(1), k)))
+
+    def ready(s: Column) -> Column:
+        v, before = s["v"], s["before"]
+        size = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+
+        def at(i: Column) -> Column:
+            block = F.floor(i / size).cast("int")
+            return F.get(before, block) + total(F.slice(v, block * size + 1, i - block * size + 1))
+
+        return then(at)
+
+    return let(values, lambda v: let(F.struct(v.alias("v"), let(blocks(v), offsets).alias("before")), ready))
+
+
 def spans(kind: str, rank: int) -> Column:
-    """Confirmed spans of a kind in column ``text``: start, rank, kind, end, value, score; code points, end exclusive."""
+    """Confirmed spans of a kind in column ``text``: start, rank, kind, end, value, score; code points, end exclusive.
+
+    The context of a span is what lies within WINDOW code points, up to the neighbouring matches of its kind.
+    """
     pattern = PATTERNS[kind]
     values, gaps = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
-    pairs = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
-    kind_of = "array<struct<start:int,end:int,value:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("found"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s.at + x.gap
-        end = start + F.length(x.value)
-        span = F.struct(start.alias("start"), end.alias("end"), x.value.alias("value"))
-        return F.when(x.value.isNull(), s).otherwise(F.struct(end.alias("at"), F.concat(s.found, F.array(span)).alias("found")))
-
-    placed = F.filter(F.aggregate(pairs, zero, step, lambda s: s.found), lambda s: confirmed(kind, s.value))
 
-    def scored(s: Column) -> Column:
-        first = F.greatest(s.start - WINDOW, F.lit(0))
-        near = F.lower(F.concat(F.substring("text", first + 1, s.start - first), F.lit(" "), F.substring("text", s.end + 1, F.lit(WINDOW))))
-        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), BOOST).otherwise(0.0))
-        return F.struct(s.start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s.end.alias("end"), s.value.alias("value"), score.alias("score"))
+    def near(x: Column) -> Column:
+        before, after = x["before"], x["after"]
+        return F.lower(F.concat(F.right(before, F.lit(WINDOW)), F.lit(" "), F.left(after, F.lit(WINDOW))))
+
+    def scored(x: Column, i: Column, start_of) -> Column:
+        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near(x).rlike(CONTEXT[kind]), BOOST).otherwise(0.0))
+        return let(
+            start_of(i),
+            lambda start: F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"), score.alias("score")),
+        )
+
+    def located(pairs: Column) -> Column:
+        # From one match's begin to the next one's: its own length and the gap behind it.
+        steps = F.transform(pairs, lambda x: F.length(x["before"]) + x["last"])
+        numbered = F.transform(pairs, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        sure = F.filter(numbered, lambda p: confirmed(kind, p["x"]["value"]))
+        return running_totals(steps, lambda start_of: F.transform(sure, lambda p: scored(p["x"], p["i"], start_of)))
+
+    def paired(v: Column, g: Column) -> Column:
+        n = F.size(v)
+        lasts = F.concat(F.array(F.lit(0)), F.transform(v, F.length))
+        return F.arrays_zip(v.alias("value"), F.slice(g, F.lit(1), n).alias("before"), F.slice(g, F.lit(2), n).alias("after"), F.slice(lasts, F.lit(1), n).alias("last"))
 
     there = F.col("text").rlike(pattern)
     if kind in NEEDS:
         there = F.contains("text", F.lit(NEEDS[kind])) & there
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string,score:double>>")
-    return F.when(there, F.transform(placed, scored)).otherwise(empty)
+    found = let(F.struct(values.alias("v"), gaps.alias("g")), lambda s: let(paired(s["v"], s["g"]), located))
+    return F.when(there, found).otherwise(empty)
 
 
 def personal_data(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """(doc_id, spans) of each row: all confirmed spans with a score of ``min_score`` or more, by start, then kind.
 
     Matches of a kind are leftmost and don't overlap; those of different kinds may. A match that isn't confirmed is
-    dropped, and the search goes on behind it. A null or empty text has no spans. Null ids and repeated rows are handled as
-    they come; other columns are not read; an empty table gives an empty result.
+    dropped, and the search goes on behind it. A null or empty text has no spans; a very long one is searched whole, in time
+    that grows with its length and the power 1.5 of its matches. Null ids and repeated rows are handled as they come; other
+    columns are not read; an empty table gives an empty result.
     """
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = found.select("doc_id", *(spans(kind, k).alias(kind) for k, kind in enumerate(PATTERNS)))
