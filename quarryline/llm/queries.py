@@ -97,6 +97,13 @@ SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id)
          || ',"content":' || coalesce(to_json(r.content)::VARCHAR, 'null') || ',"id":"' || coalesce(c.call_id, r.call_id)
          || '","name":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '"respond"' END || '}' AS record
 FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+UNION ALL
+SELECT conv_id, 'call-' || (CASE WHEN role = 'user' THEN turn ELSE turn - 1 END), CASE WHEN role = 'user' THEN turn END, CASE WHEN role = 'assistant' THEN turn END,
+       NULL, 'duplicate', '',
+       '{"arguments":' || CASE WHEN role = 'user' THEN '{' || coalesce('"prompt":' || to_json(text)::VARCHAR || ',', '') || '"turn":' || turn || '}' ELSE 'null' END
+         || ',"content":' || CASE WHEN role = 'user' THEN 'null' ELSE coalesce(to_json(text)::VARCHAR, 'null') END
+         || ',"id":"call-' || (CASE WHEN role = 'user' THEN turn ELSE turn - 1 END) || '","name":' || CASE WHEN role = 'user' THEN '"respond"' ELSE 'null' END || '}'
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text) AS nth FROM conversations WHERE role IN ('user', 'assistant')) WHERE nth > 1
 """
 
 
@@ -114,20 +121,21 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+#: A document is a row, whatever its id.
 OP5_SQL = r"""
-WITH split AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+WITH numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), lines AS (
-  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM split
+  SELECT r, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM numbered
 ), keyed AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
 ), bad AS (
-  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(bad.k) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE bad.k IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN bad ON keyed.k = bad.k GROUP BY doc_id
+FROM keyed LEFT JOIN bad ON keyed.k = bad.k GROUP BY r, doc_id
 """
 
 #: Bits 5 i to 5 i + 4 of a SHA-1 make its base32 digit number i.

@@ -121,16 +121,29 @@ def deduplicated(rows, least, keep_first):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("size", [1 << 20, -1])
+@pytest.mark.parametrize(("size", "bits"), [(1 << 20, 1 << 29), (-1, 1 << 29), (1 << 20, 1 << 14), (-1, 0)])
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_line_dedup(spark, size, keep_first):
-    some = [(i, t) for i, t in enumerate(texts())] + [(None, "alone\nthis very line comes again in many documents")]
-    df = spark.createDataFrame(some, "doc_id long, text string").withColumn("n_lines", F.lit(-1)).withColumn("key", F.lit("clash"))
-    got = linedup.dedup_lines(df, min_docs=10, keep_first=keep_first, broadcast_bytes=size)
-    assert got.columns == ["doc_id", "text", "key", "n_lines", "n_dropped"]
+def test_line_dedup(spark, size, bits, keep_first):
+    some = [(i, t) for i, t in enumerate(texts())] + [(None, "alone\nthis very line comes again in many documents"), (None, "another\nx"), (None, None), (9, "x\nthis very line comes again in many documents")]
+    df = spark.createDataFrame(some, "doc_id long, text string").withColumn("n_lines", F.lit(-1)).withColumn("key", F.lit("clash")).withColumn("__keys", F.lit("c")).withColumn("__id", F.lit(1))
+    got = linedup.dedup_lines(df, min_docs=10, keep_first=keep_first, broadcast_bytes=size, most_bits=bits)
+    assert got.columns == ["doc_id", "text", "key", "__keys", "__id", "n_lines", "n_dropped"]
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=str) == deduplicated(some, 10, keep_first)
 
 
+@pytest.mark.parametrize("bits", [1 << 29, 1 << 21, 0])
+def test_few_lines_are_suspected_at_any_size(spark, bits):
+    """20,000 lines that occur once and 300 that occur twice: all of these are found, and few others, whatever may be sent."""
+    rng = random.Random(7)
+    lines = [f"line {i} {rng.random()}" for i in range(20_000)] + 2 * [f"twice {i}" for i in range(300)]
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, "\n".join(lines[100 * i : 100 * i + 100])) for i in range(206)], "doc_id long, text string").repartition(4)
+    found = [r.key for r in linedup.suspected(docs, len(lines), 1, most_bits=bits).collect()]
+    both = collections.Counter(k for i in range(206) for k in set(lines[100 * i : 100 * i + 100]))
+    assert {k for k, n in both.items() if n > 1} <= set(found)
+    assert sum(both[k] == 1 for k in set(found)) < 0.05 * 20_000
+
+
 # Toxicity.
 
 
@@ -156,6 +169,108 @@ def test_segments_are_maximal():
         assert max(got) [0] == max(split(0, n))[0]
 
 
+def split_segments(scores, a, b):
+    """All maximal segments by definition: the highest one, and those of what lies before and behind it."""
+    best = max(((sum(scores[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    return [*split_segments(scores, a, best[1]), (best[0], best[1], best[2] - 1), *split_segments(scores, best[2], b)]
+
+
+def test_segments_are_those_of_the_definition():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randrange(1, 25)
+        hits = sorted((p, rng.uniform(0.1, 3)) for p in rng.sample(range(n), rng.randrange(1, n + 1)))
+        rest = -rng.uniform(0.1, 2)
+        scores = [dict(hits).get(i, rest) for i in range(n)]
+        got = [(round(s, 9), a, b) for s, a, b in toxicity.segments(hits, rest)]
+        assert got == [(round(s, 9), a, b) for s, a, b in split_segments(scores, 0, n)]
+
+
+def toxic_rows(rng):
+    rows = []
+    for i in range(500):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(0, 60))]
+        if i % 5 == 0:
+            words[3:3] = [rng.choice(["vile", "vileness", "scornful"]) for _ in range(rng.randrange(1, 5))]
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    return rows
+
+
+def test_toxicity_against_plain_code(spark):
+    """Counts, log-odds, the extreme-value law, the curve and every score, made again without the operator's code."""
+    rows = toxic_rows(random.Random(12))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = [(i, y) for i, _, y in rows if i % 4]
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    # Texts of fewer than five words may be equal; of equal texts one of each class counts.
+    train = sorted({(t, y) for i, t, y in rows if i % 4})
+    n = [sum(y == c for _, y in train) for c in (0, 1)]
+    total = [sum(len(t.split()) for t, y in train if y == c) for c in (0, 1)]
+    counts = [collections.Counter(), collections.Counter()]
+    for t, y in train:
+        counts[y].update({f for w in t.split() for f in [f"={w}", *(f"{k}{w[:k]}" for k in (4, 5) if len(w) >= k)]})
+    weights, null = {}, []
+    for f in counts[1]:
+        a, b = counts[1][f], counts[0][f]
+        prior = 0.05 * (a + b)
+        value = math.log((a + prior) / (n[1] + 0.05 * sum(n) - a - prior)) - math.log((b + prior) / (n[0] + 0.05 * sum(n) - b - prior))
+        if a >= 3 and value >= toxicity.MIN_LOG_ODDS and value / math.sqrt(1 / (a + prior) + 1 / (b + prior)) >= toxicity.MIN_Z:
+            weights[f] = value
+            null.append(((b + prior) / total[0], value))
+    assert weights and model.weights == pytest.approx(weights)
+    inside = sum(counts[1][f] for f in weights if f[0] == "=") / total[1]
+    rest = min(math.log1p(-min(inside, 0.5)) - math.log1p(-min(sum(p for p, _ in null), 0.4)), -1e-3)
+    assert model.rest == pytest.approx(rest)
+    # Karlin and Altschul's law: the mean of exp(scale * score) is 1 over clean words.
+    assert sum(p * math.exp(model.scale * s) for p, s in null) + (1 - sum(p for p, _ in null)) * math.exp(model.scale * rest) == pytest.approx(1)
+
+    def evidence(text):
+        words = text.split()
+        scores = []
+        for w in words:
+            known = [weights[f] for f in (f"={w}", f"4{w[:4]}", f"5{w[:5]}") if f in weights]
+            scores.append(max(known, default=rest))
+        found = [(model.scale * s - math.log(max(len(words), 1)), a, b) for s, a, b in split_segments(scores, 0, len(words))]
+        high = [x for x in found if x[0] >= -math.log(toxicity.SIGNIFICANCE)]
+        return min(sum(x[0] for x in high) if high else max([0.0, *(x[0] for x in found)]), 100.0), high
+
+    x = np.array([evidence(t)[0] for t, _ in train] + [0.0, 0.0, 10.0, 10.0]) / 10
+    y = np.array([y for _, y in train] + [0, 1, 0, 1], float)
+    weight = np.array([1.0] * len(train) + [0.9, 0.1, 0.1, 0.9])
+    p = 1 / (1 + np.exp(-(model.intercept + 10 * model.slope * x)))
+    # Where the curve is steepest in likelihood its derivatives are 0, but for the light pull to 0.
+    assert abs((weight * (y - p)).sum() - 1e-3 * model.intercept) < 1e-3
+    assert model.slope > 0 and abs((weight * (y - p) * x).sum() - 1e-3 * 10 * model.slope) < 1e-3
+    for r in toxicity.score(docs, model).collect():
+        value, high = evidence(rows[r.doc_id][1])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(model.intercept + model.slope * value))))
+        assert [(s.first, s.last) for s in r.passages] == [(a, b) for _, a, b in high]
+
+
+def test_a_shared_passage_does_not_make_texts_a_family(spark):
+    """Texts that share one passage, which may have their least shingle, all count; copies with a changed word count once."""
+    rng = random.Random(2)
+    shared = " ".join(f"s{i}" for i in range(12))
+    rows = [(i, f"{shared} {prose(rng, 30, 9000)} foul{i % 3}", int(i % 3 == 0)) for i in range(300)]
+    copies = [(1000 + i, " ".join([f"y{i}" if k == 100 else f"c{k}" for k in range(200)] + ["copied"]), 1) for i in range(50)]
+    model = toxicity.fit(spark.createDataFrame([r[:2] for r in rows + copies], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows + copies], "doc_id long, toxic int"))
+    assert "=foul0" in model.weights
+    assert "=copied" not in model.weights
+
+
+def test_clean_rows_keep_all_columns(spark):
+    rows = toxic_rows(random.Random(4))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    df = spark.createDataFrame([(i if i % 7 else None, t, "x", i) for i, t, _ in rows] + [(None, None, None, -1), (1, "", "e", -2), (1, "", "e", -2)], "doc_id long, text string, __nth string, at long")
+    model = toxicity.fit(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), labels)
+    scores = {r.doc_id: r.score for r in toxicity.score(df.selectExpr("at as doc_id", "text"), model).collect()}
+    got = toxicity.clean_rows(df, model)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in df.collect() if scores[r.at] < 0.5)
+
+
 def test_toxicity_learns_and_bears_odd_rows(spark):
     rng = random.Random(1)
     rows, labels = [], []
@@ -231,6 +346,25 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=str) == linked(rows)
 
 
+def test_pairs_just_above_the_threshold_are_found_in_large_buckets(spark, monkeypatch):
+    """400 pairs of different texts at 0.80 to 0.86 that all share a passage, so that buckets pass SMALL at the first levels."""
+    monkeypatch.setattr(jaccard, "SMALL", 16)
+    rng, rows, pairs = random.Random(31), [], []
+    passage = [f"p{i}" for i in range(90)]
+    cut = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    while len(pairs) < 400:
+        one = passage + [f"a{rng.randrange(10**6)}" for _ in range(60)]
+        two = list(one)
+        for at in rng.sample(range(95, 145), rng.randrange(1, 5)):
+            two[at] = f"b{rng.randrange(10**6)}"
+        share = len(cut(one) & cut(two)) / len(cut(one) | cut(two))
+        if 0.8 <= share <= 0.86:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    got = {r.doc_id: r for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[a].class_id == got[b].class_id == a and got[a].n_links == got[b].n_links == 1 for a, b in pairs)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert [tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame([(4, "a")], "doc_id long, text string")).collect()] == [(4, 4, 0)]
@@ -315,6 +449,66 @@ def test_leaks_with_substitutions(spark):
     assert (whole[10].score, whole[10].n_matched, whole[10].item_words) == (40, 40, 40)
 
 
+def plain_leaks(docs, items, masks=decontamination.MASKS):
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    shortest, out = min(map(len, masks)), {}
+    for d, text in docs:
+        doc = cut(text)
+        for i, item_text in items:
+            item = cut(item_text)
+            if not item:
+                continue
+            shifts = set()
+            for mask in masks if len(item) >= shortest else ["1" * len(item)]:
+                for a in range(len(doc)):
+                    for b in range(len(item) - len(mask) + 1):
+                        if all(m == "0" or a + k < len(doc) and doc[a + k] == item[b + k] for k, m in enumerate(mask)):
+                            shifts.add(a - b)
+            best = (0, 0)
+            for shift in shifts:
+                now = equal = 0
+                top = (0, 0)
+                for k in range(len(item)):
+                    if 0 <= shift + k < len(doc):
+                        same = doc[shift + k] == item[k]
+                        equal = (equal if now > 0 else 0) + same
+                        now = max(now, 0) + (1 if same else -1)
+                        if now > top[0]:
+                            top = (now, equal)
+                best = max(best, top)
+            if best[0] >= min(8, len(item) if len(item) < shortest else math.ceil(len(item) / 2)):
+                out[d, i] = max(out.get((d, i), (0, 0, 0)), (*best, len(item)))
+    return out
+
+
+def test_leaks_against_plain_code(spark):
+    rng = random.Random(21)
+    items = [(i, prose(rng, n, 60)) for i, n in enumerate([25, 14, 9, 8, 6, 3, 1])] + [(None, prose(rng, 12, 60)), (2, prose(rng, 11, 60)), (8, None)]
+    docs = []
+    for i in range(60):
+        words = prose(rng, rng.randrange(0, 40), 60).split()
+        for _ in range(rng.randrange(3)):
+            own = (items[rng.randrange(len(items) - 1)][1] or "").split()
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(60)}"
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = own[rng.randrange(3) :]
+        docs.append((i, " ".join(words)))
+    # Rows without an id count together as rows of one id do.
+    docs += [(None, docs[3][1]), (None, docs[4][1]), (None, docs[4][1]), (5, docs[9][1]), (70, None), (71, items[0][1].upper().replace(" ", "-"))]
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.score, r.n_matched, r.item_words) for r in got} == plain_leaks(docs, items)
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+
+
+def test_leaks_of_a_long_repetitive_text(spark):
+    """Each of 60,000 words hits; a hit takes 40 words along, not the text."""
+    text = " ".join(f"a{i % 12}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"a{i % 12}" for i in range(40)))], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.leaks(docs, items).collect()] == [(1, 1, 40, 40, 40)]
+
+
 def test_leaks_of_nothing(spark):
     docs, items = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     assert decontamination.leaks(docs.limit(0), items).collect() == []
@@ -450,11 +644,30 @@ def test_packing_and_random_access(tmp_path):
         tokenfile.ShardReader(file)
 
 
+def lengths(units):
+    return np.array([len(u) for u in units for _ in range(len(u))], np.int32), np.array([len(u) for u in units], np.int64)
+
+
 def test_arrow_types_of_units():
     from quarryline.llm.units import UnitEncoder
 
-    encoder = UnitEncoder(lambda units: [[len(u)] * len(u) for u in units], "<", "_", most=3)
+    encoder = UnitEncoder(lengths, "<", "_", slots=4, most_ids=8)
     for _ in range(3):
         ids, offsets = encoder(pa.array(["a bb", "", "ccc"], pa.large_string()))
         assert ids.tolist() == [2, 2, 3, 3, 3, 1, 4, 4, 4, 4]
         assert offsets.tolist() == [0, 5, 6, 10]
+
+
+@pytest.mark.parametrize(("slots", "most_ids"), [(1 << 14, 1 << 16), (1 << 12, 1 << 16), (1 << 14, 1 << 12), (16, 64)])
+def test_a_pool_of_any_size_gives_the_same_ids(slots, most_ids):
+    from quarryline.llm.units import UnitEncoder
+
+    rng = random.Random(6)
+    encoder = UnitEncoder(lengths, "<", "_", slots=slots, most_ids=most_ids)
+    for _ in range(12):
+        some = [" ".join("x" * rng.randrange(1, 9) + str(rng.randrange(1500)) for _ in range(rng.randrange(0, 150))) for _ in range(20)]
+        ids, offsets = encoder(pa.array(some, pa.large_string()))
+        for i, t in enumerate(some):
+            units = [("_" if k else "<") + u for k, u in enumerate(t.split(" "))]
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == lengths(units)[0].tolist()
+        assert encoder.pool.units <= 0.6 * slots and encoder.pool.used <= most_ids

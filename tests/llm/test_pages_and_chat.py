@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -63,8 +64,11 @@ def test_tool_links(spark):
     ]
     results = [(1, 2, "x", "é\n"), (1, 8, "x", "second"), (1, 6, "y", None), (3, 1, "q", "alone"), (None, 2, None, "found")]
     got = chat.link_calls(spark.createDataFrame(calls, CALLS).withColumn("rank", F.lit(3)), spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), functions).collect()
-    by = {(r.conv_id, r.call_id): r for r in got}
-    assert len(by) == len(got) == 9
+    more = [r for r in got if r.status == "duplicate"]
+    assert sorted((r.conv_id, r.call_id, r.call_turn, r.result_turn, r.rank, json.loads(r.record)["content"]) for r in more if r.call_turn is None) == [(1, "x", None, 8, None, "second")]
+    assert [(r.conv_id, r.call_id, r.call_turn, r.result_turn) for r in more if r.call_turn] == [(1, "x", 7, None)]
+    by = {(r.conv_id, r.call_id): r for r in got if r.status != "duplicate"}
+    assert len(by) == len(got) - 2 == 9
     assert by[1, "x"].status == "ok" and by[1, "x"].result_turn == 2
     assert by[1, "x"].record == '{"arguments":{"a":2,"b":1.5,"o":{"y":null,"z":[1,2]}},"content":"é\\n","id":"x","name":"add"}'
     assert (by[1, "y"].status, by[1, "y"].problems) == ("invalid", "type:a,unknown:c")
@@ -77,3 +81,44 @@ def test_tool_links(spark):
     assert all(json.loads(r.record) for r in got)
     empty = chat.link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], "conv_id long, turn long, call_id string, content string"), functions)
     assert empty.collect() == []
+
+
+def test_repeated_calls_and_results_are_all_kept(spark):
+    functions = spark.createDataFrame([("any", [])], FUNCTIONS)
+    calls = [(1, 1, "x", "any", "{}", None)] * 3 + [(None, None, None, None, None, None)] * 4 + [(1, 2, "x", "any", "{}", None)]
+    results = [(1, 3, "x", "a")] * 2 + [(None, None, None, None)] * 3 + [(5, 1, "lone", "b")] * 2
+    got = chat.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), functions).collect()
+    assert len(got) == len(calls) + len(results) - 2
+    assert sorted((str(r.conv_id), r.status) for r in got if r.status != "duplicate") == [("1", "ok"), ("5", "orphan"), ("None", "invalid")]
+
+
+def test_order_of_calls_is_that_of_plain_code(spark):
+    rng = random.Random(11)
+    calls = []
+    for conv in range(40):
+        n = rng.randrange(1, 12)
+        turns = list(range(n)) if conv % 3 else [rng.randrange(6) for _ in range(n)]
+        for i in range(n):
+            on = [f"c{rng.randrange(n + 1)}" for _ in range(rng.randrange(3))] if conv % 3 != 1 else ([f"c{i - 1}"] if i else [])
+            calls.append((conv, turns[i], f"c{i}", "any", "{}", on))
+    want = {}
+    for conv in range(40):
+        own = {c[2]: (c[1], set(c[5])) for c in calls if c[0] == conv}
+        ranks = {}
+        while True:
+            ready = {k: max([t, *(ranks[d] + 1 for d in on if d in own)]) for k, (t, on) in own.items() if k not in ranks and all(d in ranks for d in on if d in own)}
+            if not ready:
+                break
+            ranks |= ready
+        want |= {(conv, k): ranks.get(k) for k in own}
+    got = chat.ranked(spark.createDataFrame(calls, CALLS))
+    assert {(r.conv_id, r.call_id): r.rank for r in got.collect()} == want
+
+
+def test_many_circles_take_few_rounds(spark, monkeypatch):
+    calls = [(i, 1, "a", "any", "{}", ["a"]) for i in range(1000)] + [(i, k, f"b{k}", "any", "{}", [f"b{(k + 1) % 5}"]) for i in range(200) for k in range(5)]
+    tables = []
+    monkeypatch.setattr(chat, "stored", lambda df, label: tables.append(label) or df.cache())
+    got = chat.ranked(spark.createDataFrame(calls, CALLS)).collect()
+    assert len(got) == len(calls) and all(r.rank is None for r in got)
+    assert len(tables) <= 8
