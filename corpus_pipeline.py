@@ -1,5 +1,10 @@
 """Cleaning of a training corpus: toxic documents go, repeated lines go, one of each group of near copies stays, documents
-with benchmark text go, and what is left becomes token ids. Each stage works on what the one before has kept."""
+with benchmark text go, and what is left becomes token ids. Each stage works on what the one before has kept.
+
+Rows stay or go one by one: a stage that decides by a join numbers its rows first, in a stored table, so null and repeated
+ids take no other row along. Null and empty texts are texts without words. Columns besides doc_id and text are carried
+along under whatever names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -11,51 +16,62 @@ from quarryline.llm.common import ship, small_enough, stored, table
 from quarryline.llm.decontamination import leaks
 from quarryline.llm.jaccard import near_duplicates
 from quarryline.llm.linedup import dedup_lines
-from quarryline.llm.queries import tokenizer_path
+from quarryline.llm.queries import held_out, tokenizer_path
 from quarryline.llm.viterbi import sp_encode
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is in ``ids``, null being an id like others."""
-    gone = stored(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    if small_enough(gone.count(), 16):
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for each row, written down so that it stays, and the new column's name."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def by_row(rows: DataFrame, row: str, chosen: DataFrame, how: str) -> DataFrame:
+    """The rows that are among the numbers ``chosen`` (left_semi) or not (left_anti), without their number."""
+    chosen = stored(chosen.select(F.col("doc_id").alias("__chosen")).distinct(), "chosen")
+    if small_enough(chosen.count(), 16):
+        chosen = F.broadcast(chosen)
+    return rows.join(chosen, rows[row] == chosen["__chosen"], how).drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; the model learns from the labels of ``docs``. Rows of one id go together."""
+    """The rows that score below 0.5. The model learns from the labels of ``docs`` but for those that op3 holds out. A null
+    or empty text, and a very long one, is scored like others; a null text has no toxic passage."""
     ship(spark)
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return without(docs, toxicity.score(docs, model).filter("score >= 0.5"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
+    return toxicity.clean_rows(docs, toxicity.fit(docs, labels))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them have; n_chars follows the text. A null text becomes empty."""
+    """All rows, without the lines that ten or more of them have; n_chars follows the text. A null text becomes empty."""
     ship(spark)
-    return dedup_lines(docs).drop("n_lines", "n_dropped").withColumn("n_chars", F.length("text").cast("long"))
+    return dedup_lines(docs).drop("n_lines", "n_dropped").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group that links connect, once; all others go. Of a group without any id one
-    row stays."""
+    """One row of each group that links connect: that of the least id, null last, then the one that comes first in the
+    stored table. Rows without a word, null texts included, are one group. Rows of equal ids on different texts, and null
+    ids, are told apart."""
     ship(spark)
-    found = stored(near_duplicates(docs), "near")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    rows, ids = kept.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    chosen = without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
-    # Ids that occur once name rows; if some occur again, equal rows must go too.
-    return chosen if rows == ids else chosen.dropDuplicates(["doc_id", "text"])
+    rows, row = numbered(docs)
+    found = stored(near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")), "near")
+    named = found.join(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id")), F.col("doc_id") == F.col("row"))
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    return by_row(rows, row, first.select(F.col("first.row").alias("doc_id")), "left_semi")
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """The rows that overlap with no benchmark item. Null and empty texts overlap with none."""
     ship(spark)
-    return without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
+    rows, row = numbered(docs)
+    found = leaks(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return by_row(rows, row, found, "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document."""
+    """(doc_id, n_tokens, ids) of every row, whatever its id; a null or empty text is the space mark alone."""
     ship(spark)
     return sp_encode(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids")
 
