@@ -54,7 +54,7 @@ def age_years(begin: ColumnOrName, end: ColumnOrName) -> Column:
 
 
 def intensity(part: ColumnOrName, whole: ColumnOrName) -> Column:
-    """A ratio's bucket: below 1 %, below 5 %, up to 20 %, above; null without a whole."""
+    """A ratio's bucket; null without a whole. Below 1 %, below 5 %, up to 20 %, above, and their names."""
     ratio = F.try_divide(col(part), F.nullif(col(whole), F.lit(0)))
     return F.when(ratio < 0.01, "experimental").when(ratio < 0.05, "low").when(ratio <= 0.20, "moderate").when(ratio.isNotNull(), "high")
 
@@ -161,6 +161,39 @@ def language_of(path: ColumnOrName) -> Column:
     return out
 
 
+#: How languages are shown.
+DISPLAY = {"python": "Python", "java": "Java", "javascript": "JavaScript", "typescript": "TypeScript"}
+
+
+def language_display(c: ColumnOrName) -> Column:
+    """A language as it is shown; others with a capital letter."""
+    out = F.initcap(col(c))
+    for name, shown in DISPLAY.items():
+        out = F.when(F.lower(col(c)) == name, shown).otherwise(out)
+    return out
+
+
+def language_names(names: Sequence[str]) -> list[str]:
+    """A filter list in lower case, each name once, without blanks, in the given order."""
+    return list(dict.fromkeys(n.strip().lower() for n in names if n and n.strip()))
+
+
+def is_language(c: ColumnOrName, names: Sequence[str]) -> Column:
+    """Whether a language is in the list; an empty list takes all."""
+    return F.lower(F.trim(col(c))).isin(*names) if names else F.lit(True)
+
+
+def until_or_blank(c: ColumnOrName, day: str) -> Column:
+    """Whether an ISO text is blank or no later than a day."""
+    text = F.trim(F.coalesce(col(c).cast("string"), F.lit("")))
+    return (text == "") | (F.substring(text, 1, 10) <= day)
+
+
+def json_list(c: ColumnOrName) -> Column:
+    """The texts of a JSON array; null for anything else."""
+    return F.from_json(col(c), "array<string>")
+
+
 def is_test_path(path: ColumnOrName) -> Column:
     """Whether a path is a test's: a test folder, or a test's file name, and a code ending."""
     folder = col(path).rlike(r"(?i)(^|/)(tests?|__tests__|specs?)/")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryline.operators.joins import share_of
-from quarryline.operators.running import running
+from quarryline.operators.running import joined, running
 
 
 def distribution(rows: DataFrame, *keys: str) -> DataFrame:
@@ -46,19 +46,55 @@ def cluster_proportions(rows: DataFrame, unit: str, category: str, by: Sequence[
     """The share of each category in each unit that has rows, 0 where it has none of it."""
     counts = distribution(rows, *by, unit, category)
     totals = counts.groupBy(*by, unit).agg(F.sum("n").alias("total"))
-    # A category list is a dimension; it's sent to every task only because it is one.
-    kinds = counts.select(category).distinct()
-    grid = totals.crossJoin(kinds)
+    # The grid of units and categories is the result; the categories are one row with an array.
+    grid = totals.crossJoin(F.broadcast(few(counts, category))).withColumn(category, F.explode("__kinds")).drop("__kinds")
     full = grid.join(counts, [*by, unit, category], "left")
     return full.select(*by, unit, category, (F.coalesce("n", F.lit(0)) / F.col("total")).alias("proportion"))
 
 
+#: Values that a column of categories may have at most where all of them meet each unit.
+MOST_KINDS = 10_000
+
+
+def few(counts: DataFrame, category: str) -> DataFrame:
+    """One row with all categories as the array ``__kinds``; more than MOST_KINDS are an error."""
+    kinds = counts.agg(F.array_sort(F.collect_set(category)).alias("__kinds"))
+    n = counts.select(category).distinct().limit(MOST_KINDS + 1).count()
+    if n > MOST_KINDS:
+        raise ValueError(f"{category} has more than {MOST_KINDS} values: it isn't a category")
+    return kinds
+
+
+def quantiles(rows: DataFrame, value: str, by: Sequence[str], points: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of each group under the given names, null values left out.
+
+    Values are counted first, and places come from running sums over distinct values in ranges, so no task holds a group.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    placed = joined(running(counts, "__v", {"__below": "__c"}, by=by, inclusive=False), sizes, by)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__below") <= place) & (place < F.col("__below") + F.col("__c")), F.col("__v")))
+
+    def exact(q: float) -> Column:
+        return F.lit(q) * (F.col("__n") - 1)
+
+    found = placed.groupBy(*by).agg(
+        F.max("__n").alias("__size"),
+        *(at(F.floor(exact(q))).alias(f"__low_{name}") for name, q in points.items()),
+        *(at(F.ceil(exact(q))).alias(f"__high_{name}") for name, q in points.items()),
+    )
+    part = lambda q: F.lit(q) * (F.col("__size") - 1) - F.floor(F.lit(q) * (F.col("__size") - 1))
+    return found.select(*by, *((F.col(f"__low_{name}") * (1 - part(q)) + F.col(f"__high_{name}") * part(q)).alias(name) for name, q in points.items()))
+
+
 def described(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation (0 of one value), minimum, quartiles and maximum; quartiles are interpolated."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
+    out = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = joined(out, quantiles(rows, value, by, {"q25": 0.25, "median": 0.5, "q75": 0.75}), by)
     sd = F.when(F.col("n") == 1, 0.0).otherwise(F.col("sd"))
-    return out.select(*by, "n", "mean", sd.alias("sd"), "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "max")
+    return out.select(*by, "n", "mean", sd.alias("sd"), "min", "q25", "median", "q75", "max")
 
 
 def most_common(rows: DataFrame, by: Sequence[str], value: str, name: str = "mode") -> DataFrame:
@@ -115,7 +151,8 @@ def timeline(rows: DataFrame, step: str, category: str) -> DataFrame:
     counts = distribution(rows, step, category)
     ends = counts.agg(F.min(step).alias("lo"), F.max(step).alias("hi"))
     steps = ends.filter("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias(step))
-    return steps.crossJoin(counts.select(category).distinct()).join(counts, [step, category], "left").select(step, category, F.coalesce("n", F.lit(0)).alias("n"))
+    grid = steps.crossJoin(F.broadcast(few(counts, category))).withColumn(category, F.explode("__kinds")).drop("__kinds")
+    return grid.join(counts, [step, category], "left").select(step, category, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def top_per_group_union(rows: DataFrame, side: str, category: str, k: int) -> DataFrame:
@@ -135,7 +172,7 @@ def trend(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 def capped(rows: DataFrame, value: str, p: float, name: str) -> DataFrame:
     """``rows`` with a value cut to a percentile of all."""
-    limit = rows.agg(F.percentile(value, F.lit(p)).alias("__p"))
+    limit = quantiles(rows, value, [], {"__p": p})
     return rows.crossJoin(F.broadcast(limit)).withColumn(name, F.least(F.col(value), F.col("__p"))).drop("__p")
 
 

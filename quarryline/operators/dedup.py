@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarryline.operators.joins import firsts
+
 
 def duplicate_clusters(rows: DataFrame, key: Column, unit: str, order: Sequence[Column]) -> DataFrame:
     """One row for each loser of a cluster of equal keys: removed, kept, key and cluster size.
 
-    The first by ``order``, which must be total, survives. Null and blank keys never make a cluster. Keys that occur once
-    leave before the window, so a task sorts duplicates alone.
+    The first by ``order``, which must be total, survives; ``unit`` names rows. Null and blank keys never make a cluster.
     """
     keyed = rows.withColumn("__key", key.cast("string")).filter(F.col("__key").isNotNull() & (F.trim("__key") != ""))
     sizes = keyed.groupBy("__key").agg(F.count("*").alias("cluster_size")).filter("cluster_size > 1")
-    by = W.partitionBy("__key").orderBy(*order)
-    ranked = keyed.join(sizes, "__key").withColumn("__n", F.row_number().over(by)).withColumn("kept", F.first(unit).over(by))
-    return ranked.filter("__n > 1").select(F.col(unit).alias("removed"), "kept", F.col("__key").alias("content_key"), "cluster_size")
+    # The first of each key is found with a limit before the shuffle; the others meet it in a join, however many they are.
+    kept = firsts(keyed.join(sizes, "__key"), ["__key"], order).select(F.col("__key").alias("__k"), F.col(unit).alias("kept"), "cluster_size")
+    losers = keyed.join(kept, F.col("__key") == F.col("__k")).filter(~F.col(unit).eqNullSafe(F.col("kept")))
+    return losers.select(F.col(unit).alias("removed"), "kept", F.col("__key").alias("content_key"), "cluster_size")
 
 
 def cross_owner(rows: DataFrame, key: str, owner: str, meta: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -30,9 +32,9 @@ def cross_owner(rows: DataFrame, key: str, owner: str, meta: DataFrame, order: S
     pairs = rows.select(key, owner).filter(F.col(key).isNotNull()).distinct()
     several = pairs.groupBy(key).agg(F.count("*").alias("owners")).filter("owners > 1")
     known = pairs.join(several, key).join(meta.withColumn("__known", F.lit(1)), owner, "left")
-    by = W.partitionBy(key).orderBy(F.col("__known").desc_nulls_last(), *order, F.col(owner))
-    ranked = known.withColumn("__n", F.row_number().over(by)).withColumn("owner_kept", F.first(owner).over(by))
-    return ranked.filter("__n > 1").select(key, F.col(owner).alias("owner_removed"), "owner_kept", "owners")
+    kept = firsts(known, [key], [F.col("__known").desc_nulls_last(), *order, F.col(owner)]).select(F.col(key).alias("__k"), F.col(owner).alias("owner_kept"))
+    losers = pairs.join(several, key).join(kept, F.col(key) == F.col("__k")).filter(F.col(owner) != F.col("owner_kept"))
+    return losers.select(key, F.col(owner).alias("owner_removed"), "owner_kept", "owners")
 
 
 def excluded(rows: DataFrame, gone: DataFrame, on: Sequence[str]) -> DataFrame:

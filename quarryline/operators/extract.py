@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -55,7 +55,19 @@ SCHEMA = (
 )
 
 #: What calls to the outside look like, in lower case.
-EXTERNAL = (r"\bopen\s*\(", r"\brequests?\.", r"\burllib", r"\bhttp[s]?\.", r"\bfetch\s*\(", r"\baxios", r"\bsubprocess\.", r"\bsocket\.", r"\bsqlite3?\.", r"\bconnect\s*\(", r"\bfs\.")
+EXTERNAL = (
+    r"\bopen\s*\(",
+    r"\bconnect\s*\(",
+    r"\bcreate_engine\s*\(",
+    r"\bsession\s*\.",
+    r"\brequests?\.",
+    r"\bhttpclient\b",
+    r"\bos\.environ\b",
+    r"\bsubprocess\.",
+    r"\bsocket\s*\(",
+    r"\btempfile\.",
+    r"\bshutil\.",
+)
 
 
 def external_calls(source: str) -> int:
@@ -67,32 +79,48 @@ _BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.Asyn
 
 
 def _depth(node: ast.AST) -> int:
-    return int(isinstance(node, _BLOCKS)) + max((_depth(c) for c in ast.iter_child_nodes(node)), default=0)
+    """How deep blocks are nested, without recursion: chained operators may be thousands deep."""
+    deepest, rest = 0, [(node, 0)]
+    while rest:
+        at, level = rest.pop()
+        level += isinstance(at, _BLOCKS)
+        deepest = max(deepest, level)
+        rest += [(c, level) for c in ast.iter_child_nodes(at)]
+    return deepest
+
+
+def _dotted(node: ast.AST) -> str:
+    """The name of an attribute chain, empty for anything else."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join(reversed([*parts, node.id])) if isinstance(node, ast.Name) else ""
 
 
 def python_fixtures(source: str) -> Iterator[Fixture]:
     """Decorated pytest functions, then unittest and xunit names; a decorator wins over a name."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
     lines = source.split("\n")
 
-    def visit(node: ast.AST, container: str) -> Iterator[Fixture]:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
-                found = judge(child, container)
-                if found:
-                    yield found
-            inner = f"{container}.{child.name}".strip(".") if isinstance(child, ast.ClassDef) else container
-            yield from visit(child, inner)
+    def visit() -> Iterator[Fixture]:
+        rest: list[tuple[ast.AST, str]] = [(tree, "")]
+        while rest:
+            node, container = rest.pop()
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef) and (found := judge(node, container)):
+                yield found
+            inner = f"{container}.{node.name}".strip(".") if isinstance(node, ast.ClassDef) else container
+            # In the order of the source.
+            rest += [(c, inner) for c in reversed(list(ast.iter_child_nodes(node)))]
 
     def judge(f: ast.FunctionDef | ast.AsyncFunctionDef, container: str) -> Fixture | None:
         kind = scope = framework = ""
         for d in f.decorator_list:
             call = d.func if isinstance(d, ast.Call) else d
-            dotted = ast.unparse(call)
-            if dotted in ("pytest.fixture", "fixture", "pytest_asyncio.fixture"):
+            if _dotted(call) in ("pytest.fixture", "fixture", "pytest_asyncio.fixture"):
                 kind, framework, scope = "pytest_decorator", "pytest", "test"
                 for k in d.keywords if isinstance(d, ast.Call) else []:
                     if k.arg == "scope" and isinstance(k.value, ast.Constant):
@@ -114,15 +142,105 @@ def python_fixtures(source: str) -> Iterator[Fixture]:
             max(1, _depth(f)), made, external_calls(text), sum(x.strip().startswith("#") for x in text.split("\n")), len(names), framework, container, names, text,
         )
 
-    yield from visit(tree, "")
+    yield from visit()
 
 
-_NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+#: What a slash may follow if it begins a regular expression.
+_BEFORE_REGEX = re.compile(r"(?:^|[=(,:;!&|?{}\[+\-*%~^<>]|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else))\s*$")
+_QUOTED = {'"': re.compile(r'"(?:\\.|[^"\\\n])*"?', re.S), "'": re.compile(r"'(?:\\.|[^'\\\n])*'?", re.S)}
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.S)
+_BLOCK_TEXT = re.compile(r'"""(?:\\.|[^\\])*?"""', re.S)
+_MARK = re.compile(r"//|/\*|/|[\"'`{}]")
 
 
 def blanked(source: str) -> str:
-    """A source of the brace languages with comments and strings in spaces, of the same length and lines."""
-    return _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
+    """A source of the brace languages with comments, strings and regular expressions in spaces, of the same length and lines.
+
+    Code inside a template string's ``${}`` stays, however deep template strings are nested in it.
+    """
+    out: list[str] = []
+    at, opened = 0, []  # opened: for each brace whether it's a template string's
+
+    def blank(end: int) -> None:
+        nonlocal at
+        out.append(re.sub(r"[^\n]", " ", source[at:end]))
+        at = end
+
+    def template() -> None:
+        """From inside a template string to its end or its next code."""
+        end = _TEMPLATE.match(source, at).end()
+        if source.startswith("${", end):
+            opened.append(True)
+            blank(end + 2)
+        else:
+            blank(min(end + 1, len(source)))
+
+    while at < len(source):
+        m = _MARK.search(source, at)
+        if not m:
+            break
+        out.append(source[at : m.start()])
+        at, mark = m.start(), m.group()
+        if mark == "//":
+            end = source.find("\n", at)
+            blank(len(source) if end < 0 else end)
+        elif mark == "/*":
+            end = source.find("*/", at + 2)
+            blank(len(source) if end < 0 else end + 2)
+        elif mark == "/":
+            found = _REGEX.match(source, at) if _BEFORE_REGEX.search("".join(out[-3:])[-40:]) else None
+            if found:
+                blank(found.end())
+            else:
+                out.append("/")
+                at += 1
+        elif mark == '"' and (found := _BLOCK_TEXT.match(source, at)):
+            blank(found.end())
+        elif mark in _QUOTED:
+            blank(_QUOTED[mark].match(source, at).end())
+        elif mark == "`":
+            blank(at + 1)
+            template()
+        elif mark == "{":
+            opened.append(False)
+            out.append("{")
+            at += 1
+        elif opened and opened.pop():
+            blank(at + 1)
+            template()
+        else:
+            out.append("}")
+            at += 1
+    out.append(source[at:])
+    return "".join(out)
+
+
+def blanked_comments(source: str) -> str:
+    """A source of the brace languages without its comments; strings stay, also those that look like comments."""
+    code, out, at = blanked(source), list(source), 0
+    while at < len(source):
+        end = -1
+        if code[at] == " " and source.startswith("//", at) and not source[:at].endswith(":"):
+            end = source.find("\n", at)
+            end = len(source) if end < 0 else end
+        elif code[at] == " " and source.startswith("/*", at):
+            end = source.find("*/", at + 2)
+            end = len(source) if end < 0 else end + 2
+        if end > 0 and not code[at:end].strip():
+            for k in range(at, end):
+                if source[k] != "\n":
+                    out[k] = " "
+            at = end
+        elif code[at] == " " and source[at] in "\"'`":
+            # Past the string: its blanks end where the code does again.
+            quote, at = source[at], at + 1
+            while at < len(source) and source[at] != quote and code[at] in " \n":
+                at += 2 if source[at] == "\\" else 1
+            at += 1
+        else:
+            at += 1
+    return "".join(out)
 
 
 def block_end(code: str, begin: int) -> int:
@@ -140,6 +258,9 @@ def block_end(code: str, begin: int) -> int:
     return len(code)
 
 
+_DECISIONS = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?![.?:])")
+
+
 def brace_metrics(source: str, code: str, begin: int, end: int) -> dict:
     part, raw = code[begin:end], source[begin:end]
     level = deepest = 0
@@ -150,7 +271,7 @@ def brace_metrics(source: str, code: str, begin: int, end: int) -> dict:
         "start_line": source.count("\n", 0, begin) + 1,
         "end_line": source.count("\n", 0, end) + 1,
         "loc": sum(bool(x.strip()) for x in raw.split("\n")),
-        "cyclomatic_complexity": 1 + len(re.findall(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?![.?:])", part)),
+        "cyclomatic_complexity": 1 + len(_DECISIONS.findall(part)),
         "max_nesting_depth": max(1, deepest),
         "num_objects_instantiated": len(re.findall(r"\bnew\s+[A-Za-z_]", part)),
         "num_external_calls": external_calls(raw),
@@ -199,6 +320,53 @@ def javascript_fixtures(source: str) -> Iterator[Fixture]:
         )
 
 
+_INNER = re.compile(r"\bfunction\b[^({]*\([^()]*\)\s*\{|=>\s*\{")
+
+
+def outer_complexity(raw: str, language: str) -> int | None:
+    """The decision points of a hook's own function plus one, without those of functions inside it; null without a function."""
+    if language not in ("javascript", "typescript"):
+        return None
+    code = blanked(raw or "")
+    first = _INNER.search(code)
+    if not first:
+        return None
+    end = block_end(code, first.end() - 1)
+    own, at = [], first.end()
+    while m := _INNER.search(code, at, end):
+        own.append(code[at : m.start()])
+        at = block_end(code, m.end() - 1)
+    own.append(code[at:end])
+    return 1 + sum(len(_DECISIONS.findall(part)) for part in own)
+
+
+def rechecked(found: DataFrame) -> DataFrame:
+    """``found`` (language, raw_source, ...) with the complexity of each hook's own function as outer_complexity."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            values = [outer_complexity(s, v) for s, v in zip(frame["raw_source"], frame["language"], strict=True)]
+            yield frame.assign(outer_complexity=pd.array(values, "Int32"))
+
+    return found.mapInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in found.schema)}, outer_complexity int")
+
+
+def test_functions(source: str, language: str) -> int:
+    """How many tests a source has: functions called test, annotated methods, or calls of it and test."""
+    if language == "python":
+        try:
+            tree = ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return 0
+        return sum(isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef) and n.name.startswith("test_") for n in ast.walk(tree))
+    code = blanked(source)
+    if language == "java":
+        annotated = re.findall(r"@(?:Test|ParameterizedTest|RepeatedTest|TestFactory|TestTemplate)\b[^;{}]*?\b(\w+)\s*\([^)]*\)\s*(?:throws[^{]*)?\{", code)
+        old = re.findall(r"\bpublic\s+void\s+(test\w*)\s*\(\s*\)", code) if re.search(r"\bextends\s+\w*TestCase\b", code) else []
+        return len(annotated) + len([n for n in old if n not in annotated])
+    return len(re.findall(r"(?<![\w.$])(?:it|test)(?:\.(?:only|skip|each|concurrent))?\s*\(", code)) if language in ("javascript", "typescript") else 0
+
+
 #: Detectors by language; others can be added.
 DETECTORS = {"python": python_fixtures, "java": java_fixtures, "javascript": javascript_fixtures, "typescript": javascript_fixtures}
 
@@ -240,32 +408,55 @@ PAIRS = {
 }
 
 
+#: Calls by which set-up code registers its own tear-down.
+CLEANUPS = {"unittest_setUp": ("addCleanup(", "enterContext("), "unittest_setUpClass": ("addClassCleanup(", "enterClassContext(")}
+
+
 def with_teardown(found: DataFrame) -> DataFrame:
-    """Whether set-up code has tear-down code of its type, scope and container in its file, or yields to it itself."""
-    partner = F.element_at(F.create_map(*[F.lit(x) for pair in PAIRS.items() for x in pair]), F.col("fixture_type"))
+    """Whether set-up code has tear-down code of its type, scope and container in its file, yields to it, or registers it."""
     down = found.select("file_id", F.col("fixture_type").alias("__want"), F.col("scope").alias("__s"), F.col("container").alias("__c")).distinct().withColumn("__hit", F.lit(True))
     marked = found.withColumn("__want", F.try_element_at(F.create_map(*[F.lit(x) for pair in PAIRS.items() for x in pair]), F.col("fixture_type")))
     met = marked.join(down, [marked["file_id"] == down["file_id"], marked["__want"] == down["__want"], marked["scope"] == down["__s"], marked["container"] == down["__c"]], "left")
     yields = (F.col("fixture_type") == "pytest_decorator") & F.col("raw_source").rlike(r"(?m)^\s*yield\b|addfinalizer")
-    del partner
+    for kind, calls in CLEANUPS.items():
+        yields = yields | ((F.col("fixture_type") == kind) & F.col("raw_source").rlike("|".join(map(re.escape, calls))))
     return met.select(*(marked[c] for c in found.columns), (F.col("__hit").isNotNull() | yields).alias("has_teardown_pair"))
 
 
-#: Fixed values: (framework, pattern, group with the target) of test doubles.
+#: Frameworks and patterns of test doubles; the first group, if there is one, is the target.
 MOCKS = (
-    ("unittest_mock", r"@?(?:mock\.)?patch(?:\.object|\.dict)?\(\s*['\"]?([\w.]+)", 1),
-    ("unittest_mock", r"\b((?:Async|Magic|Property)?Mock)\(", 1),
-    ("pytest_mock", r"\bmocker\.(?:patch|spy|stub)(?:\.object)?\(\s*['\"]?([\w.]+)", 1),
-    ("pytest_monkeypatch", r"\bmonkeypatch\.(?:setattr|setenv|delattr|setitem)\(\s*['\"]?([\w.]+)", 1),
-    ("mockito", r"\bMockito\.(?:mock|spy)\(\s*(\w+)|(?<![\w.])(?:mock|spy)\(\s*(\w+)\.class", 1),
-    ("mockito", r"@(?:Mock|Spy|MockBean)\b\s+(?:private\s+)?(\w+)", 1),
-    ("jest", r"\bjest\.(?:mock|spyOn|fn)\(\s*['\"]?([\w./@-]*)", 1),
-    ("vitest", r"\bvi\.(?:mock|spyOn|fn)\(\s*['\"]?([\w./@-]*)", 1),
-    ("sinon", r"\bsinon\.(?:stub|spy|mock|fake)\(\s*([\w.]*)", 1),
+    ("unittest_mock", r"mock\.patch\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("unittest_mock", r"mock\.patch\.object\s*\(\s*(\w+)"),
+    ("unittest_mock", r"create_autospec\s*\(\s*(\w+)"),
+    ("pytest_mock", r"mocker\.patch\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("pytest_mock", r"mocker\.patch\.object\s*\(\s*(\w+)"),
+    ("unittest_mock", r"(?<!mock\.)(?<!mocker\.)\bpatch\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("unittest_mock", r"(?<!mock\.)(?<!mocker\.)\bpatch\.object\s*\(\s*(\w+)"),
+    ("unittest_mock", r"MagicMock\s*\(|\bMock\s*\(|AsyncMock\s*\("),
+    ("pytest_monkeypatch", r"monkeypatch\.(setattr|delattr|setenv|delenv|setitem|delitem)\s*\("),
+    ("mockito", r"Mockito\.mock\s*\(\s*(\w+)\.class"),
+    ("mockito", r"@Mock\b"),
+    ("mockito", r"Mockito\.spy\s*\(\s*(\w+)"),
+    ("easymock", r"EasyMock\.createMock\s*\(\s*(\w+)\.class"),
+    ("mockito", r"(?<!\.)\bmock\s*\(\s*(\w+)\.class"),
+    ("jest", r"jest\.fn\s*\("),
+    ("jest", r"jest\.spyOn\s*\("),
+    ("jest", r"jest\.mock\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("jest", r"jest\.mocked\s*\(\s*(\w+)"),
+    ("jest", r"jest\.createMockFromModule\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("sinon", r"sinon\.stub\s*\("),
+    ("sinon", r"sinon\.spy\s*\("),
+    ("sinon", r"sinon\.mock\s*\("),
+    ("sinon", r"sinon\.fake\s*\("),
+    ("sinon", r"sinon\.replace\s*\("),
+    ("sinon", r"sinon\.createStubInstance\s*\(\s*(\w+)"),
+    ("vitest", r"vi\.fn\s*\("),
+    ("vitest", r"vi\.mock\s*\(\s*['\"]([^'\"]+)['\"]"),
 )
-#: Kinds of test doubles by keyword, in order.
-MOCK_CATEGORIES = (("spy", ("spy",)), ("fake", ("fake", "inmemory", "in_memory")), ("stub", ("stub",)), ("dummy", ("dummy",)))
-INTERACTIONS = re.compile(r"\b(?:return_value|side_effect|thenReturn|thenThrow|mockReturnValue|mockResolvedValue|mockImplementation|returns|assert_called\w*|verify|toHaveBeenCalled\w*)\b")
+#: Kinds of test doubles by keyword, in order; what is set up on one; characters around a use that are kept.
+MOCK_CATEGORIES = (("dummy", ("dummy", "dummies")), ("stub", ("stub",)), ("spy", ("spy", "spies")), ("fake", ("fake",)), ("mock", ("mock",)))
+INTERACTIONS = re.compile(r"return_value|side_effect|thenReturn|thenThrow|doReturn")
+BEFORE, AFTER, REACH = 20, 60, 200
 MOCK_SCHEMA = "file_id long, framework string, category string, target string, interactions int, snippet string, at int"
 
 
@@ -274,18 +465,23 @@ def mock_category(text: str) -> str:
     return next((name for name, words in MOCK_CATEGORIES if any(w in low for w in words)), "mock")
 
 
-def mocks(files: DataFrame) -> DataFrame:
-    """One row for each use of a test double in ``files`` (file_id, source), with what stands around it."""
+def mocks(files: DataFrame, rules: Sequence[tuple[str, str]] = MOCKS) -> DataFrame:
+    """One row for each use of a test double in ``files`` (file_id, source), with what stands around it.
+
+    ``rules`` are (framework, pattern), from a rule table if others are wanted. The category is that of the whole source.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = [(framework, re.compile(pattern)) for framework, pattern in rules]
         for frame in frames:
             rows = []
             for file_id, source in zip(frame["file_id"], frame["source"], strict=True):
-                for framework, pattern, _ in MOCKS:
-                    for m in re.finditer(pattern, source or ""):
-                        snippet = source[max(0, m.start() - 20) : m.end() + 60]
-                        target = next((g for g in m.groups() if g), "")
-                        rows.append((file_id, framework, mock_category(m.group()), target, len(INTERACTIONS.findall(source[m.end() : m.end() + 200])), snippet, m.start()))
+                category = mock_category(source or "")
+                for framework, pattern in compiled:
+                    for m in pattern.finditer(source or ""):
+                        snippet = source[max(0, m.start() - BEFORE) : m.end() + AFTER].replace("\n", " ")
+                        target = m.group(1) or "" if pattern.groups else ""
+                        rows.append((file_id, framework, category, target, len(INTERACTIONS.findall(source, m.start(), m.end() + REACH)), snippet, m.start()))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in MOCK_SCHEMA.split(", ")])
 
     return files.select(F.col("file_id").cast("long"), "source").mapInPandas(run, MOCK_SCHEMA)

@@ -1,23 +1,21 @@
-"""Closures over small directed graphs."""
+"""Closures and least levels over directed graphs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.session import stored
+
 
 def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
     """All (source, target) with a path of one edge or more; each round doubles the length of the paths that are known."""
-    known = edges.select(source, target).filter(F.col(source).isNotNull() & F.col(target).isNotNull()).distinct()
+    known = stored(edges.select(source, target).filter(F.col(source).isNotNull() & F.col(target).isNotNull()).distinct(), "paths")
     count = known.count()
     while True:
         onward = known.select(F.col(source).alias("__a"), F.col(target).alias("__b"))
         longer = known.join(onward, F.col(target) == F.col("__a")).select(source, F.col("__b").alias(target))
-        known = known.union(longer).distinct()
-        if known.sparkSession.sparkContext.getCheckpointDir():
-            known = known.checkpoint()
-        else:
-            known = known.persist()
+        known = stored(known.union(longer).distinct(), "paths")
         now = known.count()
         if now == count:
             return known
@@ -26,7 +24,14 @@ def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 def least_over_closure(nodes: DataFrame, edges: DataFrame, key: str, level: str, source: str, target: str) -> DataFrame:
     """``nodes`` with the least level among a node and all it depends on."""
-    paths = closure(edges, source, target)
-    below = paths.join(nodes.select(F.col(key).alias("__k"), F.col(level).alias("__l")), F.col(target) == F.col("__k"))
-    least = below.groupBy(F.col(source).alias("__s")).agg(F.min("__l").alias("__m"))
-    return nodes.join(least, F.col(key) == F.col("__s"), "left").withColumn("effective", F.least(F.col(level), F.col("__m"))).drop("__s", "__m")
+    # Levels run along the edges until nothing falls any more: no pair of nodes further apart is ever made.
+    edges = stored(edges.select(F.col(source).alias("__s"), F.col(target).alias("__t")).filter("__s is not null and __t is not null").distinct(), "edges")
+    now = stored(nodes.groupBy(F.col(key).alias("__k")).agg(F.min(level).alias("__m")), "levels")
+    while True:
+        below = edges.join(now.select(F.col("__k").alias("__t"), F.col("__m").alias("__below")), "__t").groupBy("__s").agg(F.min("__below").alias("__below"))
+        new = now.join(below, F.col("__k") == F.col("__s"), "left").select("__k", F.least("__m", "__below").alias("__m"), (F.coalesce(F.col("__below") < F.col("__m"), F.col("__m").isNull() & F.col("__below").isNotNull())).alias("__fell"))
+        new = stored(new, "levels")
+        now = new.select("__k", "__m")
+        if new.filter("__fell").isEmpty():
+            break
+    return nodes.join(now, F.col(key) == F.col("__k"), "left").withColumn("effective", F.least(F.col(level), F.col("__m"))).drop("__k", "__m")

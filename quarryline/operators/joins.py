@@ -67,6 +67,12 @@ def share_of(frame: DataFrame, value: str, name: str, by: Sequence[str] = ()) ->
     return frame.join(total, list(by)).withColumn(name, F.try_divide(F.col(value).cast("double"), F.nullif(F.col("__t"), F.lit(0)))).drop("__t")
 
 
+def merged_with(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, whose keys are distinct, and _merge: both, or left_only where the key isn't there."""
+    out = left.join(right.withColumn("__there", F.lit(True)), list(on), "left")
+    return out.withColumn("_merge", F.when(F.col("__there"), "both").otherwise("left_only")).drop("__there")
+
+
 def firsts(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in an order that must be total."""
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")

@@ -38,6 +38,13 @@ def _same(keys: Sequence[str]):
     return condition
 
 
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row for each key; null keys meet, and without keys its one row."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    return left.join(right.withColumnsRenamed({k: f"__j{i}" for i, k in enumerate(keys)}), _same(keys)).drop(*(f"__j{i}" for i in range(len(keys))))
+
+
 def numbered(frame: DataFrame, order: str, name: str, by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
     """``frame`` with dense numbers from 1."""
     return running(frame.withColumn("__one", F.lit(1).cast("long")), order, {name: "__one"}, by, ties).drop("__one")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarryline.operators.running import running
+from quarryline.operators.running import numbered, running
 
 
 def draw(key: Column | str, seed: int) -> Column:
@@ -17,6 +17,11 @@ def draw(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string") if isinstance(key, str) else key, F.lit(f":{seed}")))
 
 
+def place_of(digest: Column) -> Column:
+    """The first 48 bits of a hexadecimal digest as a number in the same order."""
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
+
+
 def content_order(columns: Sequence[str], seed: int) -> Column:
     return F.sha2(F.concat(F.to_json(F.struct(*sorted(columns))), F.lit(f":{seed}")), 256)
 
@@ -58,15 +63,15 @@ def water_filling(strata: DataFrame, cap: str, weight: str, key: str, target: fl
 
 def whole_units(units: DataFrame, key: str, size: str, quotas: DataFrame, by: str, quota: str, seed: int) -> DataFrame:
     """Units of each stratum, in seeded order, as long as each brings the total closer to the stratum's quota."""
-    order = F.conv(F.substring(draw(key, seed), 1, 12), 16, 10).cast("double")
-    listed = units.join(F.broadcast(quotas.select(by, quota)), by).withColumn("__o", order)
+    order = place_of(draw(key, seed))
+    listed = units.join(quotas.select(by, quota), by).withColumn("__o", order)
     summed = running(listed, "__o", {"__after": size}, by=[by], ties=[key])
     before = F.col("__after") - F.col(size)
     good = (before < F.col(quota)) & (F.abs(F.col("__after") - F.col(quota)) < F.abs(before - F.col(quota)))
     marked = summed.withColumn("__bad", F.when(good, 0).otherwise(1))
     # Units stop at the first that doesn't help: those before the least bad place stay.
     stop = marked.filter("__bad = 1").groupBy(by).agg(F.min(F.struct("__o", key)).alias("__stop"))
-    kept = marked.join(F.broadcast(stop), by, "left").filter(F.col("__stop").isNull() | (F.struct("__o", key) < F.col("__stop")))
+    kept = marked.join(stop, by, "left").filter(F.col("__stop").isNull() | (F.struct("__o", key) < F.col("__stop")))
     return kept.drop("__o", "__after", "__bad", "__stop", quota)
 
 
@@ -78,19 +83,21 @@ def stratified(rows: DataFrame, key: str, strata: str, target: int, seed: int) -
     sizes = rows.groupBy(strata).agg(F.count("*").alias("__n"))
     total = sizes.agg(F.sum("__n").alias("__s"))
     quotas = sizes.crossJoin(F.broadcast(total)).select(strata, F.bround(F.col("__n") * F.lit(float(target)) / F.col("__s")).cast("long").alias("__q"))
-    ordered = rows.withColumn("__d", draw(key, seed))
-    ranked = ordered.join(F.broadcast(quotas), strata).withColumn("__r", F.row_number().over(W.partitionBy(strata).orderBy("__d", key)))
+    ordered = rows.withColumn("__d", draw(key, seed)).withColumn("__o", place_of(F.col("__d")))
+    ranked = numbered(ordered.join(quotas, strata), "__o", "__r", by=[strata], ties=["__d", key])
     chosen = ranked.withColumn("__extra", F.col("__r") > F.col("__q"))
-    return chosen.orderBy("__extra", "__d", key).limit(target).drop("__d", "__q", "__r", "__extra")
+    return chosen.orderBy("__extra", "__d", key).limit(target).drop("__d", "__o", "__q", "__r", "__extra")
 
 
 def quota_per_unit(rows: DataFrame, key: str, unit: str, by: str, targets: DataFrame, target: str, seed: int) -> DataFrame:
     """For each stratum its target of rows, the same floor from each unit first, then the rest by the seeded order."""
     units = rows.groupBy(by).agg(F.countDistinct(unit).alias("__u"))
     plan = targets.select(by, target).join(units, by).select(by, target, F.floor(F.col(target) / F.col("__u")).alias("__floor"))
-    ranked = rows.join(F.broadcast(plan), by).withColumn("__d", draw(key, seed)).withColumn("__r", F.row_number().over(W.partitionBy(by, unit).orderBy("__d", key)))
-    late = F.when(F.col("__r") > F.col("__floor"), 1).otherwise(0)
-    return ranked.withColumn("__n", F.row_number().over(W.partitionBy(by).orderBy(late, "__d", key))).filter(F.col("__n") <= F.col(target)).drop("__d", "__r", "__n", "__floor", target)
+    drawn = rows.join(plan, by).withColumn("__d", draw(key, seed)).withColumn("__o", place_of(F.col("__d")))
+    ranked = numbered(drawn, "__o", "__r", by=[by, unit], ties=["__d", key])
+    # Rows beyond their unit's floor come after all others.
+    late = ranked.withColumn("__o", F.when(F.col("__r") > F.col("__floor"), F.col("__o") + float(1 << 48)).otherwise(F.col("__o")))
+    return numbered(late, "__o", "__n", by=[by], ties=["__d", key]).filter(F.col("__n") <= F.col(target)).drop("__d", "__o", "__r", "__n", "__floor", target)
 
 
 def sample_check(rows: DataFrame, sample: DataFrame, by: str, tolerance: float) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.functions.scalars import cliffs_magnitude, cramers_magnitude
-from quarryline.operators.aggregate import cluster_proportions
-from quarryline.operators.running import running
+from quarryline.operators.aggregate import distribution
+from quarryline.operators.running import joined, running
 
 
 def exact_tail(u: float, n1: int, n2: int) -> float:
@@ -92,6 +92,11 @@ def mann_whitney(rows: DataFrame, value: str, group: str, first: str, second: st
     """
     used = rows.filter(F.col(value).isNotNull() & F.col(group).isin(first, second))
     counts = used.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
+    return rank_sums(counts, by)
+
+
+def rank_sums(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same of values that are counted: v, a in the first group, b in the second, each v once in a stratum."""
     counts = counts.withColumn("t", F.col("a") + F.col("b"))
     ranked = running(counts, "v", {"below": "t"}, by=by, inclusive=False)
     rank = F.col("below") + (F.col("t") + 1) / 2
@@ -112,9 +117,19 @@ def mann_whitney(rows: DataFrame, value: str, group: str, first: str, second: st
 
 
 def cluster_rank_tests(rows: DataFrame, unit: str, category: str, group: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
-    """A rank test for each category between the units' shares of it in the two groups."""
-    shares = cluster_proportions(rows.filter(F.col(group).isin(first, second)), unit, category, [*by, group])
-    return mann_whitney(shares, "proportion", group, first, second, [*by, category])
+    """A rank test for each category between the units' shares of it in the two groups, 0 where a unit has none of it.
+
+    A category that no unit of a stratum has isn't tested there.
+    """
+    cells = distribution(rows.filter(F.col(group).isin(first, second)), *by, group, unit, category)
+    totals = cells.groupBy(*by, group, unit).agg(F.sum("n").alias("__total"))
+    sides = F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b")
+    some = cells.join(totals, [*by, group, unit]).groupBy(*by, category, (F.col("n") / F.col("__total")).alias("v")).agg(*sides)
+    units = totals.groupBy(*by).agg(*(s.alias(n) for s, n in zip(sides, ("__a", "__b"), strict=True)))
+    # Units without the category have a share of 0; they are counted, not made.
+    have = joined(some.groupBy(*by, category).agg(F.sum("a").alias("a"), F.sum("b").alias("b")), units, by)
+    none = have.select(*by, category, F.lit(0.0).alias("v"), (F.col("__a") - F.col("a")).alias("a"), (F.col("__b") - F.col("b")).alias("b"))
+    return rank_sums(some.unionByName(none.filter("a + b > 0")), [*by, category])
 
 
 def chi_square(rows: DataFrame, category: str, group: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.operators.dedup import resynced
+from quarryline.session import stored
 
 
 def gated(rows: DataFrame, floors: dict[str, float], reasons: dict[str, str] | None = None) -> DataFrame:
@@ -44,19 +45,22 @@ def mismatches(rows: DataFrame, recorded: str, computed: Column, by: Sequence[st
 
 
 def expanded(candidates: DataFrame, order: Sequence[Column], check: Callable[[DataFrame], DataFrame], target: int, first: int, rounds: int = 3) -> DataFrame:
-    """Checked candidates, at least ``target`` if the rounds suffice: a round takes as many more as the survival so far asks for.
+    """The first ``target`` checked candidates, if the rounds suffice: a round takes as many more as the survival so far asks
+    for, and looks at new ones only.
 
-    A round without survivors doubles the next; the limit is on the number looked at, as looking is what costs.
+    A round without survivors doubles the number looked at, as looking is what costs. ``check`` keeps the columns of
+    ``order``, which must be total.
     """
-    limit, seen = first, 0
+    limit, seen, kept = first, 0, 0
+    found: DataFrame | None = None
     for _ in range(rounds):
-        found = check(candidates.orderBy(*order).limit(limit))
-        kept = found.count()
-        if kept >= target or limit == seen:
+        part = stored(check(candidates.orderBy(*order).offset(seen).limit(limit - seen)), "checked")
+        kept += part.count()
+        found = part if found is None else found.unionByName(part)
+        if kept >= target:
             break
-        seen = limit
-        limit = limit * 2 if not kept else max(limit + 1, -(-target * limit // kept))
-    return found.limit(target)
+        seen, limit = limit, limit * 2 if not kept else max(limit + 1, -(-target * limit // kept))
+    return found.orderBy(*order).limit(target)
 
 
 def since(log: DataFrame, time: str, begin: Column, merged: Column | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from quarryline.operators import sampling as M
 from quarryline.operators import stats
 from quarryline.operators.graph import least_over_closure
 from quarryline.plans.registry import query, rounded
+from quarryline.session import shared_dir
 from quarryline.session import table as T
 from quarryline.streaming import events as E
 
@@ -226,23 +226,13 @@ def ordered_keyword_class(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "documents").select("doc_id", S.first_keyword("text", rules, "prose").alias("class"), S.has_any_keyword("text", ["idiot", "scum"]).alias("excluded"))
 
 
-@query("""
-SELECT conv_id, turn, CASE WHEN role = 'system' THEN NULL WHEN regexp_matches(text, '(?i)(^|[^a-z0-9_])(the|that)($|[^a-z0-9_])') THEN 'english' WHEN regexp_matches(text, '(?i)(^|[^a-z0-9_])(der|die)($|[^a-z0-9_])') THEN 'german' END AS agent
-FROM conversations WHERE NOT regexp_matches(text, '(?i)(co-authored-by|assisted-by|generated-by):') AND text SIMILAR TO '[\\x00-\\x7f]*'
+@query(r"""
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN NULL WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(the|that)($|[^\p{L}\p{N}_])') THEN 'english' WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(der|die)($|[^\p{L}\p{N}_])') THEN 'german' END AS agent
+FROM conversations
 """)
 def priority_classifier(spark: SparkSession, d: str) -> DataFrame:
-    """The ASCII rows of priority_classifier_all_rows, where DuckDB's word boundaries are the same."""
-    return _classified(T(spark, d, "conversations").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")))
-
-
-@query()
-def priority_classifier_all_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _classified(T(spark, d, "conversations"))
-
-
-def _classified(turns: DataFrame) -> DataFrame:
-    rows = turns.filter(~F.col("text").rlike("(?i)(co-authored-by|assisted-by|generated-by):"))
-    agent = S.agent_of("role", F.lit(""), "text", [], ["system"], [])
+    rows = T(spark, d, "conversations")
+    agent = S.agent_of("role", F.lit(""), F.lit(""), [], ["system"], [])
     body = S.first_rule("text", [(name, "(?i)" + "|".join(S.bounded(w) for w in words)) for name, words in (("english", ["the", "that"]), ("german", ["der", "die"]))])
     return rows.select("conv_id", "turn", F.when(F.col("role") == "system", agent).otherwise(body).alias("agent"))
 
@@ -299,11 +289,6 @@ def ratio_bucket(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("o_custkey", S.intensity("k", "n").alias("bucket"))
 
 
-@query()
-def mock_like_matches(spark: SparkSession, d: str) -> DataFrame:
-    return X.mocks(T(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.col("html").alias("source")))
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey // 2 AS b FROM nation WHERE n_nationkey > 0 UNION ALL SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey < n_nationkey),
      c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
@@ -316,23 +301,6 @@ def closure_min(spark: SparkSession, d: str) -> DataFrame:
     return least_over_closure(nation, edges, "n_nationkey", "n_regionkey", "a", "b")
 
 
-SNIPPETS = [
-    (1, "python", "import pytest\n\n@pytest.fixture(scope='module')\ndef db():\n    # open it\n    c = Connection('x')\n    yield c\n    c.close()\n\n@pytest.fixture(scope='session')\ndef user(db):\n    return db.get(User())\n"),
-    (2, "python", "import unittest\n\nclass T(unittest.TestCase):\n    def setUp(self):\n        for i in range(3):\n            if i:\n                self.x = Thing(i)\n    def tearDown(self):\n        pass\n"),
-    (3, "java", "import org.junit.*;\npublic class ATest {\n  @Before\n  public void init() { if (a && b) { x = new Foo(); } }\n  @After\n  public void done() { }\n}\n"),
-    (4, "javascript", "describe('a', () => {\n  beforeEach(async () => {\n    // fresh\n    await db.connect();\n  });\n  afterEach(function (done) { done(); });\n});\n"),
-    (5, "python", "def broken(:\n"),
-    (6, "python", None),
-]
-
-
-@query()
-def extract_fixtures(spark: SparkSession, d: str) -> DataFrame:
-    T(spark, d, "region")
-    found = X.fixtures(spark.createDataFrame(SNIPPETS, "file_id long, language string, source string"))
-    return X.with_teardown(X.with_scopes(found)).drop("raw_source", "parameters")
-
-
 @query("""
 WITH f AS (SELECT o_orderkey AS commit, l_linenumber, l_returnflag = 'N' AS is_test, l_discount > 0.08 AS dirty FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT commit, coalesce(bool_and(NOT dirty) FILTER (WHERE is_test), true) AS pure, count(*) FILTER (WHERE is_test) AS n_test_files FROM f GROUP BY ALL
@@ -346,8 +314,7 @@ def diff_purity(spark: SparkSession, d: str) -> DataFrame:
 def stream_window_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """Hourly counts that a stream over the events table leaves in a table after all its files."""
     static = T(spark, d, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarryline-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     # As a pattern the path may be a file or a folder.
     stream = E.read_stream(spark, f"{d}/events.parque[t]", static.schema)
     counts = E.window_counts(stream, "ts", "1 hour", ["event_type"])

@@ -70,24 +70,26 @@ def log_since(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 1), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))
+WITH c AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))
 SELECT 'customer' AS name, count(*) AS n FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM l
 """)
 def subset_export(spark: SparkSession, d: str) -> DataFrame:
     customers = T(spark, d, "customer")
     parts = V.exported(
         {"customer": (customers, "c_custkey", "c_custkey"), "orders": (T(spark, d, "orders"), "o_custkey", "o_orderkey"), "lineitem": (T(spark, d, "lineitem"), "l_orderkey", None)},
-        customers.filter("c_custkey % 50 = 1"), "c_custkey",
+        customers.filter("c_mktsegment = 'BUILDING'"), "c_custkey",
     )
     counts = [p.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, p in parts.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS num_lines FROM orders")
+@query("SELECT 'order' AS level, o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders UNION ALL SELECT 'line', l_orderkey, l_linenumber FROM lineitem")
 def nested_persist(spark: SparkSession, d: str) -> DataFrame:
     lines = T(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("lines"))
     nested = T(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
-    return V.nested_to_tables(nested, "o_orderkey", "lines")[0]
+    parents, children = V.nested_to_tables(nested, "o_orderkey", "lines")
+    lines = children.select(F.lit("line").alias("level"), "o_orderkey", F.col("l_linenumber").cast("long").alias("n"))
+    return parents.select(F.lit("order").alias("level"), "o_orderkey", F.col("num_lines").alias("n")).unionByName(lines)
 
 
 @query("""
@@ -99,10 +101,17 @@ def simple_regression(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("slope", 4).alias("slope"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT o_totalprice AS y, o_custkey::DOUBLE AS a, dense_rank() OVER (ORDER BY o_orderpriority) - 1.0 AS b, dense_rank() OVER (ORDER BY o_orderstatus) - 1.0 AS c FROM orders),
+m AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, var_pop(y) AS vy, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc, covar_pop(a, y) AS ay, covar_pop(b, y) AS "by", covar_pop(c, y) AS cy FROM p),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+s AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * ("by" * cc - bc * cy) + ac * ("by" * bc - bb * cy)) / det AS x, (aa * ("by" * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - "by" * ac)) / det AS z, (aa * (bb * cy - "by" * bc) - ab * (ab * cy - "by" * ac) + ay * (ab * bc - bb * ac)) / det AS w FROM d)
+SELECT 'intercept' AS term, round(my - x * ma - z * mb - w * mc, 3) AS value FROM s UNION ALL SELECT 'o_custkey', round(x, 3) FROM s UNION ALL SELECT 'o_orderpriority', round(z, 3) FROM s UNION ALL SELECT 'o_orderstatus', round(w, 3) FROM s
+UNION ALL SELECT 'r2', round((x * ay + z * "by" + w * cy) / vy, 3) FROM s
+""")
 def label_regression(spark: SparkSession, d: str) -> DataFrame:
     found = V.regression(T(spark, d, "orders"), "o_totalprice", ["o_custkey"], ["o_orderpriority", "o_orderstatus"])
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(found.items())], "term string, value double")
+    return spark.createDataFrame([(k, round(v, 3)) for k, v in sorted(found.items())], "term string, value double")
 
 
 @query("""

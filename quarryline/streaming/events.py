@@ -28,23 +28,50 @@ def deduplicated(events: DataFrame, time: str, key: str, late: str) -> DataFrame
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_into(stream: DataFrame, table: str, keys: Sequence[str], updates: Sequence[str], checkpoint: str) -> StreamingQuery:
+def upsert_into(
+    stream: DataFrame, table: str, keys: Sequence[str], updates: Sequence[str], checkpoint: str, order: Sequence[str] = (), buckets: int = 16
+) -> StreamingQuery:
     """Merges each batch into a Parquet table; a batch that runs again leaves the same table.
 
-    Batches go to folders of their own, so a failed one leaves the last whole table; the newest folder counts.
+    Of a batch's rows with equal keys the largest by ``order``, then by all columns, counts. Rows lie in buckets by the hash of
+    their keys; a batch writes the buckets that it touches into a version of its own, which counts once it is whole. Use
+    ``read_upserted`` to read the table.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = f"{table}/v={number - 1}"
-        latest = batch.dropDuplicates(list(keys))
-        if number:
-            latest = upserted(spark.read.parquet(before), latest, keys, updates).drop("is_new")
-        latest.write.mode("overwrite").parquet(f"{table}/v={number}")
+        rest = [c for c in batch.columns if c not in keys]
+        last = F.max_by(F.struct(*rest), F.struct(*order, *(c for c in rest if c not in order)))
+        latest = batch.groupBy(*keys).agg(last.alias("__v")).select(*keys, *(f"__v.{c}" for c in rest)).select(batch.columns)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in latest.select(bucket).distinct().collect()]
+        before = read_upserted(spark, table, batch.schema, number, touched)
+        if before is not None:
+            latest = upserted(before, latest, keys, updates).drop("is_new")
+        latest.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_upserted(spark: SparkSession, table: str, schema: StructType | None = None, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
+    """The rows of a table that ``upsert_into`` wrote: of each bucket the newest whole version, below ``before``; None without any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    newest: dict[int, int] = {}
+    for folder in store.listStatus(path) if store.exists(path) else []:
+        number = folder.getPath().getName().removeprefix("v=")
+        whole = number.isdigit() and store.exists(spark._jvm.org.apache.hadoop.fs.Path(folder.getPath(), "_SUCCESS"))
+        if whole and (before is None or int(number) < before):
+            for part in store.listStatus(folder.getPath()):
+                name = part.getPath().getName()
+                if name.startswith("bucket=") and (buckets is None or int(name[7:]) in buckets):
+                    newest[int(name[7:])] = max(newest.get(int(name[7:]), -1), int(number))
+    if not newest:
+        return None
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(*(f"{table}/v={v}/bucket={b}" for b, v in sorted(newest.items())))
+
+
 def pending(every: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What a resumed run still has to do."""
     return every.join(done.select(*keys).distinct(), list(keys), "left_anti")

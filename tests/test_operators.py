@@ -191,9 +191,17 @@ def test_scalars(spark):
     assert [r[0] for r in paths.select(S.is_test_path("p")).collect()] == [True, True, True, True, False, False]
 
 
-def test_extraction(spark):
-    from quarryline.plans.analysis import SNIPPETS
+SNIPPETS = [
+    (1, "python", "import pytest\n\n@pytest.fixture(scope='module')\ndef db():\n    # open it\n    c = Connection('x')\n    yield c\n    c.close()\n\n@pytest.fixture(scope='session')\ndef user(db):\n    return db.get(User())\n"),
+    (2, "python", "import unittest\n\nclass T(unittest.TestCase):\n    def setUp(self):\n        for i in range(3):\n            if i:\n                self.x = Thing(i)\n    def tearDown(self):\n        pass\n"),
+    (3, "java", "import org.junit.*;\npublic class ATest {\n  @Before\n  public void init() { if (a && b) { x = new Foo(); } }\n  @After\n  public void done() { }\n}\n"),
+    (4, "javascript", "describe('a', () => {\n  beforeEach(async () => {\n    // fresh\n    await db.connect();\n  });\n  afterEach(function (done) { done(); });\n});\n"),
+    (5, "python", "def broken(:\n"),
+    (6, "python", None),
+]
+
 
+def test_extraction(spark):
     found = X.with_teardown(X.with_scopes(X.fixtures(spark.createDataFrame(SNIPPETS, "file_id long, language string, source string"))))
     got = {(r.file_id, r.name): r for r in found.collect()}
     assert set(got) == {(1, "db"), (1, "user"), (2, "setUp"), (2, "tearDown"), (3, "init"), (3, "done"), (4, "beforeEach"), (4, "afterEach")}
@@ -205,7 +213,7 @@ def test_extraction(spark):
     diff = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n a\n+b\n c\n"
     assert rows(X.added_lines(spark.createDataFrame([("c1", diff), ("c2", None)], "commit string, diff string"))) == [("c1", "x.py", 2)]
     mocks = X.mocks(spark.createDataFrame([(1, "@patch('a.b')\ndef t(m):\n    m.return_value = Mock()\n"), (2, None)], "file_id long, source string"))
-    assert {(r.framework, r.target) for r in mocks.collect()} == {("unittest_mock", "a.b"), ("unittest_mock", "Mock")}
+    assert {(r.framework, r.target, r.interactions) for r in mocks.collect()} == {("unittest_mock", "a.b", 1), ("unittest_mock", "", 0)}
 
 
 def test_sources(spark, tmp_path):
@@ -245,7 +253,8 @@ def test_stream_upserts_and_deduplicates(spark, tmp_path):
     for part in ([(1, 1)], [(1, 5), (2, 2)], [(2, 9)]):
         spark.createDataFrame(part, "k int, n int").withColumn("ts", F.expr("timestamp '2024-01-01'")).coalesce(1).write.mode("append").parquet(source)
         E.upsert_into(E.read_stream(spark, source, schema), table, ["k"], ["n"], str(tmp_path / "state")).awaitTermination()
-    assert rows(spark.read.parquet(f"{table}/v=2").select("k", "n")) == [(1, 5), (2, 9)]
+    assert rows(E.read_upserted(spark, table).select("k", "n")) == [(1, 5), (2, 9)]
+    assert rows(E.read_upserted(spark, table, before=1).select("k", "n")) == [(1, 1)]
     unique = E.deduplicated(E.read_stream(spark, source, schema), "ts", "k", "1 hour")
     job = unique.writeStream.format("memory").queryName("unique_keys").option("checkpointLocation", str(tmp_path / "s2")).trigger(availableNow=True).start()
     job.awaitTermination()
@@ -282,7 +291,7 @@ def test_discovery_expands_until_enough_survive(spark):
 
     got = V.expanded(spark.range(1000), [F.col("id")], check, 5, 4, rounds=5)
     assert [r.id for r in got.orderBy("id").collect()] == [9, 19, 29, 39, 49]
-    assert looked[:2] == [4, 8] and looked[-1] <= 200
+    assert looked[:2] == [4, 4] and sum(looked) <= 200
 
 
 def test_nested_tables(spark):
@@ -303,7 +312,6 @@ def test_priority_classifier_reads_every_row(spark, tmp_path):
     spark.createDataFrame(data, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     want = []
     for k, turn, role, t in data:
-        if not re.search("(?i)(co-authored-by|assisted-by|generated-by):", t):
-            name = next((n for n, p in (("english", r"\b(the|that)\b"), ("german", r"\b(der|die)\b")) if re.search(p, t, re.I)), None)
-            want.append((k, turn, None if role == "system" else name))
-    assert rows(QUERIES["priority_classifier_all_rows"](spark, str(tmp_path))) == want
+        name = next((n for n, p in (("english", r"\b(the|that)\b"), ("german", r"\b(der|die)\b")) if re.search(p, t, re.I)), None)
+        want.append((k, turn, None if role == "system" else name))
+    assert rows(QUERIES["priority_classifier"](spark, str(tmp_path))) == want
