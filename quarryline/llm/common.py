@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline import session
+from quarryline.session import shared_dir, stored  # noqa: F401
 
 #: Bytes that a table may have at most before the operators stop broadcasting it.
 BROADCAST_BYTES = 32 << 20
@@ -31,32 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session.table(spark, sf_dir, name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh one in local runs without it.
-
-    On a cluster a session without that setting raises an error: a folder of one machine is not shared.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="quarryline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again: lineage ends here, lost executors don't matter."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of text, or of one row; a null text becomes an empty one."""
     for batch in batches:

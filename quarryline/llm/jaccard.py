@@ -35,7 +35,7 @@ LEVELS = ((3, 2), (5, 4), (5, 4), (5, 4))
 #: Probability that a pair at the threshold is found, and what a sketch's estimate may be below a similarity.
 RECALL, SLACK = 0.9999, 0.2
 #: Sets of a component that a task holds at once, and their bytes.
-BLOCK, BLOCK_BYTES = 2048, 8 << 20
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 
 
 def survival(similarity: float) -> float:
