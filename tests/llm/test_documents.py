@@ -297,7 +297,9 @@ def test_toxicity_learns_and_bears_odd_rows(spark):
 # Near duplicates.
 
 
-def linked(rows, threshold=0.8):
+def linked_rows(rows, threshold=0.8):
+    """(id, group, links) of each row by comparing all with all."""
+
     def shingles(t):
         w = WORD.findall(t or "")
         return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -316,11 +318,16 @@ def linked(rows, threshold=0.8):
                 links[i] += 1
                 links[j] += 1
                 parent[max(root(i), root(j))] = min(root(i), root(j))
-    groups = collections.defaultdict(list)
-    for i, (d, _) in enumerate(rows):
-        groups[root(i)].append(d)
+    return [(d, root(i), links[i]) for i, (d, _) in enumerate(rows)]
+
+
+def linked(rows, threshold=0.8):
+    """Rows with the least id of their group instead of its number."""
+    found, groups = linked_rows(rows, threshold), collections.defaultdict(list)
+    for d, group, _ in found:
+        groups[group].append(d)
     ids = {g: min((d for d in v if d is not None), default=None) for g, v in groups.items()}
-    return sorted(((d, ids[root(i)], links[i]) for i, (d, _) in enumerate(rows)), key=str)
+    return sorted(((d, ids[g], n) for d, g, n in found), key=str)
 
 
 def near_rows():
