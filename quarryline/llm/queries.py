@@ -30,10 +30,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, and the verdict from the maximal repeats, of every document."""
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all documents with all benchmark items."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -43,6 +45,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document; labels of held-out documents are not learnt from."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     scored = toxicity.score(docs, toxicity.fit(docs, labels.filter(~held_out())))
     return scored.select(
@@ -55,15 +58,18 @@ def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the class that links of 0.8 on five-word shingles connect it to, and its number of links."""
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten or more documents have, as a digest."""
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each page, written to WARC files and read back from them."""
     return warc_round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
 
@@ -108,16 +114,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY tex
 
 
 def op8_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of the ids of every document, and digests of its text and of the text decoded from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = tokenizer_path("piece_bpe_32k.model")
     return sp_decode(sp_encode(docs, model), model).drop("text")
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and places of the personal data in every document."""
     return digest(personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of each document's ids, read back from the token files."""
     return token_file(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 

@@ -165,12 +165,12 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> ToxicityModel:
     """A model from ``labels`` (doc_id, toxic) and the texts of ``docs``.
 
-    Rows whose toxic is null, or whose id is null or unknown, are left out; a null text has no words. Of equal texts, and of
+    Rows whose toxic is neither 0 nor 1, or whose id is null or unknown, are left out; a null text has no words. Of equal texts, and of
     near copies, one of each class counts, so a family's own words aren't evidence: a family has the same least shingle, and
     what agrees with its first text on 0.8 of ``SKETCH`` minhashes or more is a near copy of that. Without rows of both
     classes every text gets the share of toxic rows.
     """
-    rows = labels.filter("doc_id is not null and toxic is not null").selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic")
+    rows = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic").filter("doc_id is not null and toxic in (0, 1)")
     chosen = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), "doc_id")
 

@@ -282,7 +282,7 @@ def test_toxicity_learns_and_bears_odd_rows(spark):
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
     docs = spark.createDataFrame([*rows, (None, None), (601, ""), (0, rows[0][1])], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
-    model = toxicity.fit(docs, spark.createDataFrame([*labels[:450], (None, 1), (9999, 1), (3, None)], "doc_id long, toxic int"))
+    model = toxicity.fit(docs, spark.createDataFrame([*labels[:450], (None, 1), (9999, 1), (3, None), (4, 2), (5, -1)], "doc_id long, toxic int"))
     got = collections.defaultdict(list)
     for r in toxicity.score(docs, model).collect():
         got[r.doc_id].append(r)
