@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import toxicity
+from quarryline.llm.bpe import bpe_decode, bpe_encode
 from quarryline.llm.chat import link_calls
 from quarryline.llm.common import table
 from quarryline.llm.decontamination import leaks
@@ -16,6 +17,7 @@ from quarryline.llm.linedup import dedup_lines
 from quarryline.llm.pii import digest, personal_data
 from quarryline.llm.repetition import repetition_rules
 from quarryline.llm.tokenfile import token_file
+from quarryline.llm.vectorcodes import product_codes
 from quarryline.llm.viterbi import sp_decode, sp_encode
 from quarryline.llm.warc import warc_round_trip
 
@@ -130,6 +132,17 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op12_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids of every document, and the digest of the text decoded from them."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    return bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path).drop("text")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every usable vector, its label's error, and the digest of the codebooks."""
+    return product_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024).drop("label", "codebooks")
+
+
 #: A document is a row, whatever its id.
 OP5_SQL = r"""
 WITH numbered AS (
@@ -177,6 +190,8 @@ QUERIES = {
     "op8_streaming_viterbi": op8_streaming_viterbi,
     "op9_personal_data": op9_personal_data,
     "op10_token_blocks": op10_token_blocks,
+    "op12_speculative_bpe": op12_speculative_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 OP4_SQL = r"""
@@ -203,10 +218,49 @@ SELECT d.doc_id, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS class_id
 FROM documents d
 """
 
-#: Decoding gives every text back, so the digest of the decoded text is that of the original.
+
+def op13_sql(parts: int = 4, rounds: int = 4) -> str:
+    """The rounds one after the other; products of small whole numbers are exact in doubles."""
+    steps = [
+        f"""kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, list_slice(v, p * (len(v) // {parts}) + 1, (p + 1) * (len(v) // {parts})) AS v FROM kept, range({parts}) AS _(p)
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""far{r} AS MATERIALIZED (
+  SELECT vec_id, a.p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (
+    SELECT vec_id, a.p, e, list_inner_product(a.v, a.v) - 2 * list_inner_product(a.v, b.v) + list_inner_product(b.v, b.v) AS d
+    FROM parts a JOIN book{r} b ON a.p = b.p) a GROUP BY vec_id, a.p
+)""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN (
+    SELECT p, e, list(x ORDER BY i) AS v FROM (
+      SELECT p, e, i, floor(sum(x) / count(*)) AS x FROM (
+        SELECT f.p, f.e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM far{r} f JOIN parts a ON a.vec_id = f.vec_id AND a.p = f.p
+      ) GROUP BY p, e, i) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e
+)""")
+    steps.append(f"""coded AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM far{rounds} GROUP BY vec_id
+), spelt AS (
+  SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM book{rounds})
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), spelt""")
+    return "WITH " + ", ".join(steps)
+
+
 SQL = {
     "op4_chosen_path": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_warc_shards": OP6_SQL,
     "op7_tool_links": OP7_SQL,
+    "op13_vector_codes": op13_sql(),
 }
