@@ -14,6 +14,7 @@ from quarryline.llm.common import table
 from quarryline.llm.decontamination import leaks
 from quarryline.llm.jaccard import near_duplicates
 from quarryline.llm.linedup import dedup_lines
+from quarryline.llm.phrases import collocations
 from quarryline.llm.pii import digest, personal_data
 from quarryline.llm.repetition import repetition_rules
 from quarryline.llm.tokenfile import token_file
@@ -132,6 +133,11 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_phrase_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two to five words of each language, with 100 occurrences or more."""
+    return collocations(table(spark, sf_dir, "documents"), max_words=5, min_count=100, absorb=100, top=2000)
+
+
 def op12_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of the ids of every document, and the digest of the text decoded from them."""
     path = tokenizer_path("byte_bpe_50k.json")
@@ -190,6 +196,7 @@ QUERIES = {
     "op8_streaming_viterbi": op8_streaming_viterbi,
     "op9_personal_data": op9_personal_data,
     "op10_token_blocks": op10_token_blocks,
+    "op11_phrase_bitmaps": op11_phrase_bitmaps,
     "op12_speculative_bpe": op12_speculative_bpe,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -219,6 +226,40 @@ FROM documents d
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
+  FROM split, range(1, 6) AS _(k) WHERE len(w) >= k
+), counts AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM split GROUP BY lang
+), words AS MATERIALIZED (
+  SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, c.k AS size, c.f AS a, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score, cut
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM words) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(w, cut + 1, c.k), ' ')
+  JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_parts AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(f) AS f
+  FROM words, range(2, 5) AS _(m), range(1, 4) AS __(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_parts p ON p.lang = b.lang AND p.phrase = b.phrase WHERE p.f IS NULL OR 100 * p.f < 100 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
 def op13_sql(parts: int = 4, rounds: int = 4) -> str:
     """The rounds one after the other; products of small whole numbers are exact in doubles."""
     steps = [
@@ -262,5 +303,6 @@ SQL = {
     "op5_line_dedup": OP5_SQL,
     "op6_warc_shards": OP6_SQL,
     "op7_tool_links": OP7_SQL,
+    "op11_phrase_bitmaps": OP11_SQL,
     "op13_vector_codes": op13_sql(),
 }
