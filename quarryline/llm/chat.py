@@ -1,14 +1,13 @@
 """Linking of tool calls with their results, in DataFrame functions only.
 
 Calls and results meet in a hash join on conversation and identifier. A call may name calls that it depends on; its rank is
-its turn, raised above the ranks of what it depends on. A log in order needs no round for this, others one for each level. Arguments are parsed and checked against the parameters of the named function, and each call becomes one line
-of canonical JSON: keys sorted at every depth, no white space, null where something is missing.
+its turn, raised above the ranks of what it depends on. A log in order needs no round for this, others a few, by the logarithm
+of their longest conversation. Arguments are parsed and checked against the parameters of the named function, and each call
+becomes one line of canonical JSON: keys sorted at every depth, no white space, null where something is missing.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +16,33 @@ from quarryline.llm.common import small_enough, stored
 #: JSON types and how the types of parsed values begin.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY", "null": "VOID"}
 
-
 KEYS = ["conv_id", "call_id"]
+#: The rank of what depends on itself, until it becomes null.
+CIRCLE = 1 << 62
+
+
+def jumped(paths: DataFrame) -> DataFrame:
+    """``paths`` (conv_id, call_id, ptr, gap, rank) with pointers four times as far: a call's rank is ``rank`` or, if more,
+    that of ``ptr`` plus ``gap``. Calls at a path's end have no pointer and stay as they are."""
+    ends = paths.filter("ptr is null")
+    far = paths.filter("ptr is not null")
+    for _ in range(3):
+        step = paths.select("conv_id", F.col("call_id").alias("ptr"), F.col("ptr").alias("next"), F.col("gap").alias("more"), F.col("rank").alias("there"))
+        far = far.join(step, ["conv_id", "ptr"], "left").select(
+            *KEYS, F.col("next").alias("ptr"), F.when(F.col("next").isNull(), F.col("gap")).otherwise(F.col("gap") + F.col("more")).alias("gap"), F.greatest("rank", F.col("there") + F.col("gap")).alias("rank")
+        )
+    return far.unionByName(ends)
 
 
 def ranked(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, rank): rank is the turn, or more: above the ranks of all calls depended on; null where calls depend
     on each other, and where they depend on such calls.
 
-    ``calls`` has conv_id, call_id, turn and depends_on. Unknown and null identifiers there are no dependencies, and calls
-    without a conversation or an identifier have none. Only what lies behind a dependency on a later turn is ordered anew,
-    level by level: of the calls that are left, those go that depend on none of the rest. When none can go, the rest runs in
-    circles, however many there are.
+    ``calls`` has conv_id, call_id, turn and depends_on, a row for each identifier. Unknown and null identifiers there are no
+    dependencies, and calls without a conversation or an identifier have none. Only what lies behind a dependency on a later
+    turn is ordered anew. Of the dependencies of a call one is followed, that with the greatest rank so far; paths along these
+    are followed in steps of growing length, so a chain of n calls takes log(n) rounds, and a path that doesn't end within as
+    many calls as a conversation has runs in circles. This is done again while a dependency has too great a rank.
     """
     own = calls.select(*KEYS, F.coalesce("turn", F.lit(0)).cast("long").alias("turn"))
     edges = calls.select(*KEYS, F.explode("depends_on").alias("on")).filter("on is not null and call_id is not null").distinct()
@@ -38,25 +52,26 @@ def ranked(calls: DataFrame) -> DataFrame:
     if since.isEmpty():
         return own.withColumnRenamed("turn", "rank")
     edges = stored(edges.join(since, "conv_id").filter("turn >= since"), "depends")
-    left = stored(own.join(since, "conv_id").filter("turn >= since").select(*KEYS, "turn"), "left")
-    under = stored(edges.filter("on_turn < since").groupBy(*KEYS).agg(F.max("on_turn").alias("under")), "under")
+    under = edges.filter("on_turn < since").groupBy(*KEYS).agg(F.max("on_turn").alias("under"))
+    left = own.filter("call_id is not null").join(since, "conv_id").filter("turn >= since").join(under, KEYS, "left")
+    ranks = stored(left.select(*KEYS, F.greatest("turn", F.col("under") + 1).alias("rank")), "ranks")
     edges = edges.filter("on_turn >= since").select(*KEYS, "on")
-    levels: list[DataFrame] = []
+    most = ranks.groupBy("conv_id").count().agg(F.max("count")).first()[0]
     while True:
-        waiting = edges.join(left.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi").select(*KEYS)
-        free = left.join(waiting, KEYS, "left_anti").join(under, KEYS, "left")
-        free = stored(free.select(*KEYS, F.greatest("turn", F.col("under") + 1).alias("rank")), "free")
-        if free.isEmpty():
+        meets = edges.join(ranks.select("conv_id", F.col("call_id").alias("on"), F.col("rank").alias("on_rank")), ["conv_id", "on"])
+        # A greater struct has the greater rank.
+        followed = meets.groupBy(*KEYS).agg(F.max(F.struct("on_rank", "on")).alias("most"))
+        paths = stored(ranks.join(followed, KEYS, "left").select(*KEYS, F.col("most.on").alias("ptr"), F.lit(1).cast("long").alias("gap"), "rank", F.col("most.on_rank").alias("on_rank")), "paths")
+        if paths.filter(f"on_rank >= rank and rank < {CIRCLE}").isEmpty():
             break
-        levels.append(free)
-        left = stored(left.join(free, KEYS, "left_anti"), "left")
-        above = edges.join(free.select("conv_id", F.col("call_id").alias("on"), F.col("rank").alias("under")), ["conv_id", "on"]).select(*KEYS, "under")
-        under = stored(above.unionByName(under).groupBy(*KEYS).agg(F.max("under").alias("under")), "under")
-        if len(levels) == 16:
-            # A plan over many small tables would grow with the depth.
-            levels = [stored(reduce(DataFrame.unionByName, levels), "levels")]
-    new = reduce(DataFrame.unionByName, levels, left.select(*KEYS, F.lit(None).cast("long").alias("rank")))
-    return own.join(new.withColumn("moved", F.lit(True)), KEYS, "left").select(*KEYS, F.when(F.col("moved"), F.col("rank")).otherwise(F.col("turn")).alias("rank"))
+        paths, length = paths.drop("on_rank"), 1
+        while length <= most:
+            paths, length = stored(jumped(paths), "paths"), 4 * length
+            if paths.filter("ptr is not null").isEmpty():
+                break
+        ranks = paths.select(*KEYS, F.when(F.col("ptr").isNotNull(), F.lit(CIRCLE)).otherwise(F.least("rank", F.lit(CIRCLE))).alias("rank"))
+    new = ranks.select(*KEYS, F.when(F.col("rank") < CIRCLE, F.col("rank")).alias("new"), F.lit(True).alias("moved"))
+    return own.join(new, KEYS, "left").select(*KEYS, F.when(F.col("moved"), F.col("new")).otherwise(F.col("turn")).alias("rank"))
 
 
 def firsts(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +115,7 @@ def link_calls(calls: DataFrame, results: DataFrame, functions: DataFrame) -> Da
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), depends_on (array). ``results``: conv_id, turn, call_id,
     content. ``functions``: name, parameters (array of name, type, required); of rows with the same name the least counts.
     Of several calls, or results, with the same identifier the one of the least turn counts, then of the least text; each of
-    the others is a row of its own, with the status duplicate. A null identifier is one like others. Result: conv_id, call_id,
+    the others is a row of its own, with the status duplicate. Calls and results without an identifier are those of one identifier, which nothing depends on. Result: conv_id, call_id,
     call_turn, result_turn, rank, status (ok, invalid, unanswered, orphan, circular, duplicate), problems, record. Very long
     arguments and contents are parsed and written whole, in their rows. Other columns are not read; empty tables give their
     part of the result empty.

@@ -77,12 +77,13 @@ def op6_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as calls: a user turn calls ``respond``, the turn after it is the result if an assistant has it, and a
-    call depends on the one two turns before."""
+    """Conversations as calls: a user turn calls ``respond``, and the turn after it is the result if an assistant has it. Of
+    three user turns the first depends on the last, the second on the first, and the last on the one six turns before."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     name = F.concat(F.lit("call-"), F.col("turn").cast("string"))
     arguments = F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt")))
-    before = F.array(F.concat(F.lit("call-"), (F.col("turn") - 2).cast("string")))
+    other = F.when(F.expr("(turn div 2) % 3 = 0"), F.col("turn") + 4).when(F.expr("(turn div 2) % 3 = 1"), F.col("turn") - 2).otherwise(F.col("turn") - 6)
+    before = F.array(F.concat(F.lit("call-"), other.cast("string")))
     calls = turns.filter("role = 'user'").select("conv_id", "turn", name.alias("call_id"), F.lit("respond").alias("name"), arguments.alias("arguments"), before.alias("depends_on"))
     results = turns.filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
     functions = spark.range(1).select(
@@ -99,13 +100,16 @@ WITH calls AS (
   SELECT conv_id, turn, 'call-' || (turn - 1) AS call_id, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
 )
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS call_turn, r.turn AS result_turn,
-       c.turn AS rank,
+       CASE WHEN (c.turn // 2) % 3 = 0 AND last.turn IS NOT NULL THEN c.turn + 5
+            WHEN (c.turn // 2) % 3 = 1 AND first.turn IS NOT NULL AND last.turn IS NOT NULL THEN c.turn + 4 ELSE c.turn END AS rank,
        CASE WHEN c.turn IS NULL THEN 'orphan' WHEN c.prompt IS NULL THEN 'invalid' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
        CASE WHEN c.turn IS NOT NULL AND c.prompt IS NULL THEN 'missing:prompt' ELSE '' END AS problems,
        '{"arguments":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '{"prompt":' || to_json(c.prompt)::VARCHAR || ',"turn":' || c.turn || '}' END
          || ',"content":' || coalesce(to_json(r.content)::VARCHAR, 'null') || ',"id":"' || coalesce(c.call_id, r.call_id)
          || '","name":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '"respond"' END || '}' AS record
 FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+LEFT JOIN calls first ON first.conv_id = c.conv_id AND (c.turn // 2) % 3 = 1 AND first.turn = c.turn - 2
+LEFT JOIN calls last ON last.conv_id = c.conv_id AND last.turn = c.turn + 4 - 2 * ((c.turn // 2) % 3)
 UNION ALL
 SELECT conv_id, 'call-' || (CASE WHEN role = 'user' THEN turn ELSE turn - 1 END), CASE WHEN role = 'user' THEN turn END, CASE WHEN role = 'assistant' THEN turn END,
        NULL, 'duplicate', '',

@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarryline.llm import chat, warc
@@ -122,3 +123,31 @@ def test_many_circles_take_few_rounds(spark, monkeypatch):
     got = chat.ranked(spark.createDataFrame(calls, CALLS)).collect()
     assert len(got) == len(calls) and all(r.rank is None for r in got)
     assert len(tables) <= 8
+
+
+def written(monkeypatch):
+    tables = []
+    real = chat.stored
+    monkeypatch.setattr(chat, "stored", lambda df, label: tables.append(label) or real(df, label))
+    return tables
+
+
+def test_calls_without_an_identifier_end_the_order_too(spark, monkeypatch):
+    tables = written(monkeypatch)
+    calls = [(1, 1, "a", "any", "{}", ["b"]), (1, 2, "b", "any", "{}", []), (1, 3, None, "any", "{}", ["a"]), (None, 4, "a", "any", "{}", ["b"]), (1, None, "n", "any", "{}", ["a"])]
+    got = {(r.conv_id, r.call_id): r.rank for r in chat.ranked(spark.createDataFrame(calls, CALLS)).collect()}
+    assert got == {(1, "a"): 3, (1, "b"): 2, (1, None): 3, (None, "a"): 4, (1, "n"): 4}
+    results = spark.createDataFrame([(1, 9, None, "x")], "conv_id long, turn long, call_id string, content string")
+    linked = chat.link_calls(spark.createDataFrame(calls, CALLS), results, spark.createDataFrame([("any", [])], FUNCTIONS)).collect()
+    assert len(linked) == 5 and {r.call_id: r.result_turn for r in linked if r.conv_id == 1}[None] == 9
+    assert len(tables) < 30
+
+
+@pytest.mark.parametrize("behind", [1, 2])
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, behind):
+    tables = written(monkeypatch)
+    n = 2000
+    calls = [(1, i, f"c{i}", "any", "{}", [f"c{i - k}" for k in range(1, behind + 1)] if i else ["late"]) for i in range(n)] + [(1, 10 * n, "late", "any", "{}", None)]
+    got = {r.call_id: r.rank for r in chat.ranked(spark.createDataFrame(calls, CALLS)).collect()}
+    assert got == {"late": 10 * n} | {f"c{i}": 10 * n + 1 + i for i in range(n)}
+    assert len(tables) < 30
