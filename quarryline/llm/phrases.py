@@ -1,6 +1,6 @@
 """Phrases whose words stand together more often than chance, from position bitmaps.
 
-Texts become shards: the words of some megabytes of one group's text at numbered positions, with an empty position between
+A task's texts become shards: the words of two megabytes of one group's text at numbered positions, with an empty position between
 two pieces. In a shard each word has a bitmap of its positions, of which only the bytes that aren't zero are kept. A phrase
 is extended by shifting its bitmap by one and intersecting it with the bitmaps of all words: bits of its bytes meet those of
 the words in the same byte, and the population counts say how often each longer phrase occurs. An empty position stops the
@@ -28,9 +28,9 @@ from quarryline.llm.units import spread
 #: What ends a piece and what separates words (fixed values).
 BREAKS, SPACES = ".,;:!?\n\x0b\x0c\r", " \t"
 #: Bytes of text of a shard, and of all shards that a task has begun.
-SHARD, BEGUN = 2 << 20, 16 << 20
+SHARD, BEGUN = 2 << 20, 8 << 20
 #: Bytes of bitmaps of a block of first words; one word's may be more.
-ENTRIES = 1 << 17
+ENTRIES = 1 << 16
 #: Tasks over which a frequent part's phrases are spread where counts are too large to be sent to all tasks.
 SALT = 32
 
@@ -67,32 +67,27 @@ def shard(texts: list[str]) -> tuple[pa.Array, np.ndarray, int]:
     return words.dictionary, codes, len(starts)
 
 
-def shards(docs: DataFrame, text: Column, group: Column) -> DataFrame:
-    """(grp, n, words, codes): shards of all texts."""
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, int]]:
+    """The shards of a task's rows (grp, text), with their group's name."""
+    begun: dict[str, list[str]] = {}
+    sizes: dict[str, int] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun: dict[str, list[str]] = {}
-        sizes: dict[str, int] = {}
-
-        def done(name: str) -> pa.RecordBatch:
-            words, codes, n = shard(begun.pop(name))
-            del sizes[name]
-            lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), lists, pa.array([codes.tobytes()], pa.binary())], ["grp", "n", "words", "codes"])
-
-        for batch in text_slices(batches):
-            for name, whole in zip(batch.column("grp").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for part in sections(whole):
-                    if name in sizes and sizes[name] + len(part) > SHARD:
-                        yield done(name)
-                    begun.setdefault(name, []).append(part)
-                    sizes[name] = sizes.get(name, 0) + len(part) + 1
-                    if sum(sizes.values()) > BEGUN:
-                        yield done(max(sizes, key=sizes.__getitem__))
-        for name in list(begun):
-            yield done(name)
-
-    return docs.select(group.alias("grp"), text.alias("text")).mapInArrow(run, "grp string, n long, words array<string>, codes binary")
+    def done(name: str) -> tuple[str, pa.Array, np.ndarray, int]:
+        del sizes[name]
+        return name, *shard(begun.pop(name))
+
+    for batch in text_slices(batches, most=SHARD):
+        for name, whole in zip(batch.column("grp"), batch.column("text"), strict=True):
+            name = name.as_py()
+            for part in sections(whole.as_py()):
+                if name in sizes and sizes[name] + len(part) > SHARD:
+                    yield done(name)
+                begun.setdefault(name, []).append(part)
+                sizes[name] = sizes.get(name, 0) + len(part) + 1
+                if sum(sizes.values()) > BEGUN:
+                    yield done(max(sizes, key=sizes.__getitem__))
+    for name in list(begun):
+        yield done(name)
 
 
 def mixed(words: np.ndarray, start: np.uint64) -> np.ndarray:
@@ -236,27 +231,27 @@ def mine(words: pa.Array, codes: np.ndarray, name: str, filters: list[Filter], s
         yield from deeper(first[:, None], phrase, maps.byte[begin:end], maps.bits[begin:end])
 
 
-def counted(parts: DataFrame, filters: list[Filter], sizes: range, min_count: int, label: str) -> DataFrame:
-    """(grp, phrase, size, f) of the phrases of ``sizes`` words with ``min_count`` or more occurrences, stored."""
-    sent = parts.sparkSession.sparkContext.broadcast(filters)
+def counted(texts: DataFrame, filters: list[Filter], sizes: range, min_count: int, label: str) -> DataFrame:
+    """(grp, phrase, size, f) of the phrases of ``sizes`` words with ``min_count`` or more occurrences in ``texts`` (grp, text),
+    stored. Words come with the number of all words of their group, as a phrase of no words."""
+    sent = texts.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, name in enumerate(batch.column("grp").to_pylist()):
-                words, codes = batch.column("words")[i].values, np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
-                if sizes[0] == 1:
-                    found = [([np.arange(len(words))], np.bincount(codes[codes >= 0], minlength=len(words)))]
-                else:
-                    found = mine(words, codes, name, sent.value, sizes)
-                for path, counts in found:
-                    phrase = pc.binary_join_element_wise(*(words.take(pa.array(p)) for p in path), " ") if len(path) > 1 else words.take(pa.array(path[0]))
-                    for k in range(0, len(counts), 10_000):
-                        n = len(counts[k : k + 10_000])
-                        columns = [pa.array([name] * n, pa.string()), phrase[k : k + n].cast(pa.string()), pa.array(np.full(n, len(path), np.int32)), pa.array(counts[k : k + n], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(columns, ["grp", "phrase", "size", "n"])
-
-    rows = parts.select("grp", "words", "codes").mapInArrow(run, "grp string, phrase string, size int, n long")
-    return stored(rows.groupBy("grp", "phrase", "size").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count), label)
+        for name, words, codes, n in shards(batches):
+            if sizes[0] == 1:
+                found = [([], np.array([n])), ([np.arange(len(words))], np.bincount(codes[codes >= 0], minlength=len(words)))]
+            else:
+                found = mine(words, codes, name, sent.value, sizes)
+            for path, counts in found:
+                for k in range(0, len(counts), 10_000):
+                    parts = [words.take(pa.array(p[k : k + 10_000])) for p in path] or [pa.array([""], pa.large_string())]
+                    phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
+                    size = len(phrase)
+                    columns = [pa.array([name] * size, pa.string()), phrase, pa.array(np.full(size, len(path), np.int32)), pa.array(counts[k : k + size], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["grp", "phrase", "size", "n"])
+
+    rows = texts.mapInArrow(run, "grp string, phrase string, size int, n long")
+    return stored(rows.groupBy("grp", "phrase", "size").agg(F.sum("n").alias("f")).filter((F.col("f") >= min_count) | (F.col("size") == 0)), label)
 
 
 def with_counts(rows: DataFrame, counts: DataFrame, part: str, name: str, small: bool) -> DataFrame:
@@ -312,17 +307,19 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of 2 to ``max_words`` words of each group of texts.
 
     A null group is ``no_group``; a null or empty text has no words. Other columns are not read. Rows count as often as they
-    stand in the table. A long text is cut at ends of pieces; a piece is in one task, whatever its length. Ties of score and
+    stand in the table. A long text is cut at ends of pieces; a piece is in one task, whatever its length. ``docs`` is read once
+    for each of the four counts. Ties of score and
     count go by the phrase's bytes. An empty table, or one without a frequent phrase, gives an empty result.
     """
     ship(docs.sparkSession)
-    parts = stored(shards(docs, F.col(text_col).cast("string"), F.coalesce(F.col(group_col).cast("string"), F.lit(no_group))), "shards")
-    totals = stored(parts.groupBy("grp").agg(F.sum("n").alias("n")), "totals")
-    found = [counted(parts, [], range(1, 2), min_count, "words")]
+    texts = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit(no_group)).alias("grp"), F.col(text_col).cast("string").alias("text"))
+    words = counted(texts, [], range(1, 2), min_count, "words")
+    totals = words.filter("size = 0").select("grp", F.col("f").alias("n"))
+    found = [words.filter("size = 1")]
     filters = [filter_of(found[0], 1)]
     sizes = [range(k, k + 1) for k in range(2, min(max_words, 3) + 1)] + ([range(4, max_words + 1)] if max_words > 3 else [])
     for own in sizes:
-        found.append(counted(parts, filters, own, min_count, f"phrases-{own[0]}"))
+        found.append(counted(texts, filters, own, min_count, f"phrases-{own[0]}"))
         if own is not sizes[-1]:
             filters.append(filter_of(found[-1], own[0]))
     counts = found[0]
