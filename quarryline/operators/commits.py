@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,9 +178,12 @@ def named_lines(files: DataFrame) -> DataFrame:
     return files.select(F.col("file_id").cast("long"), "language", "source").mapInPandas(run, "file_id long, point int")
 
 
-def covered_by_code(spans: DataFrame, added: DataFrame, files: DataFrame) -> DataFrame:
-    """``spans`` (file_id, start_line, end_line) with whether each line with code in them is added; spans without code need all."""
-    code = named_lines(files)
+def covered_by_code(spans: DataFrame, added: DataFrame, files: DataFrame, lines: Callable[[DataFrame], DataFrame] = named_lines) -> DataFrame:
+    """``spans`` (file_id, start_line, end_line) with whether each line with code in them is added; spans without code need all.
+
+    ``lines`` says which lines of ``files`` have code; syntax.leaf_lines goes by tokens, and tells keywords and brackets alone.
+    """
+    code = lines(files)
     keys = ["file_id", "start_line", "end_line"]
     wanted = spans.filter("start_line <= end_line").select(*keys).distinct().withColumn("point", F.explode(F.sequence("start_line", "end_line")))
     marked = wanted.join(code.withColumn("__code", F.lit(True)), ["file_id", "point"], "left").join(added.select("file_id", "point").distinct().withColumn("__added", F.lit(True)), ["file_id", "point"], "left")

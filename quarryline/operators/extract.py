@@ -154,16 +154,19 @@ _BLOCK_TEXT = re.compile(r'"""(?:\\.|[^\\])*?"""', re.S)
 _MARK = re.compile(r"//|/\*|/|[\"'`{}]")
 
 
-def blanked(source: str) -> str:
+def blanked(source: str, seen: list[tuple[bool, int, int]] | None = None) -> str:
     """A source of the brace languages with comments, strings and regular expressions in spaces, of the same length and lines.
 
-    Code inside a template string's ``${}`` stays, however deep template strings are nested in it.
+    Code inside a template string's ``${}`` stays, however deep template strings are nested in it. ``seen`` gets whether each
+    blanked part is a comment, and its begin and end.
     """
     out: list[str] = []
     at, opened = 0, []  # opened: for each brace whether it's a template string's
 
     def blank(end: int) -> None:
         nonlocal at
+        if seen is not None:
+            seen.append((source.startswith(("//", "/*"), at), at, end))
         out.append(re.sub(r"[^\n]", " ", source[at:end]))
         at = end
 
