@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import scalars as S
 from quarryline.operators import extract as X
+from quarryline.operators.graph import ancestors
 from quarryline.operators.joins import covered
 from quarryline.operators.workflow import since
 
@@ -102,6 +103,28 @@ def reachable(commits: DataFrame, snapshots: DataFrame) -> DataFrame:
     return out.withColumn("commits", F.coalesce("commits", F.lit(0))).drop("__r", "__d")
 
 
+def commits_before(commits: DataFrame, starts: DataFrame) -> DataFrame:
+    """``starts`` (repo, sha, ...) with the number of commits (repo, sha, parents) that each can reach, itself among them; 0
+    for a commit that isn't in the table."""
+    counts = ancestors(commits, starts).groupBy(F.col("repo").alias("__r"), F.col("sha").alias("__s")).agg(F.count("*").alias("commits"))
+    return starts.join(counts, (F.col("repo") == F.col("__r")) & (F.col("sha") == F.col("__s")), "left").withColumn("commits", F.coalesce("commits", F.lit(0))).drop("__r", "__s")
+
+
+def last_before(commits: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(repo, snapshot, sha): of each snapshot (repo, date) the commit with the last date up to it, of equal dates the least sha.
+
+    Each commit meets the snapshots of its repository one interval at a time: a snapshot's interval begins after the one
+    before it, and intervals without a commit take over what was found up to them.
+    """
+    dates = snapshots.select("repo", F.col("date").alias("snapshot")).distinct()
+    events = dates.select("repo", F.col("snapshot").alias("at"), F.lit(True).alias("asks"), F.lit(None).cast("string").alias("sha"))
+    events = events.unionByName(commits.select("repo", F.col("date").alias("at"), F.lit(False).alias("asks"), F.col("sha").cast("string")))
+    best = F.max(F.when(~F.col("asks"), F.struct("at"))).over(Window.partitionBy("repo").orderBy("at"))
+    asked = events.withColumn("best", best).filter("asks and best is not null").select("repo", F.col("at").alias("snapshot"), F.col("best.at").alias("date"))
+    first = commits.groupBy("repo", "date").agg(F.min(F.col("sha").cast("string")).alias("sha"))
+    return asked.join(first, ["repo", "date"]).select("repo", "snapshot", "sha")
+
+
 def test_files_of(changes: DataFrame, added_only: bool = False) -> DataFrame:
     """(repo, sha, path, language) of the test files that commits touch, or only of those they add."""
     found = changes.filter(S.is_test_path("path"))

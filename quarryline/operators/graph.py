@@ -1,4 +1,4 @@
-"""Closures and least levels over directed graphs."""
+"""Closures, least levels and ancestors over directed graphs."""
 
 from __future__ import annotations
 
@@ -35,3 +35,44 @@ def least_over_closure(nodes: DataFrame, edges: DataFrame, key: str, level: str,
         if new.filter("__fell").isEmpty():
             break
     return nodes.join(now, F.col(key) == F.col("__k"), "left").withColumn("effective", F.least(F.col(level), F.col("__m"))).drop("__k", "__m")
+
+
+def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
+    """(repo, sha, ancestor): every commit from which each start (repo, sha) descends, itself among them.
+
+    ``commits`` has repo, sha and parents (array). A commit's first known parent is its main line's; ancestors on the main
+    line are found through tables of the 1st, 2nd, 4th, ... commit before each, so a history of n commits takes log(n) steps.
+    Then the other parents of what was found are followed in the same way, as often as lines were merged one into the other.
+    Unknown starts, parents that aren't in the table and null keys have no rows; repeated commits count once.
+    """
+    known = commits.filter("repo is not null and sha is not null").select("repo", "sha", F.coalesce("parents", F.array().cast("array<string>")).alias("parents")).dropDuplicates(["repo", "sha"])
+    own = stored(known.select("repo", "sha"), "commits")
+    links = known.select("repo", "sha", F.posexplode("parents").alias("nth", "parent"))
+    links = stored(links.join(own.withColumnRenamed("sha", "parent"), ["repo", "parent"], "left_semi"), "links")
+    main = stored(links.groupBy("repo", "sha").agg(F.min(F.struct("nth", "parent")).alias("least")).select("repo", "sha", F.col("least.parent").alias("before")), "main")
+    other = stored(links.join(main, ["repo", "sha"]).filter("parent != before").select("repo", "sha", "parent").distinct(), "other")
+    longest = own.groupBy("repo").count().agg(F.max("count")).first()[0] or 0
+    jumps, length = [main], 1
+    while 2 * length < longest:
+        onward = jumps[-1].select("repo", F.col("sha").alias("before"), F.col("before").alias("far"))
+        jumps.append(stored(jumps[-1].join(onward, ["repo", "before"]).select("repo", "sha", F.col("far").alias("before")), f"before-{2 * length}"))
+        length *= 2
+        if jumps[-1].isEmpty():
+            jumps.pop()
+            break
+    # (repo, start, sha) of commits that are known to be ancestors, and of the latest of these.
+    latest = starts.select("repo", "sha").distinct().join(own, ["repo", "sha"]).select("repo", F.col("sha").alias("start"), "sha")
+    found: DataFrame | None = None
+    while True:
+        for k, jump in enumerate(jumps):
+            step = latest.join(jump, ["repo", "sha"]).select("repo", "start", F.col("before").alias("sha"))
+            latest = latest.unionByName(step).distinct()
+            if k % 2 or k == len(jumps) - 1:
+                latest = stored(latest, "line")
+        new = latest if found is None else latest.join(found, ["repo", "start", "sha"], "left_anti")
+        found = stored(new if found is None else found.unionByName(new), "found")
+        merged = latest.join(other, ["repo", "sha"]).select("repo", "start", F.col("parent").alias("sha")).distinct()
+        latest = stored(merged.join(found, ["repo", "start", "sha"], "left_anti"), "merged")
+        if latest.isEmpty():
+            break
+    return found.select("repo", F.col("start").alias("sha"), F.col("sha").alias("ancestor"))

@@ -3,7 +3,7 @@ strings of sources that are written to the shared folder and parsed from there."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators import commits as C
@@ -119,3 +119,32 @@ def leaf_coverage(spark: SparkSession, d: str) -> DataFrame:
         F.array(F.col("start_line"), F.col("end_line") - 1, F.col("end_line")))
     added = spans.select("file_id", F.explode(points).alias("point"))
     return C.covered_by_code(spans.select("file_id", "start_line", "end_line"), added, files, syntax.leaf_lines)
+
+
+_HISTORY = """WITH RECURSIVE numbered AS (
+  SELECT o_custkey AS repo, o_orderkey AS sha, o_orderdate AS date, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders
+), links AS (
+  SELECT a.repo, a.sha, b.sha AS parent FROM numbered a JOIN numbered b ON a.repo = b.repo AND (
+    b.n = CASE WHEN a.n % 5 = 3 THEN a.n - 2 ELSE a.n - 1 END OR a.n % 10 = 5 AND b.n = a.n - 3)
+), starts AS (
+  SELECT repo, snapshot, arg_min(sha, sha::VARCHAR) AS sha FROM (
+    SELECT *, max(date) OVER (PARTITION BY repo, snapshot) AS last FROM numbered, (VALUES (TIMESTAMP '1996-06-30'), (TIMESTAMP '1999-01-01')) AS _(snapshot) WHERE date <= snapshot
+  ) WHERE date = last GROUP BY repo, snapshot
+), reach AS (
+  SELECT repo, snapshot, sha FROM starts
+  UNION SELECT r.repo, r.snapshot, l.parent FROM reach r JOIN links l ON l.repo = r.repo AND l.sha = r.sha
+)"""
+
+
+@query(f"{_HISTORY} SELECT repo, snapshot, count(*) AS commits FROM reach GROUP BY repo, snapshot")
+def commits_reachable(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a customer's commits: every fifth branches off and leaves one aside, which every other time is merged again."""
+    order = Window.partitionBy("repo").orderBy("date", "key")
+    orders = T(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("date"))
+    n = F.row_number().over(order)
+    before = lambda k: F.lag(F.col("key").cast("string"), k).over(order)
+    parents = F.array(F.when(n % 5 == 3, before(2)).otherwise(before(1)), F.when(n % 10 == 5, before(3)))
+    commits = stored(orders.select("repo", F.col("key").cast("string").alias("sha"), "date", F.array_compact(parents).alias("parents")), "history")
+    days = F.explode(F.array(F.expr("timestamp '1996-06-30'"), F.expr("timestamp '1999-01-01'")))
+    starts = stored(C.last_before(commits, commits.select("repo").distinct().select("repo", days.alias("date"))), "starts")
+    return C.commits_before(commits, starts).select("repo", "snapshot", "commits")

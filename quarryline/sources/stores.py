@@ -10,12 +10,12 @@ from pathlib import Path
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from quarryline.sources.files import append, read_csv, read_or_empty, write_csv, write_summary
 
 #: Types of SQLite's affinities.
-AFFINITY = {"INTEGER": "bigint", "INT": "bigint", "REAL": "double", "TEXT": "string", "BLOB": "binary", "BOOLEAN": "bigint", "TIMESTAMP": "string"}
+AFFINITY = {"INTEGER": "bigint", "INT": "bigint", "BIGINT": "bigint", "REAL": "double", "DOUBLE": "double", "FLOAT": "double", "NUMERIC": "double", "TEXT": "string", "BLOB": "binary", "BOOLEAN": "bigint", "TIMESTAMP": "string"}
 
 
 class SqliteSource(DataSource):
@@ -33,6 +33,13 @@ class SqliteSource(DataSource):
 
         with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as c:
             columns = c.execute("SELECT name, type FROM pragma_table_info(?)", (self.options["table"],)).fetchall()
+            # Affinities don't bind: a column with another kind of value is text.
+            odd = {"INTEGER": "('integer', 'null')", "REAL": "('integer', 'real', 'null')"}
+            names = {"bigint": "INTEGER", "double": "REAL"}
+            for i, (n, t) in enumerate(columns):
+                kind = names.get(AFFINITY.get(t.split("(")[0].upper(), "string"))
+                if kind and c.execute(f"SELECT 1 FROM {_quoted(self.options['table'])} WHERE typeof({_quoted(n)}) NOT IN {odd[kind]} LIMIT 1").fetchone():
+                    columns[i] = (n, "TEXT")
         if not columns:
             raise ValueError(f"there is no table {self.options['table']}")
         return ", ".join(f"`{n}` {AFFINITY.get(t.split('(')[0].upper(), 'string')}" for n, t in columns)
@@ -40,6 +47,9 @@ class SqliteSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return SqliteReader(self.options, schema)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return SqliteWriter(self.options, schema, overwrite)
+
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, schema) -> None:
@@ -53,21 +63,115 @@ class SqliteReader(DataSourceReader):
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
     def partitions(self) -> list[InputPartition]:
+        import sqlite3
+
         with self._open() as c:
-            low, high = c.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            try:
+                low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+            except sqlite3.OperationalError:
+                # Views, and tables without row ids, are one part.
+                return [InputPartition(None)]
         if low is None:
-            return [InputPartition((0, -1))]
+            return [InputPartition(None)]
         step = -(-(high - low + 1) // self.parts)
         return [InputPartition((at, min(at + step, high + 1) - 1)) for at in range(low, high + 1, step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        columns = ", ".join(f'"{n}"' for n in self.names)
+        columns = ", ".join(map(_quoted, self.names))
         make = {"bigint": int, "double": float, "string": str, "binary": bytes}
         with self._open() as c:
-            for row in c.execute(f'SELECT {columns} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', partition.value):
+            where, values = (" WHERE rowid BETWEEN ? AND ?", partition.value) if partition.value else ("", ())
+            for row in c.execute(f"SELECT {columns} FROM {_quoted(self.table)}{where}", values):
                 yield tuple(None if v is None else make.get(k, lambda x: x)(v) for v, k in zip(row, self.kinds, strict=True))
 
 
+@dataclass
+class Shard(WriterCommitMessage):
+    path: str
+
+
+class SqliteWriter(DataSourceWriter):
+    """Tasks write shards, SQLite files beside the target; the commit puts them into the table in one transaction.
+
+    A task that fails, or a write that is aborted, leaves the target as it was. The rows of a commit go through one file, as
+    the format has it: it is for exports and samples.
+    """
+
+    def __init__(self, options: dict, schema, overwrite: bool) -> None:
+        import uuid
+
+        self.path, self.table, self.overwrite = options["path"], options["table"], overwrite
+        self.folder = f"{self.path}.parts-{uuid.uuid4().hex}"
+        kinds = {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "boolean": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
+        self.columns = ", ".join(f"{_quoted(f.name)} {kinds.get(f.dataType.simpleString(), 'TEXT')}" for f in schema.fields)
+        self.values = ", ".join("?" for _ in schema.fields)
+        self.plain = [f.dataType.simpleString() in kinds for f in schema.fields]
+
+    def write(self, iterator: Iterator) -> Shard:
+        import os
+        import sqlite3
+        import uuid
+
+        os.makedirs(self.folder, exist_ok=True)
+        path = f"{self.folder}/{uuid.uuid4().hex}.db"
+        with sqlite3.connect(path) as c:
+            c.execute(f"CREATE TABLE shard ({self.columns})")
+            c.executemany(f"INSERT INTO shard VALUES ({self.values})", (tuple(v if v is None or plain else str(v) for v, plain in zip(row, self.plain, strict=True)) for row in iterator))
+        c.close()
+        return Shard(path)
+
+    def commit(self, messages: list[Shard | None]) -> None:
+        import sqlite3
+
+        c = sqlite3.connect(self.path, isolation_level=None)
+        try:
+            name = _quoted(self.table)
+            c.execute("BEGIN IMMEDIATE")
+            if self.overwrite:
+                c.execute(f"DROP TABLE IF EXISTS {name}")
+            c.execute(f"CREATE TABLE IF NOT EXISTS {name} ({self.columns})")
+            for message in messages:
+                if message is not None:
+                    shard = sqlite3.connect(f"file:{message.path}?mode=ro", uri=True)
+                    c.executemany(f"INSERT INTO {name} VALUES ({self.values})", shard.execute("SELECT * FROM shard ORDER BY rowid"))
+                    shard.close()
+            c.execute("COMMIT")
+        finally:
+            c.close()
+            self._drop()
+
+    def abort(self, messages: list[Shard | None]) -> None:
+        self._drop()
+
+    def _drop(self) -> None:
+        import shutil
+
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def write_sqlite(tables: dict[str, DataFrame], path: str) -> None:
+    """Tables as a SQLite file of its own, on a path that all machines share: the file is there whole, or as it was before.
+
+    Numbers and bytes keep their kind, other values are text; a table without rows has its columns.
+    """
+    import os
+    import uuid
+
+    draft = f"{path}.{uuid.uuid4().hex}"
+    try:
+        for name, rows in tables.items():
+            rows.sparkSession.dataSource.register(SqliteSource)
+            rows.write.format("sqlite_table").mode("append").options(path=draft, table=name).save()
+        os.replace(draft, path)
+    finally:
+        if os.path.exists(draft):
+            os.remove(draft)
+
+
 def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
     spark.dataSource.register(SqliteSource)
     return spark.read.format("sqlite_table").options(path=path, table=table, partitions=str(partitions)).load()
