@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarryline.operators.running import numbered, running
+from quarryline.operators.running import FEW, _same, joined, numbered, running
+from quarryline.session import stored
 
 
 def draw(key: Column | str, seed: int) -> Column:
@@ -22,6 +23,49 @@ def place_of(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
 
 
+#: Places are below this.
+PLACES = float(1 << 48)
+
+
+def _below(want: Column, size: Column) -> Column:
+    """The place below which ``want`` of ``size`` evenly placed rows lie almost surely; all places where that is most of them."""
+    share = (want + 6 * F.sqrt(want) + 12) / size
+    return F.when(share >= 1, F.lit(PLACES)).otherwise(share * PLACES)
+
+
+def first_by_hash(rows: DataFrame, place: str, wants: Sequence[tuple[Sequence[str], DataFrame]]) -> DataFrame:
+    """Enough of ``rows`` to hold the first rows of each group by ``place``, in one pass and without sorting all of them.
+
+    ``wants`` are pairs of a group's columns and a table of these with __want and __n, the rows wanted and those there are. A
+    bound on the place follows from both; only rows below the bound of one of their groups go on. Groups of the last pair that
+    have fewer rows below their bound than wanted go on whole: the last pair's columns are among those of the others.
+    """
+    limits, names = rows, []
+    for i, (by, table) in enumerate(wants):
+        own = table.select(*by, F.least("__want", "__n").alias(f"__w{i}"), _below(F.col("__want"), F.col("__n")).alias(f"__b{i}"))
+        few = not by or own.count() <= FEW
+        limits = joined(limits, F.broadcast(own) if few else own, by)
+        names += [f"__w{i}", f"__b{i}"]
+    bound = F.greatest(*(F.col(f"__b{i}") for i in range(len(wants)))) if len(wants) > 1 else F.col("__b0")
+    near = stored(limits.filter(F.col(place) < bound), "near")
+    last = wants[-1][0]
+    short = None
+    for i, (by, table) in enumerate(wants):
+        met = near.filter(F.col(place) < F.col(f"__b{i}")).groupBy(*by).agg(F.count("*").alias("__met"))
+        wanted = table.filter("__want > 0").select(*by, F.least("__want", "__n").alias("__least"))
+        lacking = wanted.crossJoin(met) if not by else wanted.join(met.withColumnsRenamed({k: f"__j{j}" for j, k in enumerate(by)}), _same(by), "left")
+        lacking = lacking.filter(F.coalesce("__met", F.lit(0)) < F.col("__least")).select(F.lit(1).alias("__lacks"), *last)
+        short = lacking if short is None else short.unionByName(lacking)
+    short = stored(short.distinct(), "short")
+    out = near.drop(*names)
+    if short.isEmpty():
+        return out
+    if not last:
+        return rows
+    keys = short.drop("__lacks").withColumnsRenamed({k: f"__j{j}" for j, k in enumerate(last)})
+    return out.join(keys, _same(last), "left_anti").unionByName(rows.join(keys, _same(last), "left_semi"))
+
+
 def content_order(columns: Sequence[str], seed: int) -> Column:
     return F.sha2(F.concat(F.to_json(F.struct(*sorted(columns))), F.lit(f":{seed}")), 256)
 
@@ -80,23 +124,32 @@ def stratified(rows: DataFrame, key: str, strata: str, target: int, seed: int) -
 
     Quotas are rounded half to even; rows are topped up or cut by the seeded order.
     """
-    sizes = rows.groupBy(strata).agg(F.count("*").alias("__n"))
+    sizes = stored(rows.groupBy(strata).agg(F.count("*").alias("__n")), "sizes")
     total = sizes.agg(F.sum("__n").alias("__s"))
-    quotas = sizes.crossJoin(F.broadcast(total)).select(strata, F.bround(F.col("__n") * F.lit(float(target)) / F.col("__s")).cast("long").alias("__q"))
+    quotas = stored(sizes.crossJoin(F.broadcast(total)).select(strata, "__n", F.bround(F.col("__n") * F.lit(float(target)) / F.col("__s")).cast("long").alias("__q")), "quotas")
+    # What rounding leaves to fill comes from any stratum.
+    rest = max(0, target - (quotas.agg(F.sum(F.least("__q", "__n"))).first()[0] or 0))
     ordered = rows.withColumn("__d", draw(key, seed)).withColumn("__o", place_of(F.col("__d")))
-    ranked = numbered(ordered.join(quotas, strata), "__o", "__r", by=[strata], ties=["__d", key])
+    near = first_by_hash(ordered.filter(F.col(strata).isNotNull()), "__o", [([strata], quotas.select(strata, (F.col("__q") + rest).alias("__want"), "__n"))])
+    ranked = numbered(near.join(quotas.drop("__n"), strata), "__o", "__r", by=[strata], ties=["__d", key])
     chosen = ranked.withColumn("__extra", F.col("__r") > F.col("__q"))
     return chosen.orderBy("__extra", "__d", key).limit(target).drop("__d", "__o", "__q", "__r", "__extra")
 
 
 def quota_per_unit(rows: DataFrame, key: str, unit: str, by: str, targets: DataFrame, target: str, seed: int) -> DataFrame:
     """For each stratum its target of rows, the same floor from each unit first, then the rest by the seeded order."""
-    units = rows.groupBy(by).agg(F.countDistinct(unit).alias("__u"))
-    plan = targets.select(by, target).join(units, by).select(by, target, F.floor(F.col(target) / F.col("__u")).alias("__floor"))
-    drawn = rows.join(plan, by).withColumn("__d", draw(key, seed)).withColumn("__o", place_of(F.col("__d")))
+    sizes = stored(rows.groupBy(by, unit).agg(F.count("*").alias("__n")), "sizes")
+    units = sizes.groupBy(by).agg(F.count(unit).alias("__u"), F.sum("__n").alias("__n"))
+    plan = stored(targets.select(by, target).join(units, by).select(by, target, F.floor(F.col(target) / F.col("__u")).alias("__floor"), "__n"), "plan")
+    wants = [
+        ([by, unit], sizes.join(plan.select(by, "__floor"), by).select(by, unit, F.coalesce("__floor", F.lit(0)).alias("__want"), "__n")),
+        ([by], plan.select(by, F.col(target).alias("__want"), "__n")),
+    ]
+    ordered = rows.join(plan.select(by), by, "left_semi").withColumn("__d", draw(key, seed)).withColumn("__o", place_of(F.col("__d")))
+    drawn = first_by_hash(ordered, "__o", wants).join(plan.select(by, target, "__floor"), by)
     ranked = numbered(drawn, "__o", "__r", by=[by, unit], ties=["__d", key])
     # Rows beyond their unit's floor come after all others.
-    late = ranked.withColumn("__o", F.when(F.col("__r") > F.col("__floor"), F.col("__o") + float(1 << 48)).otherwise(F.col("__o")))
+    late = ranked.withColumn("__o", F.when(F.col("__r") > F.col("__floor"), F.col("__o") + PLACES).otherwise(F.col("__o")))
     return numbered(late, "__o", "__n", by=[by], ties=["__d", key]).filter(F.col("__n") <= F.col(target)).drop("__d", "__o", "__r", "__n", "__floor", target)
 
 

@@ -89,7 +89,8 @@ def validation_sample(rows: DataFrame, strata: Sequence[str], seed: int, margin:
     quotas = M.largest_remainder(keyed, "__n", "__key", size).select(*strata, "quota")
     digest = M.content_order(rows.columns, seed)
     ordered = rows.withColumn("__d", digest).withColumn("__o", M.place_of(F.col("__d")))
-    ranked = joined(numbered(ordered, "__o", "__k", by=strata, ties=["__d"]), quotas, strata)
+    wants = joined(counts, quotas, strata).select(*strata, F.col("quota").alias("__want"), "__n")
+    ranked = joined(numbered(M.first_by_hash(ordered, "__o", [(strata, wants)]), "__o", "__k", by=strata, ties=["__d"]), quotas, strata)
     return ranked.filter("__k <= quota").drop("__d", "__o", "__k", "quota")
 
 
