@@ -14,9 +14,6 @@ from quarryline.session import stored
 from quarryline.session import table as T
 
 _JAVA = """package a;
-/*
-{text}
-*/
 class A extends Base<B> {
   @Rule public Folder f = new Folder();
   @Before
@@ -37,7 +34,6 @@ _SCRIPT = """describe('s', () => {
 });
 """
 _PYTHON = """import pytest
-# {text}
 class T(TestCase):
     def setUp(self):
         # {text}
@@ -50,17 +46,16 @@ class T(TestCase):
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    """(file_id, language, source): three sources with the text of each document, stored."""
+    """(file_id, language, source): a source with the text of each document, in one of three languages, stored."""
     text = F.translate(F.coalesce("text", F.lit("")), "\r\x00\x0c", "   ")
     remark = F.replace(text, F.lit("*/"), F.lit("* /"))
     template = F.replace(F.translate(text, "\\`", "/'"), F.lit("${"), F.lit("$ {"))
     lined = F.replace(text, F.lit("\n"), F.lit("\n# "))
-    made = [
-        F.struct(F.lit(language).alias("language"), F.replace(F.lit(code), F.lit("{text}"), value).alias("source"))
-        for language, code, value in (("java", _JAVA, remark), ("typescript", _SCRIPT, template), ("python", _PYTHON, lined))
-    ]
-    rows = T(spark, d, "documents").select("doc_id", F.posexplode(F.array(*made)).alias("k", "made"))
-    return stored(rows.select((3 * F.col("doc_id") + F.col("k")).alias("file_id"), "made.language", "made.source"), "sources")
+    k = F.col("doc_id") % 3
+    language = F.when(k == 0, "java").when(k == 1, "typescript").otherwise("python")
+    made = [F.replace(F.lit(code), F.lit("{text}"), value) for code, value in ((_JAVA, remark), (_SCRIPT, template), (_PYTHON, lined))]
+    source = F.when(k == 0, made[0]).when(k == 1, made[1]).otherwise(made[2])
+    return stored(T(spark, d, "documents").select(F.col("doc_id").alias("file_id"), language.alias("language"), source.alias("source")), "sources")
 
 
 def _calls_sql(text: str) -> str:
@@ -74,14 +69,14 @@ _TEXTS = """WITH t AS (
 
 
 @query(f"""{_TEXTS}
-SELECT 3 * doc_id AS file_id, 'f' AS name, 'junit_rule' AS fixture_type, 'per_test' AS scope, n + 6 AS start_line, n + 6 AS end_line, 1 AS cyclomatic_complexity, 1 AS max_nesting_depth, 1 AS num_objects_instantiated,
-  0 AS num_external_calls, 0 AS num_comment_lines, 0 AS num_parameters, true AS has_teardown_pair FROM s
-UNION ALL SELECT 3 * doc_id, 'init', 'junit4_before', 'per_test', n + 7, 2 * n + 11, 5, 4, 1, {_calls_sql("c")}, n + 1, 2, true FROM s
-UNION ALL SELECT 3 * doc_id, 'done', 'junit4_after', 'per_test', 2 * n + 12, 2 * n + 12, 1, 1, 0, 1, 0, 0, false FROM s
-UNION ALL SELECT 3 * doc_id + 1, '<anonymous>_1', 'before_each', 'per_test', 2, n + 5, 2, 2, 1, {_calls_sql("q")} + 1, 0, 0, true FROM s
-UNION ALL SELECT 3 * doc_id + 1, '<anonymous>_' || (n + 6), 'after_each', 'per_test', n + 7, n + 7, 1, 1, 0, 0, 0, 0, false FROM s
-UNION ALL SELECT 3 * doc_id + 2, 'setUp', 'unittest_setup', 'per_test', n + 4, 2 * n + 7, 3, 2, 1, {_calls_sql("h")}, n + 1, 0, true FROM s
-UNION ALL SELECT 3 * doc_id + 2, 'f', 'pytest_decorator', 'global', 2 * n + 9, 2 * n + 10, 1, 1, 0, 0, 0, 2, true FROM s
+SELECT doc_id AS file_id, 'f' AS name, 'junit_rule' AS fixture_type, 'per_test' AS scope, 3 AS start_line, 3 AS end_line, 1 AS cyclomatic_complexity, 1 AS max_nesting_depth, 1 AS num_objects_instantiated,
+  0 AS num_external_calls, 0 AS num_comment_lines, 0 AS num_parameters, true AS has_teardown_pair FROM s WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'init', 'junit4_before', 'per_test', 4, n + 8, 5, 4, 1, {_calls_sql("c")}, n + 1, 2, true FROM s WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'done', 'junit4_after', 'per_test', n + 9, n + 9, 1, 1, 0, 1, 0, 0, false FROM s WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, '<anonymous>_1', 'before_each', 'per_test', 2, n + 5, 2, 2, 1, {_calls_sql("q")} + 1, 0, 0, true FROM s WHERE doc_id % 3 = 1
+UNION ALL SELECT doc_id, '<anonymous>_' || (n + 6), 'after_each', 'per_test', n + 7, n + 7, 1, 1, 0, 0, 0, 0, false FROM s WHERE doc_id % 3 = 1
+UNION ALL SELECT doc_id, 'setUp', 'unittest_setup', 'per_test', 3, n + 6, 3, 2, 1, {_calls_sql("h")}, n + 1, 0, true FROM s WHERE doc_id % 3 = 2
+UNION ALL SELECT doc_id, 'f', 'pytest_decorator', 'global', n + 8, n + 9, 1, 1, 0, 0, 0, 2, true FROM s WHERE doc_id % 3 = 2
 """)
 def parsed_fixtures(spark: SparkSession, d: str) -> DataFrame:
     found = stored(syntax.fixtures(syntax.nodes(sources(spark, d))), "fixtures")
@@ -89,12 +84,11 @@ def parsed_fixtures(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT doc_id, len(replace(coalesce(text, ''), chr(13), '')) - len(replace(replace(coalesce(text, ''), chr(13), ''), chr(10), '')) AS n FROM documents)
-SELECT 3 * doc_id AS file_id, CASE k WHEN 0 THEN 'package' ELSE kind END AS kind, 0 AS nodes FROM s, (VALUES (0, '')) AS _(k, kind) WHERE false
-UNION ALL SELECT 3 * doc_id, kind, c FROM s, (VALUES ('class', 1), ('field', 1), ('method', 3), ('anonymous', 1), ('new', 2), ('for', 1), ('if', 2), ('while', 1), ('call', 4), ('comment', 2)) AS _(kind, c)
-UNION ALL SELECT 3 * doc_id + 1, kind, c FROM s, (VALUES ('call', 5), ('function', 4), ('if', 1), ('new', 1), ('comment', 1)) AS _(kind, c)
-UNION ALL SELECT 3 * doc_id + 2, kind, c FROM s, (VALUES ('class', 1), ('function', 2), ('call', 3)) AS _(kind, c)
-UNION ALL SELECT 3 * doc_id + 2, 'comment', 2 * n + 2 FROM s
+WITH s AS (SELECT doc_id, len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS n FROM documents)
+SELECT doc_id AS file_id, kind, c AS nodes FROM s, (VALUES ('class', 1), ('field', 1), ('method', 3), ('anonymous', 1), ('new', 2), ('for', 1), ('if', 2), ('while', 1), ('call', 4), ('comment', 1)) AS _(kind, c) WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, kind, c FROM s, (VALUES ('call', 5), ('function', 4), ('if', 1), ('new', 1), ('comment', 1)) AS _(kind, c) WHERE doc_id % 3 = 1
+UNION ALL SELECT doc_id, kind, c FROM s, (VALUES ('class', 1), ('function', 2), ('call', 3)) AS _(kind, c) WHERE doc_id % 3 = 2
+UNION ALL SELECT doc_id, 'comment', n + 1 FROM s WHERE doc_id % 3 = 2
 """)
 def syntax_nodes(spark: SparkSession, d: str) -> DataFrame:
     return syntax.nodes(sources(spark, d)).groupBy("file_id", "kind").agg(F.count("*").alias("nodes"))
@@ -102,21 +96,19 @@ def syntax_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT doc_id, len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS n FROM documents)
-SELECT 3 * doc_id AS file_id, n + 7 AS start_line, 2 * n + 11 AS end_line, true AS is_covered FROM s
-UNION ALL SELECT 3 * doc_id + 1, 2, n + 5, false FROM s
-UNION ALL SELECT 3 * doc_id + 2, n + 4, 2 * n + 7, true FROM s
+SELECT doc_id AS file_id, 4 AS start_line, n + 8 AS end_line, true AS is_covered FROM s WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 2, n + 5, false FROM s WHERE doc_id % 3 = 1
+UNION ALL SELECT doc_id, 3, n + 6, true FROM s WHERE doc_id % 3 = 2
 """)
 def leaf_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Set-up code whose first and last line of code are among the added ones; comment lines aren't added, nor is a template's first."""
+    """Set-up code whose comment lines aren't among the added ones; of a template string the last line isn't either."""
     files = sources(spark, d)
-    n = F.size(F.split("source", "\n")) - 1
-    java, script, python = (F.col("language") == x for x in ("java", "typescript", "python"))
-    texts = F.when(java, (n - 13) / 2).when(script, n - 8).otherwise((n - 10) / 2).cast("int")
-    begin = F.when(java, texts + 7).when(script, F.lit(2)).otherwise(texts + 4)
-    end = F.when(java, 2 * texts + 11).when(script, texts + 5).otherwise(2 * texts + 7)
-    spans = stored(files.select("file_id", begin.alias("start_line"), end.alias("end_line"), texts.alias("n"), "language"), "spans")
-    points = F.when(java, F.array(F.col("start_line"), F.col("start_line") + 1, F.col("end_line") - 1)).when(script, F.sequence("start_line", F.col("end_line") - 2)).otherwise(
-        F.array(F.col("start_line"), F.col("end_line") - 1, F.col("end_line")))
+    java, script = F.col("language") == "java", F.col("language") == "typescript"
+    texts = F.size(F.split("source", "\n")) - 1 - F.when(java, 10).when(script, 8).otherwise(9)
+    begin, end = F.when(java, 4).when(script, 2).otherwise(3), texts + F.when(java, 8).when(script, 5).otherwise(6)
+    spans = stored(files.select("file_id", begin.alias("start_line"), end.alias("end_line"), "language"), "spans")
+    code = F.when(java, F.array(F.col("start_line"), F.col("start_line") + 1, F.col("end_line") - 1))
+    points = code.when(script, F.sequence("start_line", F.col("end_line") - 2)).otherwise(F.array(F.col("start_line"), F.col("end_line") - 1, F.col("end_line")))
     added = spans.select("file_id", F.explode(points).alias("point"))
     return C.covered_by_code(spans.select("file_id", "start_line", "end_line"), added, files, syntax.leaf_lines)
 
