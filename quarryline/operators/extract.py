@@ -224,7 +224,7 @@ def blanked_comments(source: str) -> str:
     code, out, at = blanked(source), list(source), 0
     while at < len(source):
         end = -1
-        if code[at] == " " and source.startswith("//", at) and not source[:at].endswith(":"):
+        if code[at] == " " and source.startswith("//", at) and source[at - 1 : at] != ":":
             end = source.find("\n", at)
             end = len(source) if end < 0 else end
         elif code[at] == " " and source.startswith("/*", at):
@@ -509,17 +509,22 @@ def added_lines(diffs: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for commit, diff in zip(frame["commit"], frame["diff"], strict=True):
-                path, line = None, 0
+                # A hunk says how many old and new lines it has; only outside of hunks a line names a file.
+                path, line, old, new = None, 0, 0, 0
                 for text in (diff or "").split("\n"):
-                    if text.startswith("+++ "):
-                        path = text[4:].removeprefix("b/").strip()
-                    elif m := re.match(r"@@ -\d+(?:,\d+)? \+(\d+)", text):
-                        line = int(m.group(1))
-                    elif path and text.startswith("+"):
-                        rows.append((commit, path, line))
-                        line += 1
-                    elif path and text.startswith(" "):
-                        line += 1
+                    if m := None if old > 0 or new > 0 else re.match(r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))?", text):
+                        line, old, new = int(m.group(2)), int(m.group(1) or 1), int(m.group(3) or 1)
+                    elif old <= 0 and new <= 0:
+                        if text.startswith("+++ "):
+                            path = text[4:].removeprefix("b/").strip()
+                    elif text.startswith("+"):
+                        if path:
+                            rows.append((commit, path, line))
+                        line, new = line + 1, new - 1
+                    elif text.startswith("-"):
+                        old -= 1
+                    elif not text.startswith("\\"):
+                        line, old, new = line + 1, old - 1, new - 1
             yield pd.DataFrame(rows, columns=["commit", "path", "line"])
 
     return diffs.select("commit", "diff").mapInPandas(run, "commit string, path string, line int")

@@ -739,3 +739,38 @@ def with_teardown(found: DataFrame) -> DataFrame:
             registered = registered | (own & F.col("raw_source").contains(text))
     paired = F.col("fixture_type").isin(*ALWAYS_PAIRED) | ((F.col("fixture_type") == "pytest_decorator") & F.col("raw_source").contains("yield")) | F.col("there").isNotNull() | registered
     return met.select(*found.columns, paired.alias("has_teardown_pair"))
+
+
+def rechecked(found: DataFrame) -> DataFrame:
+    """``found`` (language, raw_source, ...) with ``outer_complexity``: the decisions of each source's first function plus one,
+    without those of functions inside it, whether these have braces or not; null without a function, and for Python."""
+
+    def outer(source: str | None, language: str) -> int | None:
+        if not source or language not in ("java", "javascript", "typescript"):
+            return None
+        # A method alone is a member of a class.
+        p = Parser(f"class X {{{source}}}" if language == "java" else source, language)
+        inside = [k for k, x in enumerate(p.nodes) if x["kind"] in ("function", "method", "constructor")]
+        return p._decisions(inside) + 1 if inside else None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            values = [outer(s, v) for s, v in zip(frame["raw_source"], frame["language"], strict=True)]
+            yield frame.assign(outer_complexity=pd.array(values, "Int32"))
+
+    return found.mapInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in found.schema)}, outer_complexity int")
+
+
+#: Annotations of test methods, and what tests are called.
+TEST_MARKS = ("Test", "ParameterizedTest", "RepeatedTest", "TestFactory", "TestTemplate")
+TEST_CALLS = tuple(f"{name}{more}" for name in ("it", "test") for more in ("", ".only", ".skip", ".concurrent", ".each()"))
+
+
+def test_counts(found: DataFrame) -> DataFrame:
+    """(file_id, n_tests) of files with tests among the nodes ``found``: Python functions that begin with test_, annotated Java
+    methods and those of a TestCase that begin with test, and calls of it and test."""
+    old = (F.col("kind") == "method") & F.col("name").startswith("test") & F.col("extends").endswith("TestCase")
+    java = (F.col("language") == "java") & (((F.col("kind") == "method") & F.arrays_overlap("marks", F.array(*map(F.lit, TEST_MARKS)))) | old)
+    script = F.col("language").isin("javascript", "typescript") & (F.col("kind") == "call") & F.col("name").isin(*TEST_CALLS)
+    python = (F.col("language") == "python") & (F.col("kind") == "function") & F.col("name").startswith("test_")
+    return found.filter(java | script | python).groupBy("file_id").agg(F.count("*").alias("n_tests"))

@@ -146,3 +146,18 @@ def test_leaf_lines_and_coverage(spark):
     spans = spark.createDataFrame([(1, 3, 12), (2, 4, 12), (1, 2, 2), (2, 5, 1)], "file_id long, start_line int, end_line int")
     got = {(r.file_id, r.start_line): r.is_covered for r in covered_by_code(spans, added, files, syntax.leaf_lines).collect()}
     assert got == {(1, 3): True, (2, 4): False, (1, 2): False, (2, 5): False}
+
+
+def test_outer_complexity_and_test_counts(spark):
+    sources = [
+        (1, "javascript", "beforeEach(() => { a && run(() => b || c ? d : e); function f() { if (g) h() } })"),
+        (2, "java", "@Before void a() { if (b || c) d(() -> e ? f : g); new R() { void m() { while (x) y(); } }; }"),
+        (3, "typescript", "beforeAll(setup)"),
+        (4, "python", "def a(): pass"),
+        (5, "java", None),
+    ]
+    found = spark.createDataFrame(sources, "file_id long, language string, raw_source string")
+    assert {r.file_id: r.outer_complexity for r in syntax.rechecked(found).collect()} == {1: 2, 2: 4, 3: None, 4: None, 5: None}
+    tests = [(1, "python", "def test_a():\n  def test_b(): pass\nclass T:\n  async def test_c(self): pass\n  def atest(self): pass"), (2, "java", "class A extends TestCase { public void testA() {} void other() {} @Test void b() {} } class B { void testC() {} }"), (3, "typescript", "it('a', f); test.skip('b', g); test.each([1])('c', h); x.it('d'); describe('e', () => { it.only('f') })"), (4, "java", "class A {}")]
+    nodes = syntax.nodes(spark.createDataFrame(tests, "file_id long, language string, source string"))
+    assert {r.file_id: r.n_tests for r in syntax.test_counts(nodes).collect()} == {1: 3, 2: 2, 3: 4}
