@@ -12,6 +12,7 @@ from quarryline.operators import extract as X
 from quarryline.operators.graph import ancestors
 from quarryline.operators.joins import covered
 from quarryline.operators.workflow import since
+from quarryline.session import stored
 
 
 def commit_roles(commits: DataFrame, changes: DataFrame, begin: Column, merged: Column | None = None) -> DataFrame:
@@ -151,7 +152,8 @@ def pruned(tree: DataFrame, path: str = "path", folders: Sequence[str] = PRUNED)
 def _extracted(files: DataFrame, names: Sequence[str]) -> DataFrame:
     """Fixtures of ``files`` (repo, sha, path, source, ...) with their scopes, partners and links."""
     keyed = files.withColumn("file_id", F.xxhash64("repo", "sha", "path")).withColumn("language", S.language_of("path"))
-    found = X.with_teardown(X.with_scopes(X.fixtures(keyed.select("file_id", "language", "source"))))
+    # Sources are parsed once; the scopes are found in rounds over what came of that.
+    found = stored(X.with_teardown(X.with_scopes(stored(X.fixtures(keyed.select("file_id", "language", "source")), "fixtures"))), "paired")
     uses = X.mocks(found.select(F.xxhash64("file_id", "name", "start_line").alias("file_id"), F.col("raw_source").alias("source")))
     counts = uses.groupBy(F.col("file_id").alias("__f")).agg(F.count("*").alias("num_mocks"))
     found = found.join(counts, F.xxhash64("file_id", "name", "start_line") == F.col("__f"), "left").drop("__f").withColumn("num_mocks", F.coalesce("num_mocks", F.lit(0)))

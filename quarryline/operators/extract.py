@@ -468,23 +468,78 @@ def mock_category(text: str) -> str:
     return next((name for name, words in MOCK_CATEGORIES if any(w in low for w in words)), "mock")
 
 
+def needed_text(pattern: str) -> str:
+    """The longest text that every match of a pattern has in it, as far as its parse tells without branches; empty if none."""
+    from re import _constants, _parser
+
+    best = now = ""
+
+    def walk(parts) -> None:
+        nonlocal best, now
+        for op, value in parts:
+            if op is _constants.LITERAL:
+                now += chr(value)
+            elif op is _constants.SUBPATTERN and not value[1] and not value[2]:
+                walk(value[3])
+            elif op is _constants.MAX_REPEAT and value[0] > 0:
+                best, now = max(best, now, key=len), ""
+                walk(value[2])
+                best, now = max(best, now, key=len), ""
+            elif op not in (_constants.AT, _constants.ASSERT, _constants.ASSERT_NOT):
+                best, now = max(best, now, key=len), ""
+
+    walk(_parser.parse(pattern))
+    return max(best, now, key=len)
+
+
+class Rules:
+    """Many patterns over one text: one pass of an automaton tells whose needed texts are there, and only these are run.
+
+    The cost follows the text and what it has, not the number of rules; a rule without a needed text is always run.
+    """
+
+    def __init__(self, rules: Sequence[tuple[str, str]]) -> None:
+        import ahocorasick
+
+        self.rules = [(label, re.compile(pattern)) for label, pattern in rules]
+        needs: dict[str, list[int]] = {}
+        for k, (_, pattern) in enumerate(rules):
+            needs.setdefault(needed_text(pattern), []).append(k)
+        self.always = needs.pop("", [])
+        self.automaton = ahocorasick.Automaton() if needs else None
+        for text, numbers in needs.items():
+            self.automaton.add_word(text, numbers)
+        if needs:
+            self.automaton.make_automaton()
+
+    def matches(self, text: str) -> Iterator[tuple[str, re.Match]]:
+        """(label, match) of all matches, by rule and then by place."""
+        worth = set(self.always)
+        if self.automaton is not None and text:
+            for _, numbers in self.automaton.iter(text):
+                worth.update(numbers)
+        for k in sorted(worth):
+            label, pattern = self.rules[k]
+            for m in pattern.finditer(text):
+                yield label, m
+
+
 def mocks(files: DataFrame, rules: Sequence[tuple[str, str]] = MOCKS) -> DataFrame:
     """One row for each use of a test double in ``files`` (file_id, source), with what stands around it.
 
-    ``rules`` are (framework, pattern), from a rule table if others are wanted. The category is that of the whole source.
+    ``rules`` are (framework, pattern); stores.load_rules reads others from a rule table. The category is that of the whole source.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(framework, re.compile(pattern)) for framework, pattern in rules]
+        compiled = Rules(rules)
         for frame in frames:
             rows = []
             for file_id, source in zip(frame["file_id"], frame["source"], strict=True):
                 category = mock_category(source or "")
-                for framework, pattern in compiled:
-                    for m in pattern.finditer(source or ""):
-                        snippet = source[max(0, m.start() - BEFORE) : m.end() + AFTER].replace("\n", " ")
-                        target = m.group(1) or "" if pattern.groups else ""
-                        rows.append((file_id, framework, category, target, len(INTERACTIONS.findall(source, m.start(), m.end() + REACH)), snippet, m.start()))
+                for framework, m in compiled.matches(source or ""):
+                    snippet = source[max(0, m.start() - BEFORE) : m.end() + AFTER].replace("\n", " ")
+                    target = m.group(1) or "" if m.re.groups else ""
+                    rows.append((file_id, framework, category, target, len(INTERACTIONS.findall(source, m.start(), m.end() + REACH)), snippet, m.start()))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in MOCK_SCHEMA.split(", ")])
 
     return files.select(F.col("file_id").cast("long"), "source").mapInPandas(run, MOCK_SCHEMA)

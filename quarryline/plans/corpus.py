@@ -18,9 +18,9 @@ from quarryline.operators import extract as X
 from quarryline.operators import joins as J
 from quarryline.operators import reports as R
 from quarryline.operators import validation as V
-from quarryline.plans.analysis import _BH, _chi_sql, _rank_sql
+from quarryline.plans.analysis import _BH, _chi_sql, _rank_sql, _two_sided
 from quarryline.plans.registry import query, rounded
-from quarryline.session import shared_dir
+from quarryline.session import shared_dir, stored
 from quarryline.session import table as T
 from quarryline.sources import stores as K
 
@@ -172,7 +172,7 @@ UNION ALL SELECT doc_id, 'done', 'After', 'test', 5, 6, 1, 1, 0, 0, 0, false FRO
 UNION ALL SELECT doc_id, 'beforeEach', 'hook_beforeEach', 'test', 2, 5, 1, 1, 0, 1, 0, false FROM documents WHERE doc_id % 3 = 2
 """)
 def extract_fixtures(spark: SparkSession, d: str) -> DataFrame:
-    found = X.with_teardown(X.with_scopes(X.fixtures(_sources(spark, d))))
+    found = X.with_teardown(X.with_scopes(stored(X.fixtures(_sources(spark, d)), "fixtures")))
     return found.select("file_id", "name", "fixture_type", "scope", "start_line", "end_line", "cyclomatic_complexity", "max_nesting_depth", "num_objects_instantiated", "num_external_calls", "num_parameters", "has_teardown_pair")
 
 
@@ -248,6 +248,24 @@ def categorical_table(spark: SparkSession, d: str) -> DataFrame:
     return R.categorical_comparison(T(spark, d, "orders"), "o_orderpriority", "o_orderstatus", "F", "O")
 
 
+_HAS = """SELECT c_mktsegment, o_orderstatus AS g, o_custkey, o_orderpriority < '3' AS has FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O')"""
+_HAS_SHARES = f"SELECT c_mktsegment, g, o_custkey, avg(has::INTEGER) AS v FROM ({_HAS}) GROUP BY ALL"
+
+
+@query(f"""WITH k AS (
+  SELECT count(*) FILTER (WHERE g = 'F' AND has)::DOUBLE AS a, count(*) FILTER (WHERE g = 'F' AND NOT has)::DOUBLE AS b, count(*) FILTER (WHERE g = 'O' AND has)::DOUBLE AS c, count(*) FILTER (WHERE g = 'O' AND NOT has)::DOUBLE AS d, count(*)::DOUBLE AS n FROM ({_HAS})
+), chi AS (SELECT *, n * power(greatest(abs(a * d - b * c) - n / 2, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS chi2 FROM k
+), o AS (SELECT (a + b)::BIGINT AS n1, (c + d)::BIGINT AS n2, chi2, sqrt(chi2 / n) AS v, sqrt(chi2) AS z FROM chi
+), s AS (WITH {_rank_sql(_HAS_SHARES, ['c_mktsegment'])}, {_BH.format(key='c_mktsegment')} SELECT * FROM adjusted)
+SELECT 0 AS place, 'Overall' AS label, n1, n2, printf('chi2=%.1f (df=%d)', chi2, 1) AS statistic, printf('%.3f', v) AS effect, CASE WHEN v < 0.1 THEN 'negligible' WHEN v < 0.3 THEN 'small' WHEN v < 0.5 THEN 'medium' ELSE 'large' END AS magnitude,
+  CASE WHEN {_two_sided('z')} < 0.001 THEN '<0.001' ELSE printf('%.3f', {_two_sided('z')}) END AS p, '--' AS p_adjusted FROM o
+UNION ALL SELECT 1, c_mktsegment, {_cells('p', 'p_adjusted')} FROM s""")
+def presence_table(spark: SparkSession, d: str) -> DataFrame:
+    """Whether orders are urgent or high: by order over all, and by the customers' shares in each segment."""
+    has = F.col("o_orderpriority") < "3"
+    return R.presence_comparison(_by_segment(spark, d), has, "o_custkey", "o_orderstatus", "F", "O", "c_mktsegment")
+
+
 @query("SELECT l_returnflag, sum(l_quantity) AS items, sum(l_linenumber)::BIGINT AS units, round(sum(l_quantity) * 1.0 / sum(l_linenumber), 6) AS per_unit FROM lineitem GROUP BY ALL")
 def items_per_unit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.rates_per(T(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_linenumber"), 6)
