@@ -315,3 +315,19 @@ def test_priority_classifier_reads_every_row(spark, tmp_path):
         name = next((n for n, p in (("english", r"\b(the|that)\b"), ("german", r"\b(der|die)\b")) if re.search(p, t, re.I)), None)
         want.append((k, turn, None if role == "system" else name))
     assert rows(QUERIES["priority_classifier"](spark, str(tmp_path))) == want
+
+
+def test_tables_of_a_scope_go_at_its_end(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from quarryline.session import scope, stored
+
+    place = lambda df: os.path.dirname(urlparse(df.inputFiles()[0]).path)
+    with scope(spark):
+        with scope(spark):
+            inner, kept = place(stored(spark.range(3), "inner")), place(stored(spark.range(3), "kept", kept=True))
+        assert not os.path.exists(inner) and os.path.exists(kept)
+    assert not os.path.exists(kept)
+    outside = place(stored(spark.range(3), "outside", kept=True))
+    assert os.path.exists(outside)
