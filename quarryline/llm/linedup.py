@@ -26,6 +26,8 @@ from quarryline.llm.common import BROADCAST_BYTES, flat, stored, text_slices
 
 #: Filter bits for each line, positions of a key, and bits of a part.
 BITS_PER_LINE, POSITIONS, BLOCK = 16, 3, 1 << 16
+#: Hashes that a task holds before it sends their positions.
+HELD = 1 << 21
 #: Bits of a twice-seen filter that goes to all tasks: 64 MB.
 MOST_BITS = 1 << 29
 
@@ -82,17 +84,27 @@ def twice_filter(docs: DataFrame, bits: int, least: int) -> DataFrame:
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
+        held_now = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            hashes, counts = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
+            for twice in (False, True):
+                chosen = hashes[counts > 1] if twice else hashes
+                at = np.unique(positions(chosen) + part_of(chosen, bits) * BLOCK)
+                blocks, values = cut_by(at // BLOCK, (at % BLOCK).astype(np.uint16))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(blocks, pa.int64()), pa.array([twice] * len(blocks), pa.bool_()), pa.array(values, pa.binary())], ["block", "twice", "at"]
+                )
+
+        # What a task sends at two times counts like what two tasks send: a document's keys are sent at one time.
         for batch in text_slices(batches):
             (_, codes), keys, _ = distinct_keys(batch.column("text"), least)
             parts.append(hashed(keys)[codes])
-        hashes, counts = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
-        for twice in (False, True):
-            chosen = hashes[counts > 1] if twice else hashes
-            at = np.unique(positions(chosen) + part_of(chosen, bits) * BLOCK)
-            blocks, values = cut_by(at // BLOCK, (at % BLOCK).astype(np.uint16))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int64()), pa.array([twice] * len(blocks), pa.bool_()), pa.array(values, pa.binary())], ["block", "twice", "at"]
-            )
+            held_now += len(codes)
+            if held_now >= HELD:
+                yield from sent()
+                parts, held_now = [], 0
+        yield from sent()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come by part: 64 KB of counters at a time.
