@@ -17,6 +17,8 @@ from quarryline.llm.common import small_enough, stored
 MASKS = ("11101011", "1101100011", "1010011011")
 #: Points of an overlap that make a leak, or half of an item's words where that is less.
 MIN_SCORE = 8
+#: Hits of a text that are looked at in one row.
+HITS = 1024
 #: What lies between words.
 BREAK = r"[^\p{L}\p{N}]+"
 
@@ -70,8 +72,14 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, min
     # A document's words are made once, and of them a hit takes only what lies beside its item.
     sizes = items.select(F.col("item_id").alias("__item"), F.xxhash64("item").alias("__version"), F.size("item").alias("item_words"))
     same_item = F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("version") == F.col("__version"))
-    by_id = hits.join(sizes, same_item).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("item_id", "version", "shift", "item_words")).alias("hits"))
-    by_id = stored(by_id, "found")
+    # A text with many hits has them in several rows, of about HITS each.
+    many = stored(hits.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.ceil(F.count("*") / HITS).alias("parts")).filter("parts > 1"), "many")
+    if small_enough(many.count(), 64):
+        many = F.broadcast(many)
+    part = F.pmod(F.xxhash64("item_id", "version", "shift"), F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = hits.join(many, (F.col("row") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("part", part).drop("__id", "__row")
+    by_id = dealt.join(sizes, same_item).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "part").agg(F.collect_list(F.struct("item_id", "version", "shift", "item_words")).alias("hits"))
+    by_id = stored(by_id.drop("part"), "found")
     if small_enough(hits.count(), 64):
         by_id = F.broadcast(by_id)
     pairs = texts.join(by_id, (F.col("row") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", words("text").alias("doc"), "hits")

@@ -131,6 +131,14 @@ def test_line_dedup(spark, size, bits, keep_first):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=str) == deduplicated(some, 10, keep_first)
 
 
+def test_line_dedup_in_a_task_that_sends_often(spark, monkeypatch):
+    monkeypatch.setattr(linedup, "HELD", 5)
+    some = [(i, t) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+    got = linedup.dedup_lines(df, min_docs=2, keep_first=False)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=str) == deduplicated(some, 2, False)
+
+
 @pytest.mark.parametrize("bits", [1 << 29, 1 << 21, 0])
 def test_few_lines_are_suspected_at_any_size(spark, bits):
     """20,000 lines that occur once and 300 that occur twice: all of these are found, and few others, whatever may be sent."""
@@ -516,6 +524,33 @@ def test_leaks_of_a_long_repetitive_text(spark):
     assert [tuple(r) for r in decontamination.leaks(docs, items).collect()] == [(1, 1, 40, 40, 40)]
 
 
+def test_leaks_of_texts_with_hits_in_several_rows(spark, monkeypatch):
+    rng = random.Random(22)
+    items = [(i, prose(rng, 12, 30)) for i in range(5)]
+    docs = [(i if i % 4 else None, " ".join(prose(rng, 9, 30) + " " + items[rng.randrange(5)][1] for _ in range(rng.randrange(1, 9)))) for i in range(20)]
+    want = plain_leaks(docs, items)
+    monkeypatch.setattr(decontamination, "HITS", 2)
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.score, r.n_matched, r.item_words) for r in got} == want
+    assert len(got) == len(want)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.15, 0.2, 0.25])
+def test_recall_by_rate_of_substitution(spark, rate):
+    """Items of 40 words among others, with each word replaced at the rate; what is found at least is stated."""
+    rng = random.Random(23)
+    items = [(i, prose(rng, 40, 20_000)) for i in range(150)]
+    docs = []
+    for i, text in items:
+        own = [f"x{rng.randrange(20_000)}" if rng.random() < rate else w for w in text.split()]
+        docs.append((i, " ".join([prose(rng, 60, 20_000), *own, prose(rng, 60, 20_000)])))
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(a == b for a, b in got)
+    least = {0.0: 1.0, 0.05: 1.0, 0.1: 0.98, 0.15: 0.93, 0.2: 0.75, 0.25: 0.5}[rate]
+    print(f"rate {rate}: recall {len(got) / len(items):.3f}")
+    assert len(got) >= least * len(items)
+
+
 def test_leaks_of_nothing(spark):
     docs, items = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     assert decontamination.leaks(docs.limit(0), items).collect() == []
