@@ -8,6 +8,8 @@ along under whatever names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from quarryline.llm.jaccard import near_duplicates
 from quarryline.llm.linedup import dedup_lines
 from quarryline.llm.queries import held_out, tokenizer_path
 from quarryline.llm.viterbi import sp_encode
+from quarryline.session import remove, scope
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -89,8 +92,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table, each written to the shared folder and read again. What a stage stored on its way
+    goes when its result is written, and so does the result before it; the last stage's stays for who reads the rows."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope(spark):
+            made = stored(stage(spark, docs, sf_dir), name, kept=True)
+        if before:
+            remove(spark, before)
+        docs, before = made, os.path.dirname(made.inputFiles()[0]) if made.inputFiles() else None
     return STAGES[-1][1](spark, docs, sf_dir)
