@@ -46,23 +46,26 @@ def cluster_proportions(rows: DataFrame, unit: str, category: str, by: Sequence[
     """The share of each category in each unit that has rows, 0 where it has none of it."""
     counts = distribution(rows, *by, unit, category)
     totals = counts.groupBy(*by, unit).agg(F.sum("n").alias("total"))
-    # The grid of units and categories is the result; the categories are one row with an array.
-    grid = totals.crossJoin(F.broadcast(few(counts, category))).withColumn(category, F.explode("__kinds")).drop("__kinds")
+    grid = with_kinds(totals, counts, category)
     full = grid.join(counts, [*by, unit, category], "left")
     return full.select(*by, unit, category, (F.coalesce("n", F.lit(0)) / F.col("total")).alias("proportion"))
 
 
-#: Values that a column of categories may have at most where all of them meet each unit.
-MOST_KINDS = 10_000
+#: Categories in one row at most, about.
+KINDS = 1024
 
 
-def few(counts: DataFrame, category: str) -> DataFrame:
-    """One row with all categories as the array ``__kinds``; more than MOST_KINDS are an error."""
-    kinds = counts.agg(F.array_sort(F.collect_set(category)).alias("__kinds"))
-    n = counts.select(category).distinct().limit(MOST_KINDS + 1).count()
-    if n > MOST_KINDS:
-        raise ValueError(f"{category} has more than {MOST_KINDS} values: it isn't a category")
-    return kinds
+def with_kinds(rows: DataFrame, counts: DataFrame, category: str) -> DataFrame:
+    """``rows``, each with every category of ``counts``: that grid is the result. Categories are arrays of about KINDS; one such
+    row is sent to all tasks, several are joined by their number."""
+    parts = max(1, -(-counts.select(category).distinct().count() // KINDS))
+    part = F.pmod(F.xxhash64(category), F.lit(parts)).cast("int")
+    kinds = counts.groupBy(part.alias("__part")).agg(F.array_sort(F.collect_set(category)).alias("__kinds"))
+    if parts == 1:
+        met = rows.crossJoin(F.broadcast(kinds.select("__kinds")))
+    else:
+        met = rows.withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(kinds, F.col("__p") == F.col("__part")).drop("__p", "__part")
+    return met.withColumn(category, F.explode("__kinds")).drop("__kinds")
 
 
 def quantiles(rows: DataFrame, value: str, by: Sequence[str], points: dict[str, float]) -> DataFrame:
@@ -151,7 +154,7 @@ def timeline(rows: DataFrame, step: str, category: str) -> DataFrame:
     counts = distribution(rows, step, category)
     ends = counts.agg(F.min(step).alias("lo"), F.max(step).alias("hi"))
     steps = ends.filter("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias(step))
-    grid = steps.crossJoin(F.broadcast(few(counts, category))).withColumn(category, F.explode("__kinds")).drop("__kinds")
+    grid = with_kinds(steps, counts, category)
     return grid.join(counts, [step, category], "left").select(step, category, F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -331,3 +331,13 @@ def test_tables_of_a_scope_go_at_its_end(spark):
     assert not os.path.exists(kept)
     outside = place(stored(spark.range(3), "outside", kept=True))
     assert os.path.exists(outside)
+
+
+def test_shares_of_many_categories(spark, monkeypatch):
+    from quarryline.operators import aggregate
+
+    rows = spark.createDataFrame([(u, f"k{(u * 7 + i) % 90}") for u in range(20) for i in range(5)] + [(1, None)], "unit int, kind string")
+    want = sorted(map(tuple, aggregate.cluster_proportions(rows, "unit", "kind").collect()))
+    monkeypatch.setattr(aggregate, "KINDS", 7)
+    assert sorted(map(tuple, aggregate.cluster_proportions(rows, "unit", "kind").collect())) == want
+    assert len(want) == 20 * len({k for _, k, _ in want})
