@@ -114,16 +114,45 @@ def commits_before(commits: DataFrame, starts: DataFrame) -> DataFrame:
 def last_before(commits: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(repo, snapshot, sha): of each snapshot (repo, date) the commit with the last date up to it, of equal dates the least sha.
 
-    Each commit meets the snapshots of its repository one interval at a time: a snapshot's interval begins after the one
-    before it, and intervals without a commit take over what was found up to them.
+    A commit falls to the first snapshot on or after it; the last of each is found before commits are shuffled, and snapshots
+    without one of their own take over that of the one before.
     """
     dates = snapshots.select("repo", F.col("date").alias("snapshot")).distinct()
-    events = dates.select("repo", F.col("snapshot").alias("at"), F.lit(True).alias("asks"), F.lit(None).cast("string").alias("sha"))
-    events = events.unionByName(commits.select("repo", F.col("date").alias("at"), F.lit(False).alias("asks"), F.col("sha").cast("string")))
-    best = F.max(F.when(~F.col("asks"), F.struct("at"))).over(Window.partitionBy("repo").orderBy("at"))
-    asked = events.withColumn("best", best).filter("asks and best is not null").select("repo", F.col("at").alias("snapshot"), F.col("best.at").alias("date"))
-    first = commits.groupBy("repo", "date").agg(F.min(F.col("sha").cast("string")).alias("sha"))
-    return asked.join(first, ["repo", "date"]).select("repo", "snapshot", "sha")
+    listed = dates.groupBy(F.col("repo").alias("__r")).agg(F.array_sort(F.collect_set("snapshot")).alias("__all"))
+    own = commits.select("repo", "date", F.col("sha").cast("string").alias("sha")).join(listed, F.col("repo") == F.col("__r"))
+    falls = own.withColumn("snapshot", F.get(F.filter("__all", lambda d: d >= F.col("date")), F.lit(0))).filter("snapshot is not null")
+    per_day = falls.groupBy("repo", "snapshot", "date").agg(F.min("sha").alias("sha"))
+    last = per_day.groupBy("repo", "snapshot").agg(F.max(F.struct("date", "sha")).alias("last"))
+    up_to = F.last("last", ignorenulls=True).over(Window.partitionBy("repo").orderBy("snapshot"))
+    found = dates.join(last, ["repo", "snapshot"], "left").withColumn("last", up_to)
+    return found.filter("last is not null").select("repo", "snapshot", F.col("last.sha").alias("sha"))
+
+
+#: The columns of a table of fixtures, in their order.
+FIXTURE_COLUMNS = (
+    "repo_name", "language", "commit_sha", "file_path", "fixture_name", "fixture_type", "start_line", "end_line", "loc", "framework", "num_mocks", "scope", "cyclomatic_complexity", "max_nesting_depth",
+    "num_parameters", "num_objects_instantiated", "num_external_calls", "num_comment_lines", "comment_density", "has_teardown_pair", "github_url", "agent_type", "commit_kind", "commit_type", "raw_source",
+    "commit_date", "repo_age_at_commit_years",
+)
+
+
+def fixture_table(found: DataFrame, files: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Fixtures (of syntax.with_teardown) as rows of the fixed columns and ``extra`` ones, which ``files`` has.
+
+    ``files`` has file_id, repo, sha, path, agent_type, commit_kind, message, commit_date and created. Test doubles are counted
+    in a fixture's own text.
+    """
+    numbered = found.withColumn("__text", F.xxhash64("raw_source"))
+    uses = X.mocks(numbered.select(F.col("__text").alias("file_id"), F.col("raw_source").alias("source")).distinct())
+    # Equal texts have equally many; two texts of one hash would have their uses together.
+    counts = uses.groupBy(F.col("file_id").alias("__u")).agg(F.count("*").alias("num_mocks"))
+    rows = numbered.join(counts, F.col("__text") == F.col("__u"), "left").join(files, "file_id")
+    return rows.select(
+        F.col("repo").alias("repo_name"), found["language"], F.col("sha").alias("commit_sha"), F.col("path").alias("file_path"), F.col("name").alias("fixture_name"), *(F.col(c) for c in FIXTURE_COLUMNS[5:10]),
+        F.coalesce("num_mocks", F.lit(0)).alias("num_mocks"), *(F.col(c) for c in FIXTURE_COLUMNS[11:18]), F.round(S.density("num_comment_lines", "loc"), 4).alias("comment_density"),
+        F.col("has_teardown_pair").cast("int").alias("has_teardown_pair"), S.source_url("repo", "sha", "path", "start_line", "end_line").alias("github_url"), "agent_type", "commit_kind",
+        S.commit_type("message").alias("commit_type"), "raw_source", F.col("commit_date").cast("date").alias("commit_date"), F.round(S.age_years("created", "commit_date"), 4).alias("repo_age_at_commit_years"), *extra,
+    )
 
 
 def test_files_of(changes: DataFrame, added_only: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from quarryline.operators import extract as X
 from quarryline.operators import reports as R
 from quarryline.operators import syntax
 from quarryline.operators import validation as V
-from quarryline.plans.code import sources
+from quarryline.plans.code import _calls_sql, sources
 from quarryline.plans.registry import query
 from quarryline.session import shared_dir, stored
 from quarryline.session import table as T
@@ -276,3 +276,28 @@ def matched_sample(spark: SparkSession, d: str) -> DataFrame:
     match = units.groupBy("c_mktsegment").agg((F.sum("size") + F.count("*")).alias("n"))
     chosen = V.sample_plan(units.withColumn("weight", F.col("size") + 1), "c_custkey", "weight", "c_mktsegment", None, match, 3, str(folder / "plan.json"))
     return chosen.groupBy("c_mktsegment").agg(F.count("*").alias("units"), F.sum("size").alias("items"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(13) || chr(0) || chr(12) || chr(10) || '*', '     ') AS t FROM documents),
+s AS (SELECT doc_id, 'class A {' || chr(10) || '  @Mock X x;' || chr(10) || '  @Before void up() {' || chr(10) || '    // ' || t || chr(10) || '    y = Mockito.spy(z); open();' || chr(10) || '  }' || chr(10) || '}' AS source, t FROM t)
+SELECT 'r' || doc_id % 10 AS repo_name, 'java' AS language, 'c' || doc_id AS commit_sha, 'src/test/A' || doc_id || 'Test.java' AS file_path, 'up' AS fixture_name, 'junit4_before' AS fixture_type, '3' AS start_line, '6' AS end_line,
+  '4' AS loc, 'junit' AS framework, '1' AS num_mocks, 'per_test' AS scope, '1' AS cyclomatic_complexity, '1' AS max_nesting_depth, '0' AS num_parameters, '0' AS num_objects_instantiated,
+  ({_calls_sql("t")} + 1)::VARCHAR AS num_external_calls, '1' AS num_comment_lines, '0.25' AS comment_density, '0' AS has_teardown_pair, 'https://github.com/r' || doc_id % 10 || '/blob/c' || doc_id || '/src/test/A' || doc_id || 'Test.java#L3-L6' AS github_url,
+  CASE WHEN doc_id % 2 = 0 THEN 'claude' ELSE '' END AS agent_type, CASE WHEN doc_id % 2 = 0 THEN 'agent' ELSE 'human' END AS commit_kind, CASE WHEN doc_id % 3 = 0 THEN 'fix' ELSE '' END AS commit_type,
+  sha256('@Before void up() {' || chr(10) || '    // ' || t || chr(10) || '    y = Mockito.spy(z); open();' || chr(10) || '  }') AS raw_source, '2025-03-01' AS commit_date, '2.0014' AS repo_age_at_commit_years, '1' AS is_complete_addition FROM s""")
+def fixture_csv_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Fixtures with all their columns and one more, written as CSV and read back; the source as a digest."""
+    key = F.col("doc_id").cast("string")
+    text = F.translate(F.coalesce("text", F.lit("")), "\r\x00\x0c\n*", "     ")
+    source = F.concat(F.lit("class A {\n  @Mock X x;\n  @Before void up() {\n    // "), text, F.lit("\n    y = Mockito.spy(z); open();\n  }\n}"))
+    even = F.col("doc_id") % 2 == 0
+    files = T(spark, d, "documents").select(
+        F.col("doc_id").alias("file_id"), F.lit("java").alias("language"), source.alias("source"), F.concat(F.lit("r"), (F.col("doc_id") % 10).cast("string")).alias("repo"), F.concat(F.lit("c"), key).alias("sha"),
+        F.concat(F.lit("src/test/A"), key, F.lit("Test.java")).alias("path"), F.when(even, "claude").alias("agent_type"), F.when(even, "agent").otherwise("human").alias("commit_kind"),
+        F.when(F.col("doc_id") % 3 == 0, "fix(core): it").otherwise("update").alias("message"), F.lit("2025-03-01T10:00:00").alias("commit_date"), F.lit("2023-03-01").alias("created"), F.lit(1).alias("is_complete_addition"),
+    )
+    files = stored(files, "files")
+    found = syntax.with_teardown(stored(syntax.fixtures(syntax.nodes(files)), "fixtures"))
+    root = _root(spark)
+    K.write_csv(C.fixture_table(found, files.drop("language", "source"), ["is_complete_addition"]), root, [*C.FIXTURE_COLUMNS, "is_complete_addition"])
+    return K.read_csv(spark, root).fillna("").withColumn("raw_source", F.sha2(F.col("raw_source").cast("binary"), 256))
