@@ -278,13 +278,12 @@ def matched_sample(spark: SparkSession, d: str) -> DataFrame:
     return chosen.groupBy("c_mktsegment").agg(F.count("*").alias("units"), F.sum("size").alias("items"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(13) || chr(0) || chr(12) || chr(10) || '*', '     ') AS t FROM documents),
-s AS (SELECT doc_id, 'class A {' || chr(10) || '  @Mock X x;' || chr(10) || '  @Before void up() {' || chr(10) || '    // ' || t || chr(10) || '    y = Mockito.spy(z); open();' || chr(10) || '  }' || chr(10) || '}' AS source, t FROM t)
+@query("""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(13) || chr(0) || chr(12) || chr(10) || '*', '     ') AS t FROM documents)
 SELECT 'r' || doc_id % 10 AS repo_name, 'java' AS language, 'c' || doc_id AS commit_sha, 'src/test/A' || doc_id || 'Test.java' AS file_path, 'up' AS fixture_name, 'junit4_before' AS fixture_type, '3' AS start_line, '6' AS end_line,
   '4' AS loc, 'junit' AS framework, '1' AS num_mocks, 'per_test' AS scope, '1' AS cyclomatic_complexity, '1' AS max_nesting_depth, '0' AS num_parameters, '0' AS num_objects_instantiated,
-  ({_calls_sql("t")} + 1)::VARCHAR AS num_external_calls, '1' AS num_comment_lines, '0.25' AS comment_density, '0' AS has_teardown_pair, 'https://github.com/r' || doc_id % 10 || '/blob/c' || doc_id || '/src/test/A' || doc_id || 'Test.java#L3-L6' AS github_url,
+  CALLS::VARCHAR AS num_external_calls, '1' AS num_comment_lines, '0.25' AS comment_density, '0' AS has_teardown_pair, 'https://github.com/r' || doc_id % 10 || '/blob/c' || doc_id || '/src/test/A' || doc_id || 'Test.java#L3-L6' AS github_url,
   CASE WHEN doc_id % 2 = 0 THEN 'claude' ELSE '' END AS agent_type, CASE WHEN doc_id % 2 = 0 THEN 'agent' ELSE 'human' END AS commit_kind, CASE WHEN doc_id % 3 = 0 THEN 'fix' ELSE '' END AS commit_type,
-  sha256('@Before void up() {' || chr(10) || '    // ' || t || chr(10) || '    y = Mockito.spy(z); open();' || chr(10) || '  }') AS raw_source, '2025-03-01' AS commit_date, '2.0014' AS repo_age_at_commit_years, '1' AS is_complete_addition FROM s""")
+  sha256('@Before void up() {' || chr(10) || '    // ' || t || chr(10) || '    y = Mockito.spy(z); open();' || chr(10) || '  }') AS raw_source, '2025-03-01' AS commit_date, '2.0014' AS repo_age_at_commit_years, '1' AS is_complete_addition FROM t""".replace("CALLS", f"({_calls_sql('t')} + 1)"))
 def fixture_csv_rows(spark: SparkSession, d: str) -> DataFrame:
     """Fixtures with all their columns and one more, written as CSV and read back; the source as a digest."""
     key = F.col("doc_id").cast("string")
