@@ -16,6 +16,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,9 @@ SCHEMA = (
     " parameters array<string>, container int, extends string, depth int, decisions int, comments int, made int, text string"
 )
 
+#: Characters of rows that a task holds before they go on.
+MOST = 2 << 20
+
 # What marks test fixtures, with their types and scopes.
 JAVA_MARKS = {
     "BeforeEach": ("junit5_before_each", "per_test", "junit"),
@@ -608,10 +612,19 @@ def nodes(files: DataFrame) -> DataFrame:
     Null and blank sources, other languages, and sources beyond X.MAX_BYTES have no nodes.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = re.findall(r"(\w+) (?:long|string|int|array<string>)", SCHEMA)
-        for frame in frames:
-            for file_id, language, source in zip(frame["file_id"], frame["language"], frame["source"], strict=True):
+    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    columns = [(name, kinds[kind]) for name, kind in re.findall(r"(\w+) (long|string|int|array<string>)", SCHEMA)]
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[name] for r in rows], kind) for name, kind in columns], [name for name, _ in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Rows go on by some thousands, or by some megabytes of text.
+            rows: list[dict] = []
+            size = 0
+            for file_id, language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                source = text.as_py()
                 if not source or not source.strip() or len(source.encode()) > X.MAX_BYTES:
                     continue
                 if language == "python":
@@ -620,12 +633,16 @@ def nodes(files: DataFrame) -> DataFrame:
                     found = Parser(source, language).rows(_may_be_fixture)
                 else:
                     continue
-                rows = [{"file_id": file_id, "language": language, **x} for x in found]
-                if rows:
-                    out = pd.DataFrame(rows, columns=names)
-                    yield out.astype({c: "Int32" for c in ("parent", "container", "decisions", "comments", "made")})
-
-    return files.select(F.col("file_id").cast("long"), "language", "source").mapInPandas(run, SCHEMA)
+                for x in found:
+                    rows.append({"file_id": file_id, "language": language, **x})
+                    size += len(x["text"] or "") + 100
+                    if size > MOST:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    return files.select(F.col("file_id").cast("long"), "language", "source").mapInArrow(run, SCHEMA)
 
 
 #: Words that a grammar has no node of its own for.
