@@ -117,8 +117,8 @@ def link_calls(calls: DataFrame, results: DataFrame, functions: DataFrame) -> Da
     Of several calls, or results, with the same identifier the one of the least turn counts, then of the least text; each of
     the others is a row of its own, with the status duplicate. Calls and results without an identifier are those of one identifier, which nothing depends on. Result: conv_id, call_id,
     call_turn, result_turn, rank, status (ok, invalid, unanswered, orphan, circular, duplicate), problems, record. Very long
-    arguments and contents are parsed and written whole, in their rows. Other columns are not read; empty tables give their
-    part of the result empty.
+    arguments and contents are parsed and written whole, in their rows. Other columns are not read. Without calls every result
+    is an orphan, without results every call is unanswered, and without both there are no rows.
     """
     keys = KEYS
     calls = calls.select(*keys, "turn", "name", "arguments", F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("depends_on"))

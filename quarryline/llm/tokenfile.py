@@ -245,7 +245,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
     """Encodes ``docs`` (doc_id, text), ends each with ``end_id``, and writes shards below ``folder``; returns the manifest.
 
     Shards follow ascending doc_id; rows of the same doc_id are in the order of their texts. The manifest has a row for
-    each shard that isn't empty: path, first id's number in the whole, ids and documents.
+    each shard that isn't empty: path, first id's number in the whole, ids and documents; an empty table gives none. A null
+    text is an empty one. A long text is encoded whole, in a batch of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +314,7 @@ def token_file(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Writes the documents' ids to a fresh folder of the shared storage and returns what is read back.
 
     A null or empty text is the end id alone. Rows are kept one by one, also with equal or null doc_ids (nulls come
-    first). Other columns are not read; an empty table gives an empty result.
+    first). A long text is encoded whole. Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")

@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
     Rows whose toxic is neither 0 nor 1, or whose id is null or unknown, are left out; a null text has no words. Of equal texts, and of
     near copies, one of each class counts, so a family's own words aren't evidence: a family has the same least shingle, and
     what agrees with its first text on 0.8 of ``SKETCH`` minhashes or more is a near copy of that. Without rows of both
-    classes every text gets the share of toxic rows.
+    classes every text gets the share of toxic rows; empty tables are such a case. Long texts are read whole.
     """
     rows = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic").filter("doc_id is not null and toxic in (0, 1)")
     chosen = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -268,7 +268,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def clean_rows(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose texts score below ``limit``. Each row is judged by itself: null and
-    repeated ids, and repeated rows, stay or go one by one. A null text stays null."""
+    repeated ids, and repeated rows, stay or go one by one. A null text stays null, a long one is read whole; an empty table
+    stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -208,7 +208,7 @@ def decode(model: PieceModel, ids: list[int]) -> str:
 def sp_encode(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids, n_tokens) of each row's whole text.
 
-    A null or empty text is the space mark alone. Ids come out in the text's order for every row, repeated and null doc_ids
+    A null or empty text is the space mark alone, a long one is encoded whole. Ids come out in the text's order for every row, repeated and null doc_ids
     included; other columns are not read; an empty table gives an empty result.
     """
 

@@ -107,7 +107,9 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = RO
 
     Of rows with equal payloads of ``min_bytes`` or more, the one with the largest page_id is the response and the others are
     revisits of it; among rows of that page_id the first by url is. A null html is an empty payload, a null page_id is less
-    than all others. Rows that are equal in everything are records of their own. Other columns are not written.
+    than all others; a null url is written, and read back, as about:blank. Rows that are equal in everything are records of
+    their own. A long page is one record, whole in its task. Other columns are not written; an empty table gives an empty
+    manifest.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload().alias("payload"))
     pages = pages.withColumn("sha1", F.unhex(F.sha1("payload")))
@@ -204,7 +206,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = 0, roll: int = ROLL) -> DataFrame:
-    """Writes ``pages`` to a fresh folder of the shared storage and returns what its archives hold."""
+    """Writes ``pages`` to a fresh folder of the shared storage and returns what its archives hold; see write_warc. An empty
+    table gives an empty result."""
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     folder = folder if "://" in folder else f"file://{folder}"
