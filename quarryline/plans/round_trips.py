@@ -300,3 +300,14 @@ def fixture_csv_rows(spark: SparkSession, d: str) -> DataFrame:
     root = _root(spark)
     K.write_csv(C.fixture_table(found, files.drop("language", "source"), ["is_complete_addition"]), root, [*C.FIXTURE_COLUMNS, "is_complete_addition"])
     return K.read_csv(spark, root).fillna("").withColumn("raw_source", F.sha2(F.col("raw_source").cast("binary"), 256))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, true AS none_elsewhere FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL")
+def resumed_from_newest(spark: SparkSession, d: str) -> DataFrame:
+    """Of two runs' tables the one that was written last, though its name comes first."""
+    root = _root(spark)
+    orders = T(spark, d, "orders").select(F.col("o_orderstatus").alias("status"))
+    orders.filter("status = 'F'").write.parquet(f"{root}/run-b")
+    orders.filter("status = 'O'").write.parquet(f"{root}/run-a")
+    counts = spark.read.parquet(L.newest(spark, f"{root}/run-*")).groupBy("status").agg(F.count("*").alias("n"))
+    return counts.withColumn("none_elsewhere", F.lit(L.newest(spark, f"{root}/other-*") is None))

@@ -294,6 +294,14 @@ class Progress:
         return True
 
 
+def newest(spark: SparkSession, pattern: str) -> str | None:
+    """Of the files and folders that a path pattern names, in any store, the one that was changed last; of several the last by
+    name. None without any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return max(((s.getModificationTime(), s.getPath().toString()) for s in found), default=(0, None))[1]
+
+
 def latest_file(folder: str, pattern: str) -> str | None:
     """The last file by name, which has its time, under a pattern; None without any."""
     found = sorted(str(p) for p in Path(folder).glob(pattern))
