@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -206,19 +205,47 @@ def dip(values: np.ndarray, weights: np.ndarray | None = None) -> float:
     return min(max(sides(first)), max(sides(last))) / 2
 
 
-@functools.lru_cache(maxsize=64)
-def _null_dips(size: int, draws: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return np.array([dip(rng.random(size)) for _ in range(draws)])
+#: Sizes for which uniform samples are drawn; between two of them quantiles are interpolated.
+SIZES = (4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 50, 75, 100, 150, 200, 300, 500, 750, 1024, 2048)
+_null_tables: dict[tuple, np.ndarray] = {}
 
 
-def dip_tests(rows: DataFrame, value: str, by: Sequence[str], draws: int = 500, largest: int = 1024, seed: int = 7) -> DataFrame:
-    """The dip of each group with a p from uniform samples of the same size; null for groups of three values or fewer.
+def null_table(spark: SparkSession, draws: int, seed: int) -> np.ndarray:
+    """For each of SIZES the dips of ``draws`` uniform samples times the root of the size, in order: drawn by tasks, once."""
+    key = (spark.sparkContext.applicationId, draws, seed)
+    if key not in _null_tables:
 
-    The dip is that of all values, counted by distinct value first; one task holds a group's distinct values. Beyond
-    ``largest`` values samples have that size, and their dips are scaled by the root of the sizes, as the dip of uniform
-    samples shrinks.
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                size = [SIZES[i // draws] for i in frame["id"]]
+                scaled = [math.sqrt(n) * dip(np.random.default_rng([seed, int(i)]).random(n)) for n, i in zip(size, frame["id"], strict=True)]
+                yield pd.DataFrame({"place": frame["id"] // draws, "scaled": scaled})
+
+        # Samples of all sizes lie next to each other in every part.
+        numbers = spark.range(len(SIZES) * draws).repartition(64, F.col("id") % 64)
+        rows = numbers.mapInPandas(run, "place long, scaled double").collect()
+        table = [sorted(r.scaled for r in rows if r.place == k) for k in range(len(SIZES))]
+        _null_tables[key] = np.array(table)
+    return _null_tables[key]
+
+
+def dip_p(table: np.ndarray, n: int, found: float) -> float:
+    """The share of uniform samples of ``n`` values with as large a dip: quantiles times the root of the size change little with
+    it, so those of both neighbouring sizes are interpolated, and larger samples have those of the largest size."""
+    k = min(int(np.searchsorted(SIZES, n, side="right")) - 1, len(SIZES) - 1)
+    quantiles = table[k]
+    if k + 1 < len(SIZES):
+        quantiles = quantiles + (n - SIZES[k]) / (SIZES[k + 1] - SIZES[k]) * (table[k + 1] - quantiles)
+    return float((quantiles >= math.sqrt(n) * found - 1e-12).mean())
+
+
+def dip_tests(rows: DataFrame, value: str, by: Sequence[str], draws: int = 500, seed: int = 7) -> DataFrame:
+    """The dip of each group with a p from a table of uniform samples; null for groups of three values or fewer.
+
+    The dip is that of all values, counted by distinct value first; one task holds a group's distinct values. The table has the
+    sizes SIZES, and all groups take their p from it in the same way.
     """
+    table = null_table(rows.sparkSession, draws, seed)
     names = [f"k{i}" for i in range(len(by))]
     used = rows.filter(F.col(value).isNotNull()).select(*(F.col(b).alias(k) for b, k in zip(by, names, strict=True)), F.col(value).cast("double").alias("v"))
     counts = used.groupBy(*names, "v").agg(F.count("*").alias("c"))
@@ -227,9 +254,8 @@ def dip_tests(rows: DataFrame, value: str, by: Sequence[str], draws: int = 500,
         n = int(group["c"].sum())
         found = p = None
         if n > 3:
-            m = min(n, largest)
             found = dip(group["v"].to_numpy(), group["c"].to_numpy())
-            p = float((_null_dips(m, draws, seed) * math.sqrt(m / n) >= found - 1e-12).mean())
+            p = dip_p(table, n, found)
         return pd.DataFrame({**{k: [x] for k, x in zip(names, key, strict=True)}, "n": [n], "dip": pd.array([found], "Float64"), "p": pd.array([p], "Float64")})
 
     keys = counts.select(*names).schema.fields

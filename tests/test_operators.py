@@ -341,3 +341,14 @@ def test_shares_of_many_categories(spark, monkeypatch):
     monkeypatch.setattr(aggregate, "KINDS", 7)
     assert sorted(map(tuple, aggregate.cluster_proportions(rows, "unit", "kind").collect())) == want
     assert len(want) == 20 * len({k for _, k, _ in want})
+
+
+def test_dips_of_uniform_samples_have_even_probabilities(spark):
+    """At sizes of the table, between them and beyond: a twentieth of the samples is below 0.05, half below 0.5."""
+    table = stats.null_table(spark, 500, 7)
+    assert (np.diff(table, axis=1) >= 0).all()
+    rng = np.random.default_rng(4)
+    for n, tries in ((6, 400), (40, 400), (250, 200), (5000, 60)):
+        p = np.array([stats.dip_p(table, n, stats.dip(rng.random(n))) for _ in range(tries)])
+        assert abs((p <= 0.5).mean() - 0.5) < 4 * 0.5 / np.sqrt(tries) + 0.02
+        assert (p <= 0.05).mean() < 0.05 + 4 * np.sqrt(0.05 / tries) + 0.01
