@@ -167,6 +167,17 @@ def test_closure_with_a_cycle(spark):
     assert got == {(x, y) for x in (1, 2, 3) for y in (1, 2, 3)} | {(4, 4)}
 
 
+def test_means_that_are_equal_tie_in_any_order_of_their_rows(spark):
+    from quarryline.operators import reports as R
+
+    data = [("a", "F", 0.1), ("a", "F", 0.2), ("a", "F", 0.3), ("b", "O", 0.3), ("b", "O", 0.2), ("b", "O", 0.1)]
+    got = R.continuous_comparison(spark.createDataFrame(data, "u string, g string, v double").coalesce(1), "v", "g", "F", "O", unit="u").first()
+    assert (got.statistic, got.effect) == ("U=0.0", "0.000")
+    # What decimals can't hold has the mean of doubles; nulls have none.
+    odd = spark.createDataFrame([("a", 1e300), ("a", 3e300), ("b", 1e-15), ("b", 3e-15), ("c", None), ("d", float("inf")), ("e", 1.5), ("e", None), ("f", 9e17), ("f", 9e17)], "u string, v double")
+    assert rows(A.cluster_means(odd, "u", ["v"])) == [("a", 2e300), ("b", 2e-15), ("c", None), ("d", float("inf")), ("e", 1.5), ("f", 9e17)]
+
+
 def test_water_filling_meets_the_target(spark):
     strata = spark.createDataFrame([("a", 5, 1.0), ("b", 100, 1.0), ("c", 20, 2.0)], "k string, cap int, w double")
     got = {r.k: r.quota for r in M.water_filling(strata, "cap", "w", "k", 60.0).collect()}
