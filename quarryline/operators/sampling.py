@@ -89,10 +89,11 @@ def largest_remainder(strata: DataFrame, size: str, key: str, total: int) -> Dat
     return shared.withColumn("quota", (F.col("__f") + F.when(F.row_number().over(by) <= left, 1).otherwise(0)).cast("long")).drop("__s", "__f", "__r", "__t")
 
 
-def water_filling(strata: DataFrame, cap: str, weight: str, key: str, target: float) -> DataFrame:
+def water_filling(strata: DataFrame, cap: str, weight: str, key: str, target: float, levels: int | None = None) -> DataFrame:
     """``strata`` with quotas in proportion to weights, none above its cap; what caps hold back goes to the others.
 
-    In the order of cap / weight a stratum is full while that ratio is below the level that the rest then has.
+    In the order of cap / weight a stratum is full while that ratio is below the level that the rest then has. With ``levels``
+    the level is the highest k / levels whose quotas don't exceed the target together, for whole k.
     """
     by = W.partitionBy().orderBy(F.col(cap) / F.col(weight), key)
     before = by.rowsBetween(W.unboundedPreceding, -1)
@@ -101,8 +102,16 @@ def water_filling(strata: DataFrame, cap: str, weight: str, key: str, target: fl
     filled = filled.withColumn("__full", F.col(cap) / F.col(weight) < F.col("__level"))
     level = F.max(F.when(~F.col("__full"), F.col("__level"))).over(W.partitionBy())
     first = F.min(F.when(~F.col("__full"), F.struct((F.col(cap) / F.col(weight)).alias("r"), F.col(key), F.col("__level").alias("l")))).over(W.partitionBy())
-    quota = F.when(F.col("__full"), F.col(cap).cast("double")).otherwise(F.least(F.col(cap).cast("double"), first["l"] * F.col(weight)))
-    return filled.withColumn("quota", F.when(level.isNull(), F.col(cap).cast("double")).otherwise(quota)).drop("__c", "__w", "__level", "__full")
+    below = lambda x: F.least(F.col(cap).cast("double"), x * F.col(weight))
+    quota = F.when(F.col("__full"), F.col(cap).cast("double")).otherwise(below(first["l"]))
+    if levels:
+        filled = filled.withColumn("__k", F.floor(first["l"] * levels))
+        # Division may have rounded the level over a step: the sums of the steps around it decide.
+        steps = [(F.col("__k") + up) / F.lit(float(levels)) for up in (1, 0, -1)]
+        fits = [F.when(F.sum(below(x)).over(W.partitionBy()) <= F.lit(float(target)), x) for x in steps]
+        filled = filled.withColumn("__step", F.coalesce(*fits))
+        quota = below(F.col("__step"))
+    return filled.withColumn("quota", F.when(level.isNull(), F.col(cap).cast("double")).otherwise(quota)).drop("__c", "__w", "__level", "__full", "__k", "__step")
 
 
 def whole_units(units: DataFrame, key: str, size: str, quotas: DataFrame, by: str, quota: str, seed: int) -> DataFrame:

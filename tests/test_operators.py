@@ -185,6 +185,24 @@ def test_water_filling_meets_the_target(spark):
     assert sum(r.quota for r in M.water_filling(strata, "cap", "w", "k", 1000.0).collect()) == 125
 
 
+def test_water_filling_in_steps_of_the_level_as_the_sql(spark, duck, tmp_path):
+    from conftest import same_rows
+
+    from quarryline.plans import catalogue
+
+    data = [(f"{name}{i}", name, 6000.0 if i < cap else 0.0) for name, cap, n in (("a", 1338, 2932), ("b", 1426, 3045), ("c", 1407, 2943)) for i in range(n)]
+    one = spark.createDataFrame(data, "c_custkey string, c_mktsegment string, c_acctbal double")
+    one.crossJoin(spark.range(20).select("id")).drop("id").write.parquet(f"{tmp_path}/customer.parquet")
+    sql = catalogue.SQL["water_filling"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'")
+    same_rows(catalogue.QUERIES["water_filling"](spark, str(tmp_path)), duck, sql)
+    strata = spark.createDataFrame([("a", 5, 1.0), ("b", 100, 1.0), ("c", 20, 2.0)], "k string, cap int, w double")
+    filled = lambda target, levels: rows(M.water_filling(strata, "cap", "w", "k", target, levels).select("k", "quota"))
+    assert filled(60.0, 10) == [("a", 5.0), ("b", 35.0), ("c", 20.0)]
+    assert filled(60.5, 1) == [("a", 5.0), ("b", 35.0), ("c", 20.0)]
+    assert filled(1000.0, 10) == [("a", 5.0), ("b", 100.0), ("c", 20.0)]
+    assert filled(0.0, 10) == [("a", 0.0), ("b", 0.0), ("c", 0.0)]
+
+
 def test_sample_sizes(spark):
     got = spark.createDataFrame([(0,), (10,), (1000,), (10**6,)], "n long").select(M.sample_size(F.col("n")).alias("s"))
     assert [r.s for r in got.collect()] == [0, 10, 278, 384]
