@@ -4,7 +4,7 @@ Texts with equal shingle sets are one class. Classes are split recursively: in e
 minhash positions, each position a sampled token of the set, send a class to the children named by its tokens there, so two
 sets follow the same path as long as they share the sampled tokens. Buckets of at most ``SMALL`` classes are compared by
 brute force on minhash sketches. In a larger bucket every class is compared with the bucket's pivot; what is similar to it
-hangs on the pivot, and the rest is split again. What is large after the last level goes whole to the exact comparison.
+hangs on the pivot, and the rest is split again, unless pivots connect the whole bucket by then. What is large after the last level goes whole to the exact comparison.
 Runs repeat, each on minhashes of its own, until a pair at the threshold is found with the target probability.
 
 What these candidates connect is compared exactly: each task takes a block of a component's sets and streams the others
@@ -140,19 +140,23 @@ def roots_of(n: int, pairs: Iterator[tuple[int, int]]) -> np.ndarray:
 
 
 def small_buckets(rows: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) that connect what is similar inside each bucket (node, key, sketch) of few classes."""
+    """Edges (a, b) that connect what is similar inside each bucket (node, key, root, sketch) of few classes, beyond what equal
+    roots connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in grouped_batches(batches, ["node"]):
-            keys = bucket.column("key").to_pylist()
+            keys, first = bucket.column("key").to_pylist(), {}
+            known = [first.setdefault(r, i) for i, r in enumerate(bucket.column("root").to_pylist())]
             sketches = bucket.column("sketch").combine_chunks().values.to_numpy().reshape(len(keys), GATE)
             links = []
             for i in range(len(keys) - 1):
                 near = np.flatnonzero((sketches[i + 1 :] == sketches[i]).sum(axis=1) >= least * GATE)
                 links += [(i, i + 1 + j) for j in near.tolist()]
             if links:
-                roots = roots_of(len(keys), iter(links))
-                moved = np.flatnonzero(roots != np.arange(len(keys))).tolist()
+                before = [(i, r) for i, r in enumerate(known) if i != r]
+                roots = roots_of(len(keys), iter(before + links))
+                # One edge for each known component that moves.
+                moved = [i for i in first.values() if roots[i] != i]
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in moved], pa.binary()), pa.array([keys[roots[i]] for i in moved], pa.binary())], ["a", "b"])
 
     return rows.repartition("node").sortWithinPartitions("node", "key").mapInArrow(run, "a binary, b binary")
@@ -169,13 +173,20 @@ def with_sketches(rows: DataFrame, classes: DataFrame, sketch: Column) -> DataFr
     return classes.select("key", "sketch").join(F.broadcast(rows) if small else rows, "key").select(*rows.columns, sketch)
 
 
+def with_roots(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (node, key, ...) of the nodes whose classes ``known`` (key, root) doesn't all connect, with their root."""
+    rooted = rows.join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    apart = rooted.groupBy("node").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("node")
+    return rooted.join(apart, "node")
+
+
 def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) between keys of ``classes`` (key, sketch) that connect all pairs at the threshold, but for 1 - recall."""
     least = threshold - SLACK
     runs = F.array(*[F.lit(r) for r in range(runs_needed(threshold, recall))])
     begun = classes.select(F.explode(runs).alias("run"), "key", "sketch").select("run", F.col("run").cast("long").alias("node"), "key", part(F.col("run")))
     now = children(begun, 0)
-    edges, buckets = [], []
+    known, buckets = None, []
     for level in range(len(LEVELS)):
         counts = stored(now.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
         pairs = now.join(counts, "node")
@@ -191,17 +202,20 @@ def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) ->
         compared = stored(compared, "pivots")
         last = level == len(LEVELS) - 1
         hung = compared.filter(F.col("key") != F.col("pivot"))
-        edges.append((hung if last else hung.filter(F.col("s") >= least - SLACK)).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        edges = (hung if last else hung.filter(F.col("s") >= least - SLACK)).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+        if known is not None:
+            edges = edges.unionByName(known.select(F.col("key").alias("a"), F.col("root").alias("b")))
+        known = stored(connected_components(edges).filter("node <> root").select(F.col("node").alias("key"), "root"), "known")
         if not last:
-            now = stored(children(compared.filter(F.col("s") < threshold), level + 1), "nodes")
+            # What is connected already is compared exactly anyway: a node of such classes alone isn't split.
+            now = stored(children(with_roots(compared, known).filter(F.col("s") < threshold), level + 1), "nodes")
     small = buckets[0]
     for b in buckets[1:]:
         small = small.unionByName(b)
-    members = stored(small.groupBy("keys").agg(F.min("node").alias("node")).select("node", F.explode("keys").alias("key")), "members")
+    members = small.groupBy("keys").agg(F.min("node").alias("node")).select("node", F.explode("keys").alias("key"))
+    members = stored(members.withColumn("root", F.col("key")) if known is None else with_roots(members, known), "members")
     found = small_buckets(with_sketches(members, classes, F.slice("sketch", 1, GATE).alias("sketch")), least)
-    for e in edges:
-        found = found.unionByName(e)
-    return found
+    return found if known is None else found.unionByName(known.select(F.col("key").alias("a"), F.col("root").alias("b")))
 
 
 class Posted:

@@ -380,6 +380,24 @@ def test_pairs_just_above_the_threshold_are_found_in_large_buckets(spark, monkey
     assert all(got[a].class_id == got[b].class_id == a and got[a].n_links == got[b].n_links == 1 for a, b in pairs)
 
 
+def test_a_large_group_of_near_copies_is_not_connected_again_and_again(spark, monkeypatch):
+    """Pivots connect the group; buckets of it alone bring no more edges, and one with another text brings one."""
+    monkeypatch.setattr(jaccard, "SMALL", 16)
+    rng, rows = random.Random(8), []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(120), 3):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = jaccard.sketched(df, runs=jaccard.runs_needed(0.8)).select("key", "sketch").localCheckpoint()
+    made = jaccard.candidates(classes, 0.8).localCheckpoint()
+    assert made.count() < 2 * 300
+    assert [r["count"] for r in jaccard.connected_components(made).groupBy("root").count().collect()] == [300]
+    assert sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=str) == linked(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert [tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame([(4, "a")], "doc_id long, text string")).collect()] == [(4, 4, 0)]
