@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.session import stored
 
+#: Commits and starts of a history that one task walks through at once; longer ones take steps over all tasks.
+SHORT = 4096
+#: Ancestors in a batch that a task sends on, about.
+SENT = 20_000
+
 
 def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
     """All (source, target) with a path of one edge or more; each round doubles the length of the paths that are known."""
@@ -40,10 +48,78 @@ def least_over_closure(nodes: DataFrame, edges: DataFrame, key: str, level: str,
 def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     """(repo, sha, ancestor): every commit from which each start (repo, sha) descends, itself among them.
 
-    ``commits`` has repo, sha and parents (array). A commit's first known parent is its main line's; ancestors on the main
-    line are found through tables of the 1st, 2nd, 4th, ... commit before each, so a history of n commits takes log(n) steps.
-    Then the other parents of what was found are followed in the same way, as often as lines were merged one into the other.
-    Unknown starts, parents that aren't in the table and null keys have no rows; repeated commits count once.
+    ``commits`` has repo, sha and parents (array). Histories of at most SHORT commits and starts are walked through one by one,
+    the others by steps over all of them. Unknown starts, parents that aren't in the table and null keys have no rows; repeated
+    commits count once.
+    """
+    commits, starts = commits.filter("repo is not null"), starts.filter("repo is not null")
+    sizes = commits.select("repo").unionByName(starts.select("repo")).groupBy("repo").count()
+    long = stored(sizes.filter(F.col("count") > SHORT).select("repo"), "long")
+    if long.isEmpty():
+        return _walked(commits, starts)
+    # There are few: each has thousands of rows.
+    long = F.broadcast(long)
+    short = _walked(commits.join(long, "repo", "left_anti"), starts.join(long, "repo", "left_anti"))
+    return short.unionByName(_stepped(commits.join(long, "repo", "left_semi"), starts.join(long, "repo", "left_semi")))
+
+
+def _walked(commits: DataFrame, starts: DataFrame) -> DataFrame:
+    """The ancestors within histories that a task can hold, one after the other."""
+    kinds = dict(commits.dtypes)
+    empty = F.array().cast("array<string>")
+    own = commits.filter("sha is not null").select("repo", "sha", F.coalesce("parents", empty).alias("parents"), F.lit(False).alias("start"))
+    asked = starts.filter("sha is not null").select(F.col("repo").cast(kinds["repo"]), F.col("sha").cast(kinds["sha"]), empty.alias("parents"), F.lit(True).alias("start"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo, parents, wanted = None, {}, {}
+        out: tuple[list, list, list] = ([], [], [])
+
+        def walk() -> Iterator[pa.RecordBatch]:
+            for at in wanted:
+                if at not in parents:
+                    continue
+                seen, rest = {at}, [at]
+                while rest:
+                    new = [p for p in parents[rest.pop()] if p not in seen and p in parents]
+                    seen.update(new)
+                    rest += new
+                out[0].extend([repo] * len(seen))
+                out[1].extend([at] * len(seen))
+                out[2].extend(seen)
+                if len(out[0]) >= SENT:
+                    yield sent()
+
+        def sent() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (types[0], types[1], types[1]), strict=True)], ["repo", "sha", "ancestor"])
+            for x in out:
+                x.clear()
+            return batch
+
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(2)]
+            for r, sha, before, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != repo:
+                    yield from walk()
+                    repo, parents, wanted = r, {}, {}
+                if start:
+                    wanted[sha] = True
+                else:
+                    parents.setdefault(sha, before)
+        yield from walk()
+        if out[0]:
+            yield sent()
+
+    dealt = own.unionByName(asked).repartition("repo").sortWithinPartitions("repo")
+    return dealt.mapInArrow(run, f"repo {kinds['repo']}, sha {kinds['sha']}, ancestor {kinds['sha']}")
+
+
+def _stepped(commits: DataFrame, starts: DataFrame) -> DataFrame:
+    """The ancestors within histories of any length.
+
+    A commit's first known parent is its main line's; ancestors on the main line are found through tables of the 1st, 2nd, 4th,
+    ... commit before each, so a history of n commits takes log(n) steps. Then the other parents of what was found are followed
+    in the same way, as often as lines were merged one into the other.
     """
     known = commits.filter("repo is not null and sha is not null").select("repo", "sha", F.coalesce("parents", F.array().cast("array<string>")).alias("parents")).dropDuplicates(["repo", "sha"])
     own = stored(known.select("repo", "sha"), "commits")

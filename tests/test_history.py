@@ -36,6 +36,25 @@ def test_ancestors_equal_plain_code(spark):
     assert all(x.commits == sum((x.repo, x.sha) == w[:2] for w in want) for x in counts)
 
 
+def test_short_histories_are_walked_without_tables_and_long_ones_in_steps_alike(spark, monkeypatch):
+    tables = []
+    real = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, label: tables.append(label) or real(df, label))
+    r, rows = random.Random(3), []
+    for repo, n in ((1, 5), (2, 90), (3, 40)):
+        rows += [(repo, f"{i}", [f"{r.randrange(max(0, i - 6), i)}" for _ in range(r.choice([1, 2]))] if i else None) for i in range(n)]
+    log = spark.createDataFrame(rows, "repo long, sha string, parents array<string>")
+    starts = spark.createDataFrame([(1, "4"), (2, "89"), (2, "50"), (3, "39"), (3, "x")], "repo int, sha string")
+    found = []
+    for most in (4096, 42, 0):
+        monkeypatch.setattr(graph, "SHORT", most)
+        tables.clear()
+        monkeypatch.setattr(graph, "SENT", 7 if most == 42 else 20_000)
+        found.append(sorted(map(tuple, graph.ancestors(log, starts).collect())))
+        assert (len(tables) < 3) == (most == 4096)
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
 def test_a_long_history_takes_few_steps(spark, monkeypatch):
     tables = []
     real = graph.stored
@@ -61,3 +80,8 @@ def test_last_commit_up_to_a_day(spark):
     days = spark.createDataFrame([("r", d) for d in (1, 3, 4, 5, 8, 20)] + [("s", 6), ("s", 7), ("t", 7)], "repo string, date int")
     got = commits.last_before(spark.createDataFrame(rows, SCHEMA), days).collect()
     assert sorted((x.repo, x.snapshot, x.sha) for x in got) == [("r", 3, "x"), ("r", 4, "x"), ("r", 5, "a"), ("r", 8, "a"), ("r", 20, "c"), ("s", 7, "q")]
+
+
+def test_a_long_history_takes_few_steps_over_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHORT", 100)
+    test_a_long_history_takes_few_steps(spark, monkeypatch)
