@@ -19,6 +19,8 @@ from quarryline.operators.graph import least_over_closure
 
 #: Texts longer than this aren't looked at.
 MAX_BYTES = 5 << 20
+#: Bytes of texts in rows that go on at once, and rows without texts.
+SENT_BYTES, SENT_ROWS = 2 << 20, 20_000
 
 # Names and annotations that mark set-up and tear-down code.
 UNITTEST = {"setUp": "test", "tearDown": "test", "setUpClass": "class", "tearDownClass": "class", "setUpModule": "module", "tearDownModule": "module", "asyncSetUp": "test", "asyncTearDown": "test"}
@@ -381,10 +383,15 @@ def fixtures(files: DataFrame, detectors: dict | None = None) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in re.split(r", (?=\w+ \w)", SCHEMA)]
         for frame in frames:
-            rows = []
+            rows, size = [], 0
             for file_id, language, source in zip(frame["file_id"], frame["language"], frame["source"], strict=True):
                 if source and source.strip() and len(source.encode()) <= MAX_BYTES and language in known:
-                    rows += [{"file_id": file_id, "language": language, **asdict(x)} for x in known[language](source)]
+                    for x in known[language](source):
+                        rows.append({"file_id": file_id, "language": language, **asdict(x)})
+                        size += len(x.raw_source) + 100
+                        if size >= SENT_BYTES:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     return files.select(F.col("file_id").cast("long"), "language", "source").mapInPandas(run, SCHEMA)
@@ -531,7 +538,7 @@ def mocks(files: DataFrame, rules: Sequence[tuple[str, str]] = MOCKS) -> DataFra
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = Rules(rules)
+        compiled, names = Rules(rules), [x.split()[0] for x in MOCK_SCHEMA.split(", ")]
         for frame in frames:
             rows = []
             for file_id, source in zip(frame["file_id"], frame["source"], strict=True):
@@ -540,7 +547,10 @@ def mocks(files: DataFrame, rules: Sequence[tuple[str, str]] = MOCKS) -> DataFra
                     snippet = source[max(0, m.start() - BEFORE) : m.end() + AFTER].replace("\n", " ")
                     target = m.group(1) or "" if m.re.groups else ""
                     rows.append((file_id, framework, category, target, len(INTERACTIONS.findall(source, m.start(), m.end() + REACH)), snippet, m.start()))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in MOCK_SCHEMA.split(", ")])
+                    if len(rows) >= SENT_ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select(F.col("file_id").cast("long"), "source").mapInPandas(run, MOCK_SCHEMA)
 
@@ -575,6 +585,9 @@ def added_lines(diffs: DataFrame) -> DataFrame:
                     elif text.startswith("+"):
                         if path:
                             rows.append((commit, path, line))
+                            if len(rows) >= SENT_ROWS:
+                                yield pd.DataFrame(rows, columns=["commit", "path", "line"])
+                                rows = []
                         line, new = line + 1, new - 1
                     elif text.startswith("-"):
                         old -= 1

@@ -13,12 +13,21 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes that go to a Python worker at once at most, but for one row that is larger.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Applications whose Python workers have been given the package.
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever they run: its sources go along with the application, once."""
+    """Lets Python workers import this package wherever they run: its sources go along with the application, once.
+
+    Batches are bounded, so that what a worker holds follows neither the rows of a partition nor their texts.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

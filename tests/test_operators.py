@@ -167,6 +167,26 @@ def test_closure_with_a_cycle(spark):
     assert got == {(x, y) for x in (1, 2, 3) for y in (1, 2, 3)} | {(4, 4)}
 
 
+def test_python_workers_get_bounded_batches_and_send_rows_on(spark, monkeypatch):
+    import pandas as pd
+
+    def sizes(frames):
+        yield pd.DataFrame([(len(f), int(f["t"].str.len().sum())) for f in frames], columns=["n", "size"])
+
+    texts = spark.range(5000).select(F.repeat(F.lit("x"), 20_000).alias("t")).coalesce(1)
+    got = texts.mapInPandas(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 5000 and max(r.n for r in got) <= 1000 and max(r.size for r in got) < 10 << 20
+    diff = "+++ b/x\n@@ -0,0 +1,50 @@\n" + "\n".join(f"+{i}" for i in range(50))
+    source = "import pytest\n" + "".join(f"@pytest.fixture\ndef f{i}(): Mock()\n" for i in range(50))
+    diffs = spark.createDataFrame([("c", diff)], "commit string, diff string")
+    files = spark.createDataFrame([(1, "python", source)], "file_id long, language string, source string")
+    found = lambda: (rows(X.added_lines(diffs)), rows(X.fixtures(files)), rows(X.mocks(files)))
+    whole = found()
+    monkeypatch.setattr(X, "SENT_ROWS", 7)
+    monkeypatch.setattr(X, "SENT_BYTES", 900)
+    assert whole == found() and [len(x) for x in whole] == [50, 50, 50]
+
+
 def test_means_that_are_equal_tie_in_any_order_of_their_rows(spark):
     from quarryline.operators import reports as R
 
