@@ -69,18 +69,44 @@ def source_url(name: ColumnOrName, sha: ColumnOrName, path: ColumnOrName, first:
 
 
 def nonblank_lines(c: ColumnOrName) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(col(c), F.lit("")), r"\r\n|\n|\r", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(col(c), F.lit("")), r"\r\n|\n|\r", -1), lambda x: x.rlike(r"\S"))).cast("long")
 
 
 def density(part: ColumnOrName, whole: ColumnOrName) -> Column:
     return F.when(col(whole) == 0, F.lit(0.0)).otherwise(col(part) / col(whole))
 
 
+def needed_text(pattern: str) -> str:
+    """The longest text that every match of a pattern has in it, as far as its parse tells without branches; empty if none."""
+    from re import _constants, _parser
+
+    best = now = ""
+
+    def walk(parts) -> None:
+        nonlocal best, now
+        for op, value in parts:
+            if op is _constants.LITERAL:
+                now += chr(value)
+            elif op is _constants.SUBPATTERN and not value[1] and not value[2]:
+                walk(value[3])
+            elif op is _constants.MAX_REPEAT and value[0] > 0:
+                best, now = max(best, now, key=len), ""
+                walk(value[2])
+                best, now = max(best, now, key=len), ""
+            elif op not in (_constants.AT, _constants.ASSERT, _constants.ASSERT_NOT):
+                best, now = max(best, now, key=len), ""
+
+    walk(_parser.parse(pattern))
+    return max(best, now, key=len)
+
+
 def occurrences(c: ColumnOrName, patterns: Sequence[str]) -> Column:
-    """How often patterns occur in the lower-case text, all together."""
-    total = F.lit(0)
+    """How often patterns occur in the lower-case text, all together; a pattern is run where the text that it needs is."""
+    lower, total = F.lower(col(c)), F.lit(0)
     for p in patterns:
-        total = total + F.regexp_count(F.lower(col(c)), F.lit(p))
+        found = F.regexp_count(lower, F.lit(p))
+        need = needed_text(p)
+        total = total + (F.when(lower.contains(need), found).when(lower.isNotNull(), 0) if need else found)
     return total.cast("long")
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.scalars import needed_text
 from quarryline.operators.graph import least_over_closure
 
 #: Texts longer than this aren't looked at.
@@ -169,7 +170,7 @@ def blanked(source: str, seen: list[tuple[bool, int, int]] | None = None) -> str
         nonlocal at
         if seen is not None:
             seen.append((source.startswith(("//", "/*"), at), at, end))
-        out.append(re.sub(r"[^\n]", " ", source[at:end]))
+        out.append("\n".join([" " * len(x) for x in source[at:end].split("\n")]))
         at = end
 
     def template() -> None:
@@ -475,30 +476,6 @@ def mock_category(text: str) -> str:
     return next((name for name, words in MOCK_CATEGORIES if any(w in low for w in words)), "mock")
 
 
-def needed_text(pattern: str) -> str:
-    """The longest text that every match of a pattern has in it, as far as its parse tells without branches; empty if none."""
-    from re import _constants, _parser
-
-    best = now = ""
-
-    def walk(parts) -> None:
-        nonlocal best, now
-        for op, value in parts:
-            if op is _constants.LITERAL:
-                now += chr(value)
-            elif op is _constants.SUBPATTERN and not value[1] and not value[2]:
-                walk(value[3])
-            elif op is _constants.MAX_REPEAT and value[0] > 0:
-                best, now = max(best, now, key=len), ""
-                walk(value[2])
-                best, now = max(best, now, key=len), ""
-            elif op not in (_constants.AT, _constants.ASSERT, _constants.ASSERT_NOT):
-                best, now = max(best, now, key=len), ""
-
-    walk(_parser.parse(pattern))
-    return max(best, now, key=len)
-
-
 class Rules:
     """Many patterns over one text: one pass of an automaton tells whose needed texts are there, and only these are run.
 

@@ -161,3 +161,38 @@ def test_outer_complexity_and_test_counts(spark):
     tests = [(1, "python", "def test_a():\n  def test_b(): pass\nclass T:\n  async def test_c(self): pass\n  def atest(self): pass"), (2, "java", "class A extends TestCase { public void testA() {} void other() {} @Test void b() {} } class B { void testC() {} }"), (3, "typescript", "it('a', f); test.skip('b', g); test.each([1])('c', h); x.it('d'); describe('e', () => { it.only('f') })"), (4, "java", "class A {}")]
     nodes = syntax.nodes(spark.createDataFrame(tests, "file_id long, language string, source string"))
     assert {r.file_id: r.n_tests for r in syntax.test_counts(nodes).collect()} == {1: 3, 2: 2, 3: 4}
+
+
+def test_texts_stay_out_of_the_search_for_partners(spark):
+    """Without raw_source among what is asked for, the join of fixtures with their partners doesn't carry it."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    found = spark.range(3).select(
+        F.col("id").alias("file_id"), F.lit("unittest_setup").alias("fixture_type"), F.concat(F.lit("setUp"), F.col("id").cast("string")).alias("name"), F.lit("per_test").alias("scope"), F.lit(1).alias("container"),
+        F.concat(F.lit("x"), F.col("id").cast("string")).alias("raw_source"),
+    )
+    found = found.repartition(2)
+    plan = syntax.with_teardown(found).drop("raw_source")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = plan[next(k for k, line in enumerate(plan) if "Join" in line) + 1]
+    assert "Project" in joined and "told" in joined
+    assert not re.search(r"(\[|, )raw_source#\d+(,|\])", joined)
+
+
+def test_blanks_are_no_tokens_and_lines_stay(spark):
+    import re
+
+    from quarryline.functions import scalars as S
+    from quarryline.operators import extract as X
+
+    for source in ("", " \n\t", "f( /* a\n\n b */ g )  \n \n", "a\u2003b\x1c// x", "x = `a\n${ y }\n`  "):
+        plain = [(m.start(), m.group()) for m in re.finditer(r"[\w$#]+|[^\s\w]", X.blanked(source))]
+        p = syntax.Parser(source, "javascript")
+        assert [(b, t) for b, t in zip(p.at, p.text, strict=True) if t != syntax.TEXT] == plain
+        assert len(X.blanked(source)) == len(source) and X.blanked(source).count("\n") == source.count("\n")
+    texts = spark.createDataFrame([(None,), ("",), ("OPEN (x) open(y) reopen(z) os.environ requests.",), ("aab",)], "t string")
+    assert [r.n for r in texts.select(S.occurrences("t", X.EXTERNAL).alias("n")).collect()] == [None, 0, 4, 0]
+    assert [r.n for r in texts.select(S.occurrences("t", ["a|b"]).alias("n")).collect()] == [None, 0, 0, 3]
+    lines = spark.createDataFrame([(None,), ("a\r\n \t\n\x0b\rb\n",), ("\x01",)], "t string")
+    assert [r.n for r in lines.select(S.nonblank_lines("t").alias("n")).collect()] == [0, 2, 1]
