@@ -142,14 +142,10 @@ def fixture_table(found: DataFrame, files: DataFrame, extra: Sequence[str] = ())
     ``files`` has file_id, repo, sha, path, agent_type, commit_kind, message, commit_date and created. Test doubles are counted
     in a fixture's own text.
     """
-    numbered = found.withColumn("__text", F.xxhash64("raw_source"))
-    uses = X.mocks(numbered.select(F.col("__text").alias("file_id"), F.col("raw_source").alias("source")).distinct())
-    # Equal texts have equally many; two texts of one hash would have their uses together.
-    counts = uses.groupBy(F.col("file_id").alias("__u")).agg(F.count("*").alias("num_mocks"))
-    rows = numbered.join(counts, F.col("__text") == F.col("__u"), "left").join(files, "file_id")
+    rows = found.withColumn("num_mocks", X.mock_counts("raw_source")).join(files, "file_id")
     return rows.select(
         F.col("repo").alias("repo_name"), found["language"], F.col("sha").alias("commit_sha"), F.col("path").alias("file_path"), F.col("name").alias("fixture_name"), *(F.col(c) for c in FIXTURE_COLUMNS[5:10]),
-        F.coalesce("num_mocks", F.lit(0)).alias("num_mocks"), *(F.col(c) for c in FIXTURE_COLUMNS[11:18]), F.round(S.density("num_comment_lines", "loc"), 4).alias("comment_density"),
+        "num_mocks", *(F.col(c) for c in FIXTURE_COLUMNS[11:18]), F.round(S.density("num_comment_lines", "loc"), 4).alias("comment_density"),
         F.col("has_teardown_pair").cast("int").alias("has_teardown_pair"), S.source_url("repo", "sha", "path", "start_line", "end_line").alias("github_url"), "agent_type", "commit_kind",
         S.commit_type("message").alias("commit_type"), "raw_source", F.col("commit_date").cast("date").alias("commit_date"), F.round(S.age_years("created", "commit_date"), 4).alias("repo_age_at_commit_years"), *extra,
     )

@@ -532,6 +532,17 @@ def mocks(files: DataFrame, rules: Sequence[tuple[str, str]] = MOCKS) -> DataFra
     return files.select(F.col("file_id").cast("long"), "source").mapInPandas(run, MOCK_SCHEMA)
 
 
+def mock_counts(column: str, rules: Sequence[tuple[str, str]] = MOCKS) -> Column:
+    """How many uses of test doubles mocks() finds in each text, without a row for each."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compiled = Rules(rules)
+        for part in parts:
+            yield pd.Series([sum(1 for _ in compiled.matches(source or "")) for source in part], dtype="int64")
+
+    return F.pandas_udf(run, "long")(F.col(column))
+
+
 def pure_additions(files: DataFrame) -> DataFrame:
     """Whether each changed file (commit, path, change_type, deleted_lines) only adds: it isn't renamed or removed, and loses no line."""
     change = F.lower(F.coalesce("change_type", F.lit("")))

@@ -187,6 +187,16 @@ def test_python_workers_get_bounded_batches_and_send_rows_on(spark, monkeypatch)
     assert whole == found() and [len(x) for x in whole] == [50, 50, 50]
 
 
+def test_test_doubles_are_counted_in_place_as_they_are_listed(spark):
+    texts = ["", None, "@Mock A a; y = Mockito.spy(z); Mockito.mock(B.class)", "jest.fn() jest.fn()", "nothing", "jest.fn() jest.fn()"]
+    files = spark.createDataFrame(list(enumerate(texts)), "file_id long, source string").repartition(3)
+    listed = dict(rows(X.mocks(files).groupBy("file_id").count()))
+    counted = files.select("file_id", X.mock_counts("source").alias("n"))
+    assert dict(rows(counted)) == {k: listed.get(k, 0) for k in range(len(texts))}
+    # No row meets another: the only exchange is the one that dealt the files.
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_means_that_are_equal_tie_in_any_order_of_their_rows(spark):
     from quarryline.operators import reports as R
 
