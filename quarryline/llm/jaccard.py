@@ -4,7 +4,8 @@ Texts with equal shingle sets are one class. Classes are split recursively: in e
 minhash positions, each position a sampled token of the set, send a class to the children named by its tokens there, so two
 sets follow the same path as long as they share the sampled tokens. Buckets of at most ``SMALL`` classes are compared by
 brute force on minhash sketches. In a larger bucket every class is compared with the bucket's pivot; what is similar to it
-hangs on the pivot, and the rest is split again, unless pivots connect the whole bucket by then. What is large after the last level goes whole to the exact comparison.
+hangs on the pivot, and the rest is split again, unless pivots connect it by then: whole, or all but a few classes, which are
+compared with all of the rest instead. What is large after the last level goes whole to the exact comparison.
 Runs repeat, each on minhashes of its own, until a pair at the threshold is found with the target probability.
 
 What these candidates connect is compared exactly: each task takes a block of a component's sets and streams the others
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,8 +142,8 @@ def roots_of(n: int, pairs: Iterator[tuple[int, int]]) -> np.ndarray:
 
 
 def small_buckets(rows: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) that connect what is similar inside each bucket (node, key, root, sketch) of few classes, beyond what equal
-    roots connect."""
+    """Edges (a, b) that connect what is similar inside each bucket (node, key, root, main, sketch) of few classes, beyond what
+    equal roots connect. Classes of the main root aren't compared with each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in grouped_batches(batches, ["node"]):
@@ -149,7 +151,7 @@ def small_buckets(rows: DataFrame, least: float) -> DataFrame:
             known = [first.setdefault(r, i) for i, r in enumerate(bucket.column("root").to_pylist())]
             sketches = bucket.column("sketch").combine_chunks().values.to_numpy().reshape(len(keys), GATE)
             links = []
-            for i in range(len(keys) - 1):
+            for i in range(len(keys) - pc.sum(bucket.column("main")).as_py()):
                 near = np.flatnonzero((sketches[i + 1 :] == sketches[i]).sum(axis=1) >= least * GATE)
                 links += [(i, i + 1 + j) for j in near.tolist()]
             if links:
@@ -159,7 +161,7 @@ def small_buckets(rows: DataFrame, least: float) -> DataFrame:
                 moved = [i for i in first.values() if roots[i] != i]
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in moved], pa.binary()), pa.array([keys[roots[i]] for i in moved], pa.binary())], ["a", "b"])
 
-    return rows.repartition("node").sortWithinPartitions("node", "key").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("node").sortWithinPartitions("node", "main", "key").mapInArrow(run, "a binary, b binary")
 
 
 def part(run: Column) -> Column:
@@ -174,10 +176,30 @@ def with_sketches(rows: DataFrame, classes: DataFrame, sketch: Column) -> DataFr
 
 
 def with_roots(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``rows`` (node, key, ...) of the nodes whose classes ``known`` (key, root) doesn't all connect, with their root."""
-    rooted = rows.join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    apart = rooted.groupBy("node").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("node")
-    return rooted.join(apart, "node")
+    """``rows`` (node, key) with the root that ``known`` (key, root) gives the class."""
+    return rows.select("node", "key").join(known, "key", "left").select("node", "key", F.coalesce("root", "key").alias("root"))
+
+
+def apart(rooted: DataFrame) -> DataFrame:
+    """(node, n, top, loose) of the nodes of ``rooted`` (node, root) with several roots: the number of classes, the root that
+    most of them have, and how many have another."""
+    sizes = rooted.groupBy("node", "root").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"))
+    return sizes.select("node", "n", F.col("most.root").alias("top"), (F.col("n") - F.col("most.m")).alias("loose")).filter("loose > 0")
+
+
+def costly() -> Column:
+    """Whether brute force compares a class of a node of ``apart`` with more others than in a bucket of SMALL classes."""
+    return (F.col("n") > SMALL) & (F.col("loose") > SMALL // 2)
+
+
+def in_pieces(rooted: DataFrame) -> DataFrame:
+    """(node, key, root, main) of the nodes of ``rooted`` (node, key, root) with several roots that aren't costly. Classes of the
+    root that most of a node's classes have are main; beyond SMALL they are dealt to several nodes, each with all other classes."""
+    rows = rooted.join(apart(rooted).filter(~costly()), "node").withColumn("main", F.col("root") == F.col("top")).withColumn("pieces", F.ceil(F.col("n") / F.lit(SMALL)))
+    places = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("key"), "pieces"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
+    rows = rows.select("node", "key", "root", "main", "pieces", F.explode(places).alias("piece"))
+    return rows.select(F.when(F.col("pieces") > 1, F.xxhash64("node", "piece")).otherwise(F.col("node")).alias("node"), "key", "root", "main")
 
 
 def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
@@ -186,7 +208,7 @@ def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) ->
     runs = F.array(*[F.lit(r) for r in range(runs_needed(threshold, recall))])
     begun = classes.select(F.explode(runs).alias("run"), "key", "sketch").select("run", F.col("run").cast("long").alias("node"), "key", part(F.col("run")))
     now = children(begun, 0)
-    known, buckets = None, []
+    known, buckets, rests = None, [], []
     for level in range(len(LEVELS)):
         counts = stored(now.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
         pairs = now.join(counts, "node")
@@ -207,13 +229,20 @@ def candidates(classes: DataFrame, threshold: float, recall: float = RECALL) ->
             edges = edges.unionByName(known.select(F.col("key").alias("a"), F.col("root").alias("b")))
         known = stored(connected_components(edges).filter("node <> root").select(F.col("node").alias("key"), "root"), "known")
         if not last:
-            # What is connected already is compared exactly anyway: a node of such classes alone isn't split.
-            now = stored(children(with_roots(compared, known).filter(F.col("s") < threshold), level + 1), "nodes")
+            # Two classes that aren't connected yet and pass the gate are both in the rest: one at least doesn't hang on the pivot.
+            # What is connected already is compared exactly anyway, so only classes of other roots must meet.
+            rest = compared.filter(F.col("s") < threshold)
+            rests.append(rest.select("node", "key"))
+            split = stored(apart(with_roots(rest, known)).filter(costly()).select("node"), "split")
+            now = stored(children(rest.join(split, "node"), level + 1), "nodes")
     small = buckets[0]
     for b in buckets[1:]:
         small = small.unionByName(b)
     members = small.groupBy("keys").agg(F.min("node").alias("node")).select("node", F.explode("keys").alias("key"))
-    members = stored(members.withColumn("root", F.col("key")) if known is None else with_roots(members, known), "members")
+    for r in rests:
+        members = members.unionByName(r)
+    members = members.select("node", "key", F.col("key").alias("root"), F.lit(False).alias("main")) if known is None else in_pieces(with_roots(members, known))
+    members = stored(members, "members")
     found = small_buckets(with_sketches(members, classes, F.slice("sketch", 1, GATE).alias("sketch")), least)
     return found if known is None else found.unionByName(known.select(F.col("key").alias("a"), F.col("root").alias("b")))
 

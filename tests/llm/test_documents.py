@@ -398,6 +398,31 @@ def test_a_large_group_of_near_copies_is_not_connected_again_and_again(spark, mo
     assert sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=str) == linked(rows)
 
 
+def test_a_bucket_that_is_connected_but_for_a_few_is_not_split(spark, monkeypatch):
+    """Near copies in a chain of three kinds, each linked to the next alone, and pairs of texts that share a passage with them."""
+    monkeypatch.setattr(jaccard, "SMALL", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    split, real = [], jaccard.stored
+
+    def watched(df, label, *args):
+        out = real(df, label, *args)
+        split.extend([out.count()] if label == "nodes" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", watched)
+    rng, rows = random.Random(9), []
+    for i in range(180):
+        words = [f"k{j}" if j < 10 * (i % 3) else f"w{j}" for j in range(120)]
+        words[rng.randrange(40, 120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    for _ in range(3):
+        words = [f"w{j}" for j in range(50, 120)] + [f"y{rng.randrange(10**6)}" for _ in range(70)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:-1]))]
+    assert sorted((tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == linked(rows)
+    # Each split makes five rows of one.
+    assert sum(split) < 180, split
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert [tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame([(4, "a")], "doc_id long, text string")).collect()] == [(4, 4, 0)]
